@@ -1,0 +1,5 @@
+"""No operator lives here: every input of this workload is a file read once.
+
+The operators in :mod:`tideline.operators` are batch transforms; there is no
+watermark, window or late-data semantics to reproduce.
+"""
