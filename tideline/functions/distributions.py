@@ -3,6 +3,7 @@
 The Student-t tail with integer degrees of freedom is a finite trigonometric
 sum (Abramowitz & Stegun 26.7.3-4). It is evaluated once per fitted group, never
 per input row, with a higher-order ``aggregate`` over the sum's index.
+Arguments are column names or SQL expressions.
 """
 
 from __future__ import annotations
@@ -11,67 +12,47 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-SERIES_DF_LIMIT = 2000  # above: Wallace's normal deviate, error below 1e-8 there
+SERIES_DF_LIMIT = 2000  # above: Wallace's normal deviate, error below 1e-7 there
 _NORMAL_SERIES_TERMS = 160
 _NORMAL_SERIES_REACH = 6.0
+_FRACTION_TERMS = 60
 
 
-def normal_two_sided_p(z: Column) -> Column:
-    """P(|Z| >= |z|).
+def _running(term: str) -> str:
+    """State update of a sum whose next term is the given multiple of the last."""
+    return f"named_struct('term', s.term * {term}, 'total', s.total + s.term * {term})"
 
-    Power series of the error function up to 6, continued fraction beyond,
-    where one minus the series would cancel.
-    """
-    a = F.abs(z)
-    density = F.exp(-a * a / 2) / F.lit(math.sqrt(2 * math.pi))
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(_NORMAL_SERIES_TERMS)),
-        F.struct(a.alias("term"), a.alias("total")),
-        lambda s, k: F.struct(
-            (s["term"] * a * a / (2 * k + 1)).alias("term"),
-            (s["total"] + s["term"] * a * a / (2 * k + 1)).alias("total"),
-        ),
-        lambda s: s["total"],
-    )
-    fraction = F.aggregate(
-        F.sequence(F.lit(60), F.lit(1), F.lit(-1)), a, lambda acc, k: a + k / acc
-    )
-    far = F.try_divide(F.lit(2.0) * density, fraction)
-    near = F.greatest(F.lit(0.0), 1 - 2 * density * series)
-    return F.when(a <= _NORMAL_SERIES_REACH, near).otherwise(far)
 
+def normal_tail_sql(z: str) -> str:
+    """P(|Z| >= |z|): power series up to 6, continued fraction beyond, where 1 - x would cancel."""
+    a = f"abs({z})"
+    density = f"(exp(-{a} * {a} / 2) / {math.sqrt(2 * math.pi)!r}D)"
+    series = (f"aggregate(sequence(1, {_NORMAL_SERIES_TERMS}), named_struct('term', {a}, 'total', {a}), "
+              f"(s, k) -> {_running(f'({a} * {a} / (2 * k + 1))')}, s -> s.total)")
+    fraction = f"aggregate(sequence({_FRACTION_TERMS}, 1, -1), {a}, (f, k) -> {a} + k / f)"
+    return (f"if({a} <= {_NORMAL_SERIES_REACH}D, greatest(0D, 1 - 2 * {density} * {series}), "
+            f"try_divide(2 * {density}, {fraction}))")
 
-def _t_series(t: Column, df: Column) -> Column:
-    """1 - A(t | df) by the finite series; df is an integer of at least 1."""
-    theta = F.atan(t / F.sqrt(df.cast("double")))
-    cos2 = F.pow(F.cos(theta), 2)
-    odd = df % 2 == 1
-    steps = F.floor((df - F.when(odd, 3).otherwise(2)) / 2).cast("int")
-    shift = F.when(odd, 1).otherwise(0)
-    # term_k / term_{k-1} = cos^2 * (2k-1+shift)/(2k+shift)
-    total = F.aggregate(
-        F.when(steps >= 1, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")),
-        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
-        lambda s, k: F.struct(
-            (s["term"] * cos2 * (2 * k - 1 + shift) / (2 * k + shift)).alias("term"),
-            (s["total"] + s["term"] * cos2 * (2 * k - 1 + shift) / (2 * k + shift)).alias("total"),
-        ),
-        lambda s: s["total"],
-    )
-    even_area = F.sin(theta) * total
-    odd_area = F.lit(2 / math.pi) * (
-        theta + F.when(df > 1, F.sin(theta) * F.cos(theta) * total).otherwise(F.lit(0.0))
-    )
-    return F.greatest(F.lit(0.0), 1 - F.when(odd, odd_area).otherwise(even_area))
 
-
-def t_two_sided_p(t: Column, df: Column) -> Column:
+def t_tail_sql(t: str, df: str) -> str:
     """P(|T_df| >= |t|) for integer df; NULL when t is NULL or df < 1."""
-    a = F.abs(t)
-    n = df.cast("double")
-    deviate = (8 * n + 1) / (8 * n + 3) * F.sqrt(n * F.log1p(a * a / n))
-    small = F.least(df.cast("int"), F.lit(SERIES_DF_LIMIT))
-    return F.when(
-        a.isNotNull() & (df >= 1),
-        F.when(df <= SERIES_DF_LIMIT, _t_series(a, small)).otherwise(normal_two_sided_p(deviate)),
-    )
+    nu = f"CAST({df} AS DOUBLE)"
+    theta = f"atan(abs({t}) / sqrt({nu}))"
+    steps = f"CAST(floor((least({df}, {SERIES_DF_LIMIT}) - if({df} % 2 = 1, 3, 2)) / 2) AS INT)"
+    odd = f"({df} % 2)"
+    ratio = f"(pow(cos({theta}), 2) * (2 * k - 1 + {odd}) / (2 * k + {odd}))"
+    total = (f"aggregate(if({steps} >= 1, sequence(1, {steps}), CAST(array() AS ARRAY<INT>)), "
+             f"named_struct('term', 1D, 'total', 1D), (s, k) -> {_running(ratio)}, s -> s.total)")
+    area = (f"if({df} % 2 = 1, {2 / math.pi!r}D * ({theta} + if({df} > 1, sin({theta}) * cos({theta}) * {total}, 0D)), "
+            f"sin({theta}) * {total})")
+    deviate = f"((8 * {nu} + 1) / (8 * {nu} + 3) * sqrt({nu} * log1p({t} * {t} / {nu})))"
+    return (f"CASE WHEN {t} IS NULL OR {df} < 1 THEN NULL "
+            f"WHEN {df} <= {SERIES_DF_LIMIT} THEN greatest(0D, 1 - {area}) ELSE {normal_tail_sql(deviate)} END")
+
+
+def normal_two_sided_p(z: str) -> Column:
+    return F.expr(normal_tail_sql(z))
+
+
+def t_two_sided_p(t: str, df: str) -> Column:
+    return F.expr(t_tail_sql(t, df))

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.semantics import KEY_DIGITS, coord_key, named
+from ..functions.semantics import KEY_DIGITS, coord_key
 
 log = logging.getLogger(__name__)
 
@@ -32,25 +32,15 @@ def natural_join(
 ) -> DataFrame:
     """Equi-join keeping one copy of each key; keys are coalesced for right and full."""
     on = list(on)
+    op = "<=>" if null_safe else "="
+    kept = [c for c in right.columns if c not in set(on)]
     tagged = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
-    condition = reduce(
-        lambda a, b: a & b,
-        [named(c).eqNullSafe(named(f"_r_{c}")) if null_safe else named(c) == named(f"_r_{c}") for c in on],
-    )
-    joined = left.join(tagged, condition, how)
+    joined = left.join(tagged, F.expr(" AND ".join(f"`{c}` {op} `_r_{c}`" for c in on)), how)
     if how in ("left_semi", "left_anti"):
         return joined
-    if how == "right":
-        keys = [named(f"_r_{c}").alias(c) for c in on]
-    elif how == "full":
-        keys = [F.coalesce(named(c), named(f"_r_{c}")).alias(c) for c in on]
-    else:
-        keys = [named(c) for c in on]
-    by_name = dict(zip(on, keys))
-    return joined.select(
-        *[by_name[c] if c in by_name else named(c) for c in left.columns],
-        *[named(c) for c in right.columns if c not in by_name],
-    )
+    side = {"right": "`_r_{c}` AS `{c}`", "full": "coalesce(`{c}`, `_r_{c}`) AS `{c}`"}.get(how, "`{c}`")
+    keys = {c: side.format(c=c) for c in on}
+    return joined.selectExpr(*[keys.get(c, f"`{c}`") for c in left.columns], *[f"`{c}`" for c in kept])
 
 
 def natural_left_join(left: DataFrame, right: DataFrame, null_safe: bool = True) -> DataFrame:

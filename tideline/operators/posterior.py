@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.semantics import named
 from .climate import totals
@@ -57,33 +57,35 @@ def hpd_interval(
 
     gap = max(1, min(n-1, round(n*prob))). Equal draws are one row with a range of
     ranks; of them only the first can start a shortest interval. The end of an
-    interval is looked up by rank inside buckets of fixed width.
+    interval is looked up by rank inside buckets of fixed width: going down the
+    ranks, the smallest value met so far is the one that holds the wanted rank.
     """
     keys = list(keys)
-    ranks = cumulative_counts(draws.select(*keys, F.col(value).alias("_v")), keys, "_v", **how)
-    gap = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * prob).cast("long")))
-    bucket = lambda r: F.floor(r / _RANK_BUCKET)
-    starts = ranks.select(*keys, "n", "_v", (F.col("first_rank") + gap).alias("_at")).where(
-        F.col("_at") <= F.col("n")
-    ).select(*keys, bucket(F.col("_at")).alias("_b"), "_at", F.lit(0).alias("_holds"), F.col("_v").alias("_lower"),
-             F.lit(None).cast("double").alias("_end"))
-    holders = ranks.select(
-        *keys,
-        F.explode(F.sequence(bucket(F.col("first_rank")), bucket(F.col("last_rank")))).alias("_b"),
-        F.col("last_rank").alias("_at"),
-        F.lit(1).alias("_holds"),
-        F.lit(None).cast("double").alias("_lower"),
-        F.col("_v").cast("double").alias("_end"),
+    ranks = cumulative_counts(draws.select(*keys, F.col(value).cast("double").alias("_v")), keys, "_v", **how)
+    k = ", ".join(f"`{c}`" for c in keys)
+    return draws.sparkSession.sql(
+        f"""
+        WITH stepped AS (
+          SELECT *, first_rank + greatest(1, least(n - 1, CAST(bround(n * {float(prob)!r}D) AS BIGINT))) AS _end
+          FROM {{ranks}}),
+        marks AS (
+          SELECT {k}, inline(concat(
+            CASE WHEN _end <= n THEN
+              array(named_struct('_b', _end DIV {_RANK_BUCKET}, '_at', _end, '_lower', _v, '_v', CAST(NULL AS DOUBLE)))
+              ELSE array() END,
+            transform(sequence(first_rank DIV {_RANK_BUCKET}, last_rank DIV {_RANK_BUCKET}), b ->
+              named_struct('_b', b, '_at', last_rank, '_lower', CAST(NULL AS DOUBLE), '_v', _v))))
+          FROM stepped),
+        met AS (
+          SELECT *, min(_v) OVER (PARTITION BY {k}, _b ORDER BY _at DESC, _v DESC NULLS LAST
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _upper FROM marks),
+        best AS (
+          SELECT {k}, min(named_struct('width', _upper - _lower, 'lower', _lower, 'upper', _upper)) AS _s
+          FROM met WHERE _lower IS NOT NULL GROUP BY {k})
+        SELECT {k}, _s.lower AS lower, _s.upper AS upper FROM best
+        """,
+        ranks=ranks,
     )
-    # Downwards through the ranks, the smallest value met so far holds the wanted rank.
-    down = Window.partitionBy(*keys, "_b").orderBy(F.desc("_at"), F.desc("_holds")).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    met = starts.unionByName(holders).withColumn("_upper", F.min("_end").over(down)).where(F.col("_holds") == 0)
-    return met.groupBy(*keys).agg(
-        F.min(F.struct((F.col("_upper") - F.col("_lower")).alias("width"), F.col("_lower").alias("lower"),
-                       F.col("_upper").alias("upper"))).alias("_s")
-    ).select(*keys, "_s.lower", "_s.upper")
 
 
 def second_half(draws: DataFrame, iteration: str = "iteration") -> DataFrame:

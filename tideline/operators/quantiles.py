@@ -1,9 +1,9 @@
 """Exact quantiles and ranks that survive a group holding most of the rows.
 
 ``percentile`` is exact but keeps every distinct value of a group in one task.
-That is right for ordinary groups. A group with more than ``heavy_rows`` rows is
+That is right for ordinary groups. A group with more than ``heavy_rows`` values is
 bracketed instead: a mergeable sketch gives, for each probability, a narrow value
-interval certain to hold the wanted order statistics; one pass counts the rows
+interval certain to hold the wanted order statistics; one pass counts the values
 below it, and only the values inside it are ranked.
 """
 
@@ -11,19 +11,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import natural_join
 
-HEAVY_ROWS = 1_000_000
+HEAVY_ROWS = 100_000  # values of one group an exact percentile may hold in a task's memory
+RANK_ROWS = 1_000_000  # values of one group a (spilling) window may rank in one task
 SKETCH_ACCURACY = 10_000
 EDGE_COUNT = 64
 
 
-def heavy_groups(df: DataFrame, keys: Sequence[str], value: str, heavy_rows: int) -> DataFrame:
-    """Keys of the groups with more non-missing values than one task should hold."""
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    return sizes.where(F.col("_n") > heavy_rows).drop("_n")
+def _names(keys: Sequence[str], table: str = "") -> str:
+    return ", ".join(f"{table}`{k}`" for k in keys)
+
+
+def _same(keys: Sequence[str], a: str, b: str) -> str:
+    """Null-safe equality of the keys of two relations."""
+    return " AND ".join(f"{a}.`{k}` <=> {b}.`{k}`" for k in keys)
 
 
 def grouped_quantiles(
@@ -43,105 +47,109 @@ def grouped_quantiles(
     """
     keys = list(keys)
     if group_rows is not None:
-        path = _held_quantiles if group_rows <= heavy_rows else _bracketed_quantiles
-        return path(df, keys, value, probs, extra)
-    heavy = heavy_groups(df, keys, value, heavy_rows)
+        if group_rows <= heavy_rows:
+            return _held_quantiles(df, keys, value, probs, extra)
+        return _bracketed_quantiles(df, keys, value, probs, extra, heavy_rows)
+    heavy = df.groupBy(*keys).agg(F.count(value).alias("_n")).where(f"_n > {heavy_rows}").drop("_n")
     light = natural_join(df, heavy, keys, "left_anti")
     big = natural_join(df, heavy, keys, "left_semi")
     return _held_quantiles(light, keys, value, probs, extra).unionByName(
-        _bracketed_quantiles(big, keys, value, probs, extra)
+        _bracketed_quantiles(big, keys, value, probs, extra, heavy_rows)
     )
 
 
 def _held_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: Mapping[str, float], extra: Sequence[Column]
 ) -> DataFrame:
-    several = F.percentile(value, [float(p) for p in probs.values()])
-    return df.groupBy(*keys).agg(several.alias("_q"), *extra).withColumns(
-        {name: F.col("_q")[i] for i, name in enumerate(probs)}
-    ).drop("_q")
+    several = ", ".join(f"{float(p)!r}D" for p in probs.values())
+    held = df.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, array({several}))").alias("_q"), *extra)
+    picked = [f"_q[{i}] AS `{name}`" for i, name in enumerate(probs)]
+    others = [f"`{c}`" for c in held.columns if c not in ("_q", *keys)]
+    return held.selectExpr(*[f"`{k}`" for k in keys], *others, *picked)
 
 
 def _bracketed_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: Mapping[str, float], extra: Sequence[Column]
+    df: DataFrame, keys: list[str], value: str, probs: Mapping[str, float], extra: Sequence[Column], heavy_rows: int
 ) -> DataFrame:
-    margin = 4.0 / SKETCH_ACCURACY
-    names = list(probs)
-    asked = [min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-margin, margin)]
-    sketch = df.groupBy(*keys).agg(
-        F.count(value).alias("_n"),
-        F.percentile_approx(value, asked, SKETCH_ACCURACY).alias("_e"),
+    # The sketch errs by n/accuracy ranks; the second part covers the two neighboring
+    # order statistics of a group above heavy_rows. Smaller groups are ranked whole.
+    margin = 4.0 / SKETCH_ACCURACY + 2.0 / heavy_rows
+    asked = ", ".join(
+        f"{min(1.0, max(0.0, p + d))!r}D" for p in probs.values() for d in (-margin, margin)
     )
-    brackets = sketch.select(
-        *keys,
-        "_n",
-        F.inline(
-            F.array(*[
-                F.struct(
-                    F.lit(i).alias("_i"),
-                    F.lit(float(probs[name])).alias("_p"),
-                    F.col("_e")[2 * i].alias("_lo"),
-                    F.col("_e")[2 * i + 1].alias("_hi"),
-                )
-                for i, name in enumerate(names)
-            ])
-        ),
+    brackets = ", ".join(
+        f"named_struct('_i', {i}, '_p', {float(p)!r}D, '_lo', if(_n > {heavy_rows}, _e[{2 * i}], _min),"
+        f" '_hi', if(_n > {heavy_rows}, _e[{2 * i + 1}], _max))"
+        for i, p in enumerate(probs.values())
     )
-    rows = natural_join(df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull()),
-                        brackets, keys, "inner")
-    group = [*keys, "_i"]
-    below = rows.groupBy(*group).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
-    inside = (
-        rows.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*group, "_p", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = natural_join(
-        inside.withColumn("_cum", F.sum("_c").over(upto)), below, group, "inner"
-    ).withColumn("_pos", F.col("_p") * (F.col("_n") - 1)).withColumn("_last", F.col("_below") + F.col("_cum"))
-    picked = ranked.groupBy(*group).agg(
-        F.min(F.when(F.col("_last") > F.floor("_pos"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_last") > F.ceil("_pos"), F.col("_v"))).alias("_b"),
-        F.any_value(F.col("_pos") - F.floor("_pos")).alias("_f"),
-    ).withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
-    wide = picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)]
+    wide = df.sparkSession.sql(
+        f"""
+        WITH x AS (SELECT {_names(keys)}, `{value}` AS _v FROM {{df}} WHERE `{value}` IS NOT NULL),
+        sketch AS (
+          SELECT {_names(keys)}, count(_v) AS _n, min(_v) AS _min, max(_v) AS _max,
+                 percentile_approx(_v, array({asked}), {SKETCH_ACCURACY}) AS _e
+          FROM x GROUP BY {_names(keys)}),
+        bracket AS (SELECT {_names(keys)}, _n, inline(array({brackets})) FROM sketch),
+        placed AS (
+          SELECT {_names(keys, "x.")}, _v, _n, _i, _p, _lo, _hi FROM x JOIN bracket b ON {_same(keys, "x", "b")}),
+        below AS (
+          SELECT {_names(keys)}, _i, count_if(_v < _lo) AS _below FROM placed GROUP BY {_names(keys)}, _i),
+        inside AS (
+          SELECT {_names(keys)}, _i, _p * (_n - 1) AS _pos, _v, count(*) AS _c FROM placed
+          WHERE _v BETWEEN _lo AND _hi GROUP BY {_names(keys)}, _i, _p, _n, _v),
+        summed AS (
+          SELECT *, sum(_c) OVER (PARTITION BY {_names(keys)}, _i ORDER BY _v
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum FROM inside),
+        ranked AS (
+          SELECT {_names(keys, "s.")}, s._i, _v, _pos, _below + _cum AS _last
+          FROM summed s JOIN below b ON {_same([*keys, "_i"], "s", "b")}),
+        picked AS (
+          SELECT {_names(keys)}, _i,
+                 min(CASE WHEN _last > floor(_pos) THEN _v END) AS _a,
+                 min(CASE WHEN _last > ceil(_pos) THEN _v END) AS _b,
+                 any_value(_pos - floor(_pos)) AS _f
+          FROM ranked GROUP BY {_names(keys)}, _i)
+        SELECT {_names(keys)}, {", ".join(
+            f"max(CASE WHEN _i = {i} THEN _a + (_b - _a) * _f END) AS `{name}`" for i, name in enumerate(probs))}
+        FROM picked GROUP BY {_names(keys)}
+        """,
+        df=df,
     )
     # The groups without any value come from the aggregate, hence the right join.
     return natural_join(wide, df.groupBy(*keys).agg(*extra), keys, "right") if extra else wide
 
 
 def cumulative_counts(
-    df: DataFrame, keys: Sequence[str], value: str, heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, heavy_rows: int = RANK_ROWS
 ) -> DataFrame:
-    """One row per distinct (group, value): copies, rank of the first and of the last copy.
+    """One row per distinct (group, value): group size, rank of the first and of the last copy.
 
     Copies collapse before any shuffle. Inside a group the distinct values are
     cut at sketch edges when there are many, so no task ranks a whole heavy group.
     """
-    keys = list(keys)
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    edges = [i / EDGE_COUNT for i in range(1, EDGE_COUNT)]
-    sizes = distinct.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_d"),
-        F.percentile_approx(value, edges, 1000).alias("_e"),
-    ).where(F.col("_d") > heavy_rows).drop("_d")
-    heavy = natural_join(distinct, sizes, keys, "left").withColumn(
-        "_bin", F.coalesce(F.size(F.filter("_e", lambda e: e < F.col(value))), F.lit(0))
-    ).drop("_e")
-    part = [*keys, "_bin"]
-    within = Window.partitionBy(*part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = heavy.groupBy(*part).agg(F.sum("_c").alias("_t")).select(
-        *part, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_o")
-    )
-    totals = distinct.groupBy(*keys).agg(F.sum("_c").alias("n"))
-    ranked = natural_join(heavy.withColumn("_cum", F.sum("_c").over(within)), offsets, part, "inner")
-    ranked = natural_join(ranked, totals, keys, "inner")
-    return ranked.select(
-        *keys,
-        value,
-        "n",
-        (F.col("_o") + F.col("_cum") - F.col("_c") + 1).alias("first_rank"),
-        (F.col("_o") + F.col("_cum")).alias("last_rank"),
+    k = _names(keys)
+    edges = ", ".join(f"{i / EDGE_COUNT!r}D" for i in range(1, EDGE_COUNT))
+    return df.sparkSession.sql(
+        f"""
+        WITH distinct_values AS (
+          SELECT {k}, `{value}`, count(*) AS _c FROM {{df}} WHERE `{value}` IS NOT NULL GROUP BY {k}, `{value}`),
+        sizes AS (
+          SELECT {k}, sum(_c) AS n,
+                 CASE WHEN count(*) > {heavy_rows} THEN percentile_approx(`{value}`, array({edges}), 1000)
+                      ELSE array() END AS _e
+          FROM distinct_values GROUP BY {k}),
+        binned AS (
+          SELECT {_names(keys, "d.")}, d.`{value}`, _c, n, size(filter(_e, e -> e < d.`{value}`)) AS _bin
+          FROM distinct_values d JOIN sizes s ON {_same(keys, "d", "s")}),
+        offsets AS (
+          SELECT {k}, _bin, coalesce(sum(_t) OVER (PARTITION BY {k} ORDER BY _bin
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _o
+          FROM (SELECT {k}, _bin, sum(_c) AS _t FROM binned GROUP BY {k}, _bin)),
+        summed AS (
+          SELECT *, sum(_c) OVER (PARTITION BY {k}, _bin ORDER BY `{value}`
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum FROM binned)
+        SELECT {_names(keys, "s.")}, s.`{value}`, n, _o + _cum - _c + 1 AS first_rank, _o + _cum AS last_rank
+        FROM summed s JOIN offsets o ON {_same([*keys, "_bin"], "s", "o")}
+        """,
+        df=df,
     )

@@ -42,12 +42,18 @@ def great_circle_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> C
     return 2 * EARTH_RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def _cube(lon: str, lat: str, edge: float) -> list[Column]:
+def _cube(lon: str, lat: str, edge: float) -> list[str]:
     """Cube of the given edge that holds a point of the unit sphere."""
-    x = F.cos(F.radians(lat)) * F.cos(F.radians(lon))
-    y = F.cos(F.radians(lat)) * F.sin(F.radians(lon))
-    z = F.sin(F.radians(lat))
-    return [F.floor(c / edge).alias(n) for c, n in ((x, "_cx"), (y, "_cy"), (z, "_cz"))]
+    x = f"cos(radians(`{lat}`)) * cos(radians(`{lon}`))"
+    y = f"cos(radians(`{lat}`)) * sin(radians(`{lon}`))"
+    z = f"sin(radians(`{lat}`))"
+    return [f"floor({c} / {edge!r}D) AS {n}" for c, n in ((x, "_cx"), (y, "_cy"), (z, "_cz"))]
+
+
+_AROUND = "array(" + ", ".join(
+    f"named_struct('x', _cx + {i}, 'y', _cy + {j}, 'z', _cz + {k})"
+    for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)
+) + ")"
 
 
 def nearest_valid_cell(
@@ -65,20 +71,12 @@ def nearest_valid_cell(
     reach = 0.0
     first = math.radians(2.5 * res)
     for edge in sorted({min(2.0, first), min(2.0, first * 8), 2.0}):
-        open_point = F.col("_best").isNull() | (F.col("_best.km") > reach)
-        around = F.array(*[
-            F.struct((F.col("_cx") + i).alias("x"), (F.col("_cy") + j).alias("y"), (F.col("_cz") + k).alias("z"))
-            for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)
-        ])
-        probes = state.select("*", *_cube(lon, lat, edge)).withColumn(
-            "_near", F.explode_outer(F.when(open_point, around))
-        ).drop("_cx", "_cy", "_cz")
-        placed = cells.select("cell", "cell_lon", "cell_lat", *_cube("cell_lon", "cell_lat", edge))
-        met = probes.join(
-            placed,
-            (F.col("_near.x") == F.col("_cx")) & (F.col("_near.y") == F.col("_cy")) & (F.col("_near.z") == F.col("_cz")),
-            "left",
+        probes = state.selectExpr("*", *_cube(lon, lat, edge)).selectExpr(
+            f"`{lon}`", f"`{lat}`", "_best",
+            f"explode_outer(if(_best IS NULL OR _best.km > {reach!r}D, {_AROUND}, NULL)) AS _near",
         )
+        placed = cells.selectExpr("cell", "cell_lon", "cell_lat", *_cube("cell_lon", "cell_lat", edge))
+        met = probes.join(placed, F.expr("_near.x = _cx AND _near.y = _cy AND _near.z = _cz"), "left")
         km = F.round(great_circle_km(F.col(lon), F.col(lat), F.col("cell_lon"), F.col("cell_lat")), DISTANCE_DIGITS)
         found = F.when(F.col("cell").isNotNull(), F.struct(km.alias("km"), F.col("cell").cast("long").alias("cell")))
         state = met.groupBy(lon, lat).agg(F.min(F.least(F.col("_best"), found)).alias("_best"))

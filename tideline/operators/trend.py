@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.distributions import t_two_sided_p
+from ..functions.distributions import t_tail_sql
 from ..functions.semantics import named
 from .joins import natural_join
 from .reshape import spread_stats, to_long
@@ -21,51 +21,47 @@ MIN_TREND_VALUES = 3
 EXACT_FIT = 1e-12  # share of the variation below which a residual is rounding noise
 
 
-def _moments(x: str, y: str, tag: str = ""):
-    return [
-        F.regr_count(y, x).alias(f"_n{tag}"),
-        F.regr_sxx(y, x).alias(f"_sxx{tag}"),
-        F.regr_syy(y, x).alias(f"_syy{tag}"),
-        F.regr_sxy(y, x).alias(f"_sxy{tag}"),
-    ]
+def _moments(x: str, y: str, tag: str = "") -> list[Column]:
+    return [F.expr(f"regr_{m}(`{y}`, `{x}`) AS _{m}{tag}") for m in ("count", "sxx", "syy", "sxy")]
 
 
-def _fit(df: DataFrame, keys: Sequence[str], tag: str = "", prefix: str = "") -> DataFrame:
+def _fit(df: DataFrame, keys: Sequence[str], prefixes: Mapping[str, str], columns: Sequence[str]) -> DataFrame:
     """Slope, standard error, t and p from the moments; NULL where undefined.
 
-    A residual sum within rounding of zero is zero. The standard error is then
+    ``prefixes`` maps the tag of a set of moments to the prefix of its columns. A
+    residual sum within rounding of zero is zero. The standard error is then
     zero, t is NULL and p is 0 for a slope other than zero.
     """
-    n, sxx, syy, sxy = (F.col(f"{c}{tag}") for c in ("_n", "_sxx", "_syy", "_sxy"))
-    slope = F.try_divide(sxy, sxx)
-    left = syy - slope * sxy
-    resid = F.when(left <= EXACT_FIT * syy, F.lit(0.0)).otherwise(left)
-    p = f"{prefix}_" if prefix else ""
-    fitted = df.withColumn(f"{p}estimate", slope).withColumn(
-        f"{p}std.error", F.when(n > 2, F.sqrt(F.try_divide(resid, (n - 2) * sxx)))
-    )
-    est, se = named(f"{p}estimate"), named(f"{p}std.error")
-    fitted = fitted.withColumn(f"{p}statistic", F.try_divide(est, se))
-    t = named(f"{p}statistic")
-    return fitted.withColumn(
-        f"{p}p.value", F.when((se == 0) & (est != 0), F.lit(0.0)).otherwise(t_two_sided_p(t, n - 2))
-    ).withColumn(f"{p}n", n)
+    kept = [f"`{k}`" for k in keys]
+    out = df
+    for step in (
+        {"est": "try_divide(_sxy{t}, _sxx{t})"},
+        {"left": "_syy{t} - _est{t} * _sxy{t}"},
+        {"se": "if(_count{t} > 2, sqrt(try_divide(if(_left{t} <= " + f"{EXACT_FIT!r}D" + " * _syy{t}, 0D, _left{t}),"
+               " (_count{t} - 2) * _sxx{t})), NULL)"},
+        {"t": "try_divide(_est{t}, _se{t})"},
+    ):
+        out = out.selectExpr("*", *[e.format(t=tag) + f" AS _{n}{tag}" for n, e in step.items() for tag in prefixes])
+    shown = {
+        "estimate": "_est{t}", "std.error": "_se{t}", "statistic": "_t{t}", "n": "_count{t}",
+        "p.value": "if(_se{t} = 0 AND _est{t} <> 0, 0D, " + t_tail_sql("_t{t}", "(_count{t} - 2)") + ")",
+    }
+    return out.selectExpr(*kept, *[
+        shown[c].replace("{t}", tag) + f" AS `{p}_{c}`" if p else shown[c].replace("{t}", tag) + f" AS `{c}`"
+        for tag, p in prefixes.items() for c in columns
+    ])
 
 
 def group_trend(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Trend of y on x per group: estimate, std.error, statistic, p.value, n."""
     keys = list(keys)
-    fitted = _fit(df.groupBy(*keys).agg(*_moments(x, y)), keys)
-    return fitted.select(*keys, *[named(c) for c in TREND_COLUMNS])
+    return _fit(df.groupBy(*keys).agg(*_moments(x, y)), keys, {"": ""}, TREND_COLUMNS)
 
 
 def paired_trends(df: DataFrame, keys: Sequence[str], x: str, ys: Mapping[str, str]) -> DataFrame:
     """Trends of several variables of the same rows in one aggregate; ``ys`` maps prefix to column."""
-    keys = list(keys)
-    out = df.groupBy(*keys).agg(*[m for i, y in enumerate(ys.values()) for m in _moments(x, y, str(i))])
-    for i, prefix in enumerate(ys):
-        out = _fit(out, keys, str(i), prefix)
-    return out.select(*keys, *[named(f"{p}_{c}") for p in ys for c in TREND_COLUMNS])
+    moments = df.groupBy(*keys).agg(*[m for i, y in enumerate(ys.values()) for m in _moments(x, y, str(i))])
+    return _fit(moments, keys, {str(i): p for i, p in enumerate(ys)}, TREND_COLUMNS)
 
 
 def multi_trend(df: DataFrame, keys: Sequence[str], x: str, variables: Sequence[str]) -> DataFrame:
@@ -89,13 +85,10 @@ def sampled_trend(
     df: DataFrame, keys: Sequence[str], x: str, gate: str, ys: Mapping[str, str], at_least: int = MIN_TREND_VALUES
 ) -> DataFrame:
     """Trends of the groups with enough values of the gate variable."""
-    keys = list(keys)
-    out = df.groupBy(*keys).agg(
+    moments = df.groupBy(*keys).agg(
         F.count(gate).alias("_have"), *[m for i, y in enumerate(ys.values()) for m in _moments(x, y, str(i))]
     ).where(F.col("_have") >= at_least)
-    for i, prefix in enumerate(ys):
-        out = _fit(out, keys, str(i), prefix)
-    return out.select(*keys, *[named(f"{p}_{c}") for p in ys for c in ("estimate", "std.error")])
+    return _fit(moments, keys, {str(i): p for i, p in enumerate(ys)}, ["estimate", "std.error"])
 
 
 def long_term_trend(df: DataFrame, keys: Sequence[str], x: str, present: str, ys: Mapping[str, str]) -> DataFrame:

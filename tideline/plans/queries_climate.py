@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import equal_width_bin, offset
 from ..operators import adequacy, climate, reshape, rows, waves
 from ..operators.joins import natural_join, with_one_row
+from ..sources.tables import read_wave_sheet
 from . import deviations, standins as s
 from .catalog import query, r, rounded, rs
 from .standins import table, with_ctes
@@ -188,23 +189,24 @@ SELECT "Year", {rs("GOWLon GOWLat")}, {r("max_sum_wave_energy", "max_sum_wave_en
   {r("total_wave_energy", "total_wave_energy", 2)}, {r("sd_sum_wave_energy", "sd_sum_wave_energy", 2)}
 FROM wave_annual w JOIN wave_coords c ON w.nk = c.nk"""))
 def annual_extremes(spark, folder):
-    monthly = _sheet(spark, folder, "sum_energy", True)
+    monthly = _sheet(s.wave_lines(spark, folder), s.wave_coords(spark, folder), "sum_energy", True)
     return rounded(waves.annual_extremes(monthly, "sum_wave_energy", total="total_wave_energy"), 2, GOWLon=6, GOWLat=6)
 
 
-def _sheet(spark, folder, measure, month=False):
-    from ..sources.tables import read_wave_sheet
-
-    return read_wave_sheet(s.wave_sheet(spark, folder, measure, month), s.wave_coords(spark, folder), month)
+def _sheet(lines, coords, measure, month=False):
+    return read_wave_sheet(s.wave_sheet(lines, measure, month), coords, month)
 
 
 def wave_table(spark, folder):
     """All wave measures at the original points."""
-    return waves.wave_frame(
-        _sheet(spark, folder, "mean_energy"), _sheet(spark, folder, "mean_height"), _sheet(spark, folder, "q95_height"),
-        _sheet(spark, folder, "mean_energy", True), _sheet(spark, folder, "sum_energy", True),
-        _sheet(spark, folder, "max_height", True), s.wave_points(spark, folder),
-    )
+    lines, coords = s.wave_lines(spark, folder), s.wave_coords(spark, folder)
+    sheets = [
+        _sheet(lines, coords, measure, month) for measure, month in (
+            ("mean_energy", False), ("mean_height", False), ("q95_height", False),
+            ("mean_energy", True), ("sum_energy", True), ("max_height", True),
+        )
+    ]
+    return waves.wave_frame(*sheets, s.wave_points(spark, folder))
 
 
 _WAVE_COLS = ["mean_wave_energy", "mean_wave_height", "max_mean_wave_energy", "sd_mean_wave_energy",

@@ -51,7 +51,7 @@ def group_trend(spark, folder):
 
 @query("trend_p_values", with_ctes("survey", _trend_sql("survey", '"Site"', '"Year"', "y") + f"""
 SELECT "Site", n, {r("t", "statistic", 5)},
-  {r('CASE WHEN se = 0 AND est <> 0 THEN 0 WHEN n > 2 THEN ' + t_tail("t", "(n - 2)") + ' END', "p.value")} FROM t"""))
+  {r('CASE WHEN se = 0 AND est <> 0 THEN 0 WHEN n > 2 AND t IS NOT NULL THEN ' + t_tail("t", "(n - 2)") + ' END', "p.value")} FROM t"""))
 def trend_p_values(spark, folder):
     survey = s.survey(spark, folder).select("Site", "Year", "y")
     fit = trend.group_trend(survey, ["Site"], "Year", "y")
@@ -65,7 +65,7 @@ def student_t_tail(spark, folder):
     pairs = table(spark, folder, "lineitem").select(
         (F.col("l_linenumber") + F.pmod("l_orderkey", F.lit(40))).alias("nu"), (F.col("l_quantity") / 10).alias("t")
     ).distinct()
-    return pairs.withColumn("p", F.round(t_two_sided_p(F.col("t"), F.col("nu")), 9))
+    return pairs.withColumn("p", F.round(t_two_sided_p("t", "nu"), 9))
 
 
 def _paired_sql(prefixes: dict[str, str], source: str, keys: str, at_least: int | None = None, gate: str = "") -> str:
@@ -107,12 +107,20 @@ def _slots(measures) -> str:
     out = []
     for v in measures:
         n, sxx, syy, sxy = (f'regr_{k}({v}, "Year")' for k in ("count", "sxx", "syy", "sxy"))
-        out.append(r(f"CASE WHEN {sxx} > 1e-9 THEN {sxy} / {sxx} END", f"{v}_estimate", 5))
-        out.append(r(f"CASE WHEN {n} > 2 AND {sxx} > 1e-9 THEN sqrt({_resid(syy, f"{sxy} * {sxy} / {sxx}")} / (({n} - 2) * {sxx})) END",
-                     f"{v}_std.error", 5))
+        est = f"CASE WHEN {sxx} > 1e-9 THEN {sxy} / {sxx} END"
+        se = (f"CASE WHEN {n} > 2 AND {sxx} > 1e-9 THEN "
+              f"sqrt({_resid(syy, f'{sxy} * {sxy} / {sxx}')} / (({n} - 2) * {sxx})) END")
+        out.append(r(f"sign({est}) * ln(1 + abs({est}))", f"{v}_estimate", 7))
+        out.append(r(f"ln(1 + {se})", f"{v}_std.error", 7))
     return ", ".join(out)
 
 
+def _signed_log(name: str):
+    """The measures span seven orders of magnitude; shown on a signed log scale."""
+    x = F.col(f"`{name}`")
+    return (F.signum(x) * F.log1p(F.abs(x))).alias(name)
+
+
 def _survey_waves(spark, folder):
     waves = wave_table(spark, folder).select("Year", "Latitude", "Longitude", *WAVE_MEASURES)
     survey = _survey_by_site(spark, folder).select("SiteName", "Latitude", "Longitude", "Year")
@@ -127,7 +135,7 @@ SELECT "SiteName", {_slots(WAVE_MEASURES)} FROM sw GROUP BY "SiteName", "Latitud
 def wave_trends(spark, folder):
     out = site_trends.wave_trends(_survey_waves(spark, folder), WAVE_MEASURES)
     return rounded(out.select(
-        "SiteName", *[F.col(f"`{v}_{c}`") for v in WAVE_MEASURES for c in ("estimate", "std.error")]), 5)
+        "SiteName", *[_signed_log(f"{v}_{c}") for v in WAVE_MEASURES for c in ("estimate", "std.error")]), 7)
 
 
 @query("merged_site_trends", with_ctes("survey series prior_slopes", _MERGED.replace('s."SiteName"', 's."Site" AS "SiteName"') + f"""

@@ -13,8 +13,27 @@ NATIONS = 25  # columns of the wide wave sheets, one per nation
 WINDOW = (1996, 2000)  # study window inside the tables' years 1995-2001
 
 
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,"
+              " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE,"
+                " l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING,"
+                " l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table with its declared schema (no job to infer it)."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def point(key: Column) -> list[Column]:
@@ -97,8 +116,8 @@ def wave_lines(spark, folder) -> DataFrame:
     )
 
 
-def wave_sheet(spark, folder, measure: str, month: bool = False) -> DataFrame:
-    """Wide sheet: one row per year (and month), one column per nation."""
+def wave_sheet(lines: DataFrame, measure: str, month: bool = False) -> DataFrame:
+    """Wide sheet of the wave lines: one row per year (and month), one column per nation."""
     agg = {
         "mean_energy": F.avg("energy"),
         "sum_energy": F.sum("energy"),
@@ -108,7 +127,7 @@ def wave_sheet(spark, folder, measure: str, month: bool = False) -> DataFrame:
     }[measure]
     ids = ["Year", "Month"] if month else ["Year"]
     # The heights take 50 distinct values, which bounds what the percentile holds.
-    return wave_lines(spark, folder).groupBy(*ids).pivot("s_nationkey", list(range(NATIONS))).agg(agg)
+    return lines.groupBy(*ids).pivot("s_nationkey", list(range(NATIONS))).agg(agg)
 
 
 def wave_coords(spark, folder) -> DataFrame:
