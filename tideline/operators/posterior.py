@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.semantics import named
 from .climate import totals
 from .joins import natural_join, with_one_row
 from .quantiles import cumulative_counts, grouped_quantiles
@@ -192,31 +191,26 @@ def waic_table(models: Mapping[str, DataFrame], **cols) -> DataFrame:
 
 # ---------------------------------------------------------------- fitted effects
 
-def _effect(terms: Mapping[str, Sequence[str]]) -> Column:
-    """Sum over the coefficients of each times the product of its axes."""
-    out = None
-    for coef, axes in terms.items():
-        part = named(coef)
-        for a in axes:
-            part = part * F.col(a)
-        out = part if out is None else out + part
-    return out
+def _effect(terms: Mapping[str, Sequence[str]]) -> str:
+    """SQL of the sum over the coefficients of each times the product of its axes."""
+    return " + ".join(" * ".join(f"`{c}`" for c in (coef, *axes)) for coef, axes in terms.items())
 
 
 def effect_over_axes(
-    draws: DataFrame, axes: DataFrame, terms: Mapping[str, Sequence[str]], probs: Mapping[str, float], name: str, **how
+    draws: DataFrame, axes: DataFrame, terms: Mapping[str, Sequence[str]], probs: Mapping[str, float], name: str,
+    n_draws: int | None = None, **how,
 ) -> DataFrame:
     """Mean and quantiles, over the draws, of an effect at each point of a grid.
 
     ``axes`` is the one-row table of axis arrays. Each draw is expanded axis by
     axis in its own task, so neither the grid nor the product is ever shipped.
+    Every point has as many values as there are draws; they are counted unless given.
     """
     names = [c.removeprefix("axis_") for c in axes.columns]
-    points = expand_axes(with_one_row(draws.select(*[named(c) for c in terms]), axes), names)
-    valued = points.select(*names, _effect(terms).alias("_effect"))
-    return grouped_quantiles(
-        valued, names, "_effect", probs, [F.avg("_effect").alias(name)], group_rows=draws.count(), **how
-    )
+    points = expand_axes(with_one_row(draws.selectExpr(*[f"`{c}`" for c in terms]), axes), names)
+    valued = points.selectExpr(*names, f"{_effect(terms)} AS _effect")
+    group_rows = draws.count() if n_draws is None else n_draws
+    return grouped_quantiles(valued, names, "_effect", probs, [F.avg("_effect").alias(name)], group_rows=group_rows, **how)
 
 
 def linear_predictor(draws: DataFrame, axes: DataFrame, terms: Mapping[str, Sequence[str]], tail: float = 0.1, **how):

@@ -110,9 +110,8 @@ TERMS = dict(zip(_NAMES, _COMBOS))
 
 def wide_draws(spark, folder):
     """One row per draw, one column per coefficient of the four-way interaction."""
-    e = F.col("embedding")
-    return table(spark, folder, "embeddings").select(
-        *[e[i].cast("double").alias(n) for i, n in enumerate(_NAMES)])
+    return table(spark, folder, "embeddings").selectExpr(
+        *[f"CAST(embedding[{i}] AS DOUBLE) AS `{n}`" for i, n in enumerate(_NAMES)])
 
 
 def effect_axes(spark, folder, spaced: str, n: int, fixed: dict):
@@ -198,17 +197,17 @@ def site_coefficients(spark, folder):
 
 def _fits(spark, folder):
     """Log-likelihood of each supplier's balance under each draw (sites are nations)."""
-    e = F.col("embedding")
     emb = table(spark, folder, "embeddings")
 
     def per(name, count, cols):
-        rows = F.array(*[F.struct(F.lit(i).alias(name), *[x.alias(n) for n, x in cols(i).items()]) for i in range(count)])
-        return emb.select(F.col("vec_id").alias("draw"), F.inline(rows))
+        rows = ", ".join(
+            f"named_struct('{name}', {i}, " + ", ".join(f"'{n}', {x}" for n, x in cols(i).items()) + ")" for i in range(count))
+        return emb.selectExpr("vec_id AS draw", f"inline(array({rows}))")
 
-    d = lambda i: e[i].cast("double")
+    d = "CAST(embedding[{}] AS DOUBLE)".format
     site = per("site", 25, lambda i: {"beta1": d(i), "beta2": d(i + 25)})
     group = per("group", 5, lambda i: {"mu1": d(i + 50), "mu2": d(i + 55)})
-    study = per("study", 4, lambda i: {"sd_e": F.abs(d(60 + i)) + 0.5})
+    study = per("study", 4, lambda i: {"sd_e": f"abs({d(60 + i)}) + 0.5D"})
     places = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
     obs = table(spark, folder, "supplier").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("obs"), F.col("s_nationkey").alias("site"), F.col("n_regionkey").alias("group"),

@@ -111,7 +111,7 @@ def _slots(measures) -> str:
         se = (f"CASE WHEN {n} > 2 AND {sxx} > 1e-9 THEN "
               f"sqrt({_resid(syy, f'{sxy} * {sxy} / {sxx}')} / (({n} - 2) * {sxx})) END")
         out.append(r(f"sign({est}) * ln(1 + abs({est}))", f"{v}_estimate", 7))
-        out.append(r(f"ln(1 + {se})", f"{v}_std.error", 7))
+        out.append(r(f"ln(1 + {se})", f"{v}_std.error", 5))
     return ", ".join(out)
 
 
@@ -135,7 +135,8 @@ SELECT "SiteName", {_slots(WAVE_MEASURES)} FROM sw GROUP BY "SiteName", "Latitud
 def wave_trends(spark, folder):
     out = site_trends.wave_trends(_survey_waves(spark, folder), WAVE_MEASURES)
     return rounded(out.select(
-        "SiteName", *[_signed_log(f"{v}_{c}") for v in WAVE_MEASURES for c in ("estimate", "std.error")]), 7)
+        "SiteName", *[_signed_log(f"{v}_{c}") for v in WAVE_MEASURES for c in ("estimate", "std.error")]
+    ), 7, **{f"{v}_std.error": 5 for v in WAVE_MEASURES})
 
 
 @query("merged_site_trends", with_ctes("survey series prior_slopes", _MERGED.replace('s."SiteName"', 's."Site" AS "SiteName"') + f"""
@@ -228,21 +229,44 @@ def multi_ols(spark, folder):
     return rounded(regression.coefficients(model, rows_).select("term", "estimate"), 3)
 
 
-@query("ols_interactions")
+# Least squares by successive orthogonalization: e1, e2, e3 are the residuals of
+# quantity, discount and their product on the columns before them.
+_OLS = """WITH q AS (SELECT l_extendedprice AS y, l_quantity AS a, l_discount AS b, l_quantity * l_discount AS c FROM lineitem)
+, m AS (SELECT count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc FROM q)
+, z AS (SELECT y - my AS y, a - ma AS e1, b - mb AS b, c - mc AS c FROM q, m)
+, k1 AS (SELECT sum(e1 * e1) AS s1, sum(e1 * b) / sum(e1 * e1) AS r12, sum(e1 * c) / sum(e1 * e1) AS r13, sum(e1 * y) / sum(e1 * e1) AS g1 FROM z)
+, z2 AS (SELECT y, e1, b - r12 * e1 AS e2, c FROM z, k1)
+, k2 AS (SELECT sum(e2 * e2) AS s2, sum(e2 * c) / sum(e2 * e2) AS r23, sum(e2 * y) / sum(e2 * e2) AS g2 FROM z2)
+, z3 AS (SELECT y, e1, e2, c - r13 * e1 - r23 * e2 AS e3 FROM z2, k1, k2)
+, k3 AS (SELECT sum(e3 * e3) AS s3, sum(e3 * y) / sum(e3 * e3) AS g3 FROM z3)
+, v AS (SELECT sum(pow(y - g1 * e1 - g2 * e2 - g3 * e3, 2)) / (any_value(n) - 4) AS s FROM z3, m, k1, k2, k3)
+, t AS (SELECT *, g3 AS c3, g2 - r23 * g3 AS c2, g1 - r12 * (g2 - r23 * g3) - r13 * g3 AS c1 FROM m, k1, k2, k3, v)
+, o AS (SELECT 'quantity' AS term, c1 AS est, s * (1 / s1 + r12 * r12 / s2 + pow(r12 * r23 - r13, 2) / s3) AS var FROM t
+  UNION ALL SELECT 'discount', c2, s * (1 / s2 + r23 * r23 / s3) FROM t
+  UNION ALL SELECT 'quantity:discount', c3, s / s3 FROM t
+  UNION ALL SELECT '(Intercept)', my - c1 * ma - c2 * mb - c3 * mc,
+    s * (1.0::DOUBLE / n + ma * ma / s1 + pow(mb - r12 * ma, 2) / s2 + pow(mc - r23 * mb + (r12 * r23 - r13) * ma, 2) / s3) FROM t)"""
+
+
+@query("ols_interactions", f"""{_OLS}
+SELECT term, {r("est", "estimate", 3)}, {r("sqrt(var)", "std.error", 3)}, {r("est / sqrt(var)", "statistic", 5)} FROM o""")
 def ols_interactions(spark, folder):
     rows_ = _ols_frame(spark, folder)
     model = regression.multi_ols(rows_, "price ~ quantity * discount")
-    return rounded(regression.coefficients(model, rows_), 4)
+    return rounded(regression.coefficients(model, rows_).drop("p.value"), 3, statistic=5)
 
 
-@query("ols_predictions")
+@query("ols_predictions", f"""{_OLS}
+, x AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, quantile_cont(l_discount, 0.25) AS q1, quantile_cont(l_discount, 0.75) AS q3 FROM lineitem)
+, g AS (SELECT lo + (hi - lo) / 19.0 * i AS quantity, unnest([q1, q3]) AS discount FROM x CROSS JOIN (SELECT unnest(range(0, 20)) AS i))
+SELECT {rs("quantity discount")}, {r("my + c1 * (quantity - ma) + c2 * (discount - mb) + c3 * (quantity * discount - mc)", "pred", 3)} FROM g, t""")
 def ols_predictions(spark, folder):
     from ..operators.reshape import grid
 
     rows_ = _ols_frame(spark, folder)
     model = regression.multi_ols(rows_, "price ~ quantity * discount")
     points = grid(rows_, spaced_over={"quantity": 20}, quantiles={"discount": (0.25, 0.75)})
-    return rounded(regression.predict(model, points), 4)
+    return rounded(regression.predict(model, points), 6, pred=3)
 
 
 @query("meta_regression")
