@@ -1,10 +1,11 @@
 """Exact quantiles and ranks that survive a group holding most of the rows.
 
-``percentile`` is exact but keeps every distinct value of a group in one task.
-That is right for ordinary groups. A group with more than ``heavy_rows`` values is
-bracketed instead: a mergeable sketch gives, for each probability, a narrow value
-interval certain to hold the wanted order statistics; one pass counts the values
-below it, and only the values inside it are ranked.
+``percentile`` and a window are exact but keep a group in one task. That is right
+for ordinary groups; one aggregate finds out whether there are others. A group
+with more rows is split by value: a mergeable sketch gives value intervals, for
+quantiles narrow ones certain to hold the wanted order statistics, for ranks
+edges of about equal weight. A sketch depends on the order its parts arrive in,
+so it is written out once before anything is compared with it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import natural_join
+from .materialize import cut
 
 HEAVY_ROWS = 100_000  # values of one group an exact percentile may hold in a task's memory
 RANK_ROWS = 1_000_000  # values of one group a (spilling) window may rank in one task
@@ -30,6 +32,16 @@ def _same(keys: Sequence[str], a: str, b: str) -> str:
     return " AND ".join(f"{a}.`{k}` <=> {b}.`{k}`" for k in keys)
 
 
+def heavy_groups(df: DataFrame, keys: Sequence[str], value: str, heavy_rows: int) -> DataFrame | None:
+    """Keys of the groups with more non-missing values than one task should hold, if any.
+
+    At most rows / heavy_rows of them exist. The check is one aggregate.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
+    heavy = cut(sizes.where(f"_n > {heavy_rows}").drop("_n"))
+    return None if heavy.isEmpty() else heavy
+
+
 def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -50,7 +62,9 @@ def grouped_quantiles(
         if group_rows <= heavy_rows:
             return _held_quantiles(df, keys, value, probs, extra)
         return _bracketed_quantiles(df, keys, value, probs, extra, heavy_rows)
-    heavy = df.groupBy(*keys).agg(F.count(value).alias("_n")).where(f"_n > {heavy_rows}").drop("_n")
+    heavy = heavy_groups(df, keys, value, heavy_rows)
+    if heavy is None:
+        return _held_quantiles(df, keys, value, probs, extra)
     light = natural_join(df, heavy, keys, "left_anti")
     big = natural_join(df, heavy, keys, "left_semi")
     return _held_quantiles(light, keys, value, probs, extra).unionByName(
@@ -82,16 +96,16 @@ def _bracketed_quantiles(
         f" '_hi', if(_n > {heavy_rows}, _e[{2 * i + 1}], _max))"
         for i, p in enumerate(probs.values())
     )
+    sketch = df.groupBy(*keys).agg(
+        F.expr(f"count(`{value}`) AS _n"), F.expr(f"min(`{value}`) AS _min"), F.expr(f"max(`{value}`) AS _max"),
+        F.expr(f"percentile_approx(`{value}`, array({asked}), {SKETCH_ACCURACY}) AS _e"),
+    ).where("_n > 0")
+    bracket = cut(sketch.selectExpr(*[f"`{k}`" for k in keys], "_n", f"inline(array({brackets}))"))
     wide = df.sparkSession.sql(
         f"""
         WITH x AS (SELECT {_names(keys)}, `{value}` AS _v FROM {{df}} WHERE `{value}` IS NOT NULL),
-        sketch AS (
-          SELECT {_names(keys)}, count(_v) AS _n, min(_v) AS _min, max(_v) AS _max,
-                 percentile_approx(_v, array({asked}), {SKETCH_ACCURACY}) AS _e
-          FROM x GROUP BY {_names(keys)}),
-        bracket AS (SELECT {_names(keys)}, _n, inline(array({brackets})) FROM sketch),
         placed AS (
-          SELECT {_names(keys, "x.")}, _v, _n, _i, _p, _lo, _hi FROM x JOIN bracket b ON {_same(keys, "x", "b")}),
+          SELECT {_names(keys, "x.")}, _v, _n, _i, _p, _lo, _hi FROM x JOIN {{bracket}} b ON {_same(keys, "x", "b")}),
         below AS (
           SELECT {_names(keys)}, _i, count_if(_v < _lo) AS _below FROM placed GROUP BY {_names(keys)}, _i),
         inside AS (
@@ -114,6 +128,7 @@ def _bracketed_quantiles(
         FROM picked GROUP BY {_names(keys)}
         """,
         df=df,
+        bracket=bracket,
     )
     # The groups without any value come from the aggregate, hence the right join.
     return natural_join(wide, df.groupBy(*keys).agg(*extra), keys, "right") if extra else wide
@@ -124,23 +139,47 @@ def cumulative_counts(
 ) -> DataFrame:
     """One row per distinct (group, value): group size, rank of the first and of the last copy.
 
-    Copies collapse before any shuffle. Inside a group the distinct values are
-    cut at sketch edges when there are many, so no task ranks a whole heavy group.
+    Copies collapse before any shuffle, and no task ranks a whole heavy group.
     """
+    keys = list(keys)
+    values = df.select(*keys, value).where(f"`{value}` IS NOT NULL")
+    heavy = heavy_groups(values, keys, value, heavy_rows)
+    if heavy is None:
+        return _held_ranks(values, keys, value)
+    light = natural_join(values, heavy, keys, "left_anti")
+    return _held_ranks(light, keys, value).unionByName(
+        _split_ranks(natural_join(values, heavy, keys, "left_semi"), keys, value)
+    )
+
+
+def _held_ranks(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    k = _names(keys)
+    return values.sparkSession.sql(
+        f"""
+        WITH d AS (SELECT {k}, `{value}`, count(*) AS _c FROM {{values}} GROUP BY {k}, `{value}`),
+        w AS (
+          SELECT *, sum(_c) OVER (PARTITION BY {k}) AS n,
+                 sum(_c) OVER (PARTITION BY {k} ORDER BY `{value}`
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum FROM d)
+        SELECT {k}, `{value}`, n, _cum - _c + 1 AS first_rank, _cum AS last_rank FROM w
+        """,
+        values=values,
+    )
+
+
+def _split_ranks(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Ranks inside bins between sketch edges, plus the counts of the bins before."""
     k = _names(keys)
     edges = ", ".join(f"{i / EDGE_COUNT!r}D" for i in range(1, EDGE_COUNT))
-    return df.sparkSession.sql(
+    sizes = cut(values.groupBy(*keys).agg(
+        F.expr("count(*) AS n"), F.expr(f"percentile_approx(`{value}`, array({edges}), 1000) AS _e")
+    ))
+    return values.sparkSession.sql(
         f"""
-        WITH distinct_values AS (
-          SELECT {k}, `{value}`, count(*) AS _c FROM {{df}} WHERE `{value}` IS NOT NULL GROUP BY {k}, `{value}`),
-        sizes AS (
-          SELECT {k}, sum(_c) AS n,
-                 CASE WHEN count(*) > {heavy_rows} THEN percentile_approx(`{value}`, array({edges}), 1000)
-                      ELSE array() END AS _e
-          FROM distinct_values GROUP BY {k}),
+        WITH d AS (SELECT {k}, `{value}`, count(*) AS _c FROM {{values}} GROUP BY {k}, `{value}`),
         binned AS (
           SELECT {_names(keys, "d.")}, d.`{value}`, _c, n, size(filter(_e, e -> e < d.`{value}`)) AS _bin
-          FROM distinct_values d JOIN sizes s ON {_same(keys, "d", "s")}),
+          FROM d JOIN {{sizes}} s ON {_same(keys, "d", "s")}),
         offsets AS (
           SELECT {k}, _bin, coalesce(sum(_t) OVER (PARTITION BY {k} ORDER BY _bin
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _o
@@ -151,5 +190,6 @@ def cumulative_counts(
         SELECT {_names(keys, "s.")}, s.`{value}`, n, _o + _cum - _c + 1 AS first_rank, _o + _cum AS last_rank
         FROM summed s JOIN offsets o ON {_same([*keys, "_bin"], "s", "o")}
         """,
-        df=df,
+        values=values,
+        sizes=sizes,
     )
