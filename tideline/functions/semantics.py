@@ -36,12 +36,10 @@ def missing_to_null(df: DataFrame, cols: Iterable[str] | None = None, sentinel:
     return df.withColumns(fixed) if fixed else df
 
 
-def strict_mean(value: Column, scope: Column | None = None) -> Column:
-    """Mean over the rows in scope, NULL as soon as one of them is missing."""
-    if scope is None:
-        scope = F.lit(True)
-    inside = F.when(scope, value)
-    return F.when(F.count_if(scope) == F.count(inside), F.avg(inside))
+def strict_mean(value: str, scope: str = "true") -> Column:
+    """Mean over the rows in scope, NULL as soon as one of them is missing (SQL expressions)."""
+    inside = f"if({scope}, {value}, NULL)"
+    return F.expr(f"if(count_if({scope}) = count({inside}), avg({inside}), NULL)")
 
 
 def coord_key(coord: Column, digits: int = KEY_DIGITS) -> Column:

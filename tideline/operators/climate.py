@@ -24,6 +24,11 @@ SUMMER = (6, 8)
 MONTHS_PER_YEAR = 12
 
 
+def _season(date: str, months: tuple[int, int]) -> str:
+    """SQL condition of a date lying in a season."""
+    return f"month(`{date}`) BETWEEN {months[0]} AND {months[1]}"
+
+
 def annual_summary(df: DataFrame, keys: Sequence[str], value: str = "tempC") -> DataFrame:
     """Mean, maximum and sample sd per location and year."""
     return df.groupBy(*keys).agg(
@@ -51,11 +56,10 @@ def seasonal_means(
 ) -> DataFrame:
     """Overall mean, and spring and summer means that are missing if any month is."""
     rows = study_window(df, *window) if window else study_window(df)
-    month = F.month(date)
     return rows.groupBy(*keys).agg(
         F.avg(value).alias(f"mean_temp_{suffix}"),
-        strict_mean(F.col(value), month.between(*SPRING)).alias(f"march_may_temp_{suffix}"),
-        strict_mean(F.col(value), month.between(*SUMMER)).alias(f"june_aug_temp_{suffix}"),
+        strict_mean(f"`{value}`", _season(date, SPRING)).alias(f"march_may_temp_{suffix}"),
+        strict_mean(f"`{value}`", _season(date, SUMMER)).alias(f"june_aug_temp_{suffix}"),
     )
 
 
@@ -64,18 +68,16 @@ def stress_counts(
     threshold: float = STRESS_THRESHOLD,
 ) -> DataFrame:
     """Mean and number of values at or above the threshold, by year and by season."""
-    month, x = F.month(date), F.col(value)
-
-    def pair(scope: Column, suffix: str) -> list[Column]:
+    def pair(scope: str, suffix: str) -> list[Column]:
         return [
-            F.avg(F.when(scope, x)).alias(f"mean_temp{suffix}"),
-            F.count_if(scope & (x >= threshold)).alias(f"stress_count{suffix}"),
+            F.expr(f"avg(`{value}`) FILTER (WHERE {scope}) AS mean_temp{suffix}"),
+            F.expr(f"count_if({scope} AND `{value}` >= {threshold!r}D) AS stress_count{suffix}"),
         ]
 
     return df.groupBy(*keys).agg(
-        *pair(F.lit(True), ""),
-        *pair(month.between(*SPRING), "_march_may"),
-        *pair(month.between(*SUMMER), "_june_august"),
+        *pair("true", ""),
+        *pair(_season(date, SPRING), "_march_may"),
+        *pair(_season(date, SUMMER), "_june_august"),
     )
 
 

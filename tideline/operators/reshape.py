@@ -33,8 +33,8 @@ def split_coord_key(df: DataFrame, key: str, lon: str = "GOWLon", lat: str = "GO
 
 def positional_long(df: DataFrame, ids: Sequence[str], value: str) -> DataFrame:
     """Wide to long keyed by the column's 0-based position ``pos``."""
-    rest = [c for c in df.columns if c not in set(ids)]
-    return df.select(*ids, F.posexplode(F.array(*[F.col(c).cast("double") for c in rest])).alias("pos", value))
+    cells = ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in df.columns if c not in set(ids))
+    return df.selectExpr(*[f"`{c}`" for c in ids], f"posexplode(array({cells})) AS (pos, `{value}`)")
 
 
 def spread_stats(
@@ -92,7 +92,8 @@ def data_axes(
 def expand_axes(df: DataFrame, axes: Sequence[str]) -> DataFrame:
     """Each row once per point of the grid its axis arrays span, exploded axis by axis."""
     for name in axes:
-        df = df.withColumn(name, F.explode(f"axis_{name}")).drop(f"axis_{name}")
+        rest = [f"`{c}`" for c in df.columns if c != f"axis_{name}"]
+        df = df.selectExpr(*rest, f"explode(`axis_{name}`) AS `{name}`")
     return df
 
 

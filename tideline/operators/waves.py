@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .joins import natural_left_join
+from .joins import natural_left_join, rounded_coord_join
 
 POINT_YEAR = ["Year", "GOWLon", "GOWLat"]
 # The measures kept by the deviation analysis, in table order.
@@ -66,4 +66,5 @@ def wave_frame(
     by_point = join(join(means, energy), height).withColumnsRenamed(
         {"GOWLon": "LonGOW", "GOWLat": "LatGOW"}
     )
-    return natural_left_join(points, by_point).withColumnsRenamed({"orig Lat": "Latitude", "orig Lon": "Longitude"})
+    # Point list and sheet come from different files: their coordinates meet on rounded keys.
+    return rounded_coord_join(points, by_point, ["LonGOW", "LatGOW"]).withColumnsRenamed({"orig Lat": "Latitude", "orig Lon": "Longitude"})

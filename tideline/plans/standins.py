@@ -118,16 +118,20 @@ def wave_lines(spark, folder) -> DataFrame:
 
 def wave_sheet(lines: DataFrame, measure: str, month: bool = False) -> DataFrame:
     """Wide sheet of the wave lines: one row per year (and month), one column per nation."""
-    agg = {
-        "mean_energy": F.avg("energy"),
-        "sum_energy": F.sum("energy"),
-        "mean_height": F.avg("height"),
-        "max_height": F.max("height"),
-        "q95_height": F.percentile("height", 0.95),
+    agg, column = {
+        "mean_energy": ("avg(energy)", "energy"),
+        "sum_energy": ("sum(energy)", "energy"),
+        "mean_height": ("avg(height)", "height"),
+        "max_height": ("max(height)", "height"),
+        # The heights take 50 distinct values, which bounds what the percentile holds.
+        "q95_height": ("percentile(height, 0.95)", "height"),
     }[measure]
-    ids = ["Year", "Month"] if month else ["Year"]
-    # The heights take 50 distinct values, which bounds what the percentile holds.
-    return lines.groupBy(*ids).pivot("s_nationkey", list(range(NATIONS))).agg(agg)
+    ids = "Year, Month" if month else "Year"
+    nations = ", ".join(str(n) for n in range(NATIONS))
+    return lines.sparkSession.sql(
+        f"SELECT * FROM (SELECT {ids}, s_nationkey, {column} FROM {{lines}}) PIVOT ({agg} FOR s_nationkey IN ({nations}))",
+        lines=lines,
+    )
 
 
 def wave_coords(spark, folder) -> DataFrame:
