@@ -110,6 +110,15 @@ def test_shortest_interval(grouped, heavy_rows, prob):
             assert r["upper"] - r["lower"] <= hi - lo + 0.02
 
 
+@pytest.mark.parametrize("heavy_rows", [5, 10**6])
+def test_shortest_interval_with_a_stated_group_size(spark, heavy_rows):
+    v = RNG.normal(0, 1, 400)
+    df = spark.createDataFrame([(i % 2, float(x)) for i, x in enumerate(v)], "k int, v double")
+    out = posterior.hpd_interval(df, ["k"], "v", 0.8, heavy_rows=heavy_rows, group_rows=200)
+    for r in out.collect():
+        assert (r["lower"], r["upper"]) == pytest.approx(hpd(v[r["k"]::2], 0.8))
+
+
 def chains_frame(spark, values):
     rows_ = [(c, i, "p", float(x)) for c, chain in enumerate(values) for i, x in enumerate(chain)]
     return spark.createDataFrame(rows_, "chain int, iteration int, param string, value double")

@@ -135,14 +135,17 @@ def _bracketed_quantiles(
 
 
 def cumulative_counts(
-    df: DataFrame, keys: Sequence[str], value: str, heavy_rows: int = RANK_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, heavy_rows: int = RANK_ROWS, group_rows: int | None = None
 ) -> DataFrame:
     """One row per distinct (group, value): group size, rank of the first and of the last copy.
 
     Copies collapse before any shuffle, and no task ranks a whole heavy group.
+    ``group_rows`` states the rows of every group where the caller knows it.
     """
     keys = list(keys)
     values = df.select(*keys, value).where(f"`{value}` IS NOT NULL")
+    if group_rows is not None:
+        return (_held_ranks if group_rows <= heavy_rows else _split_ranks)(values, keys, value)
     heavy = heavy_groups(values, keys, value, heavy_rows)
     if heavy is None:
         return _held_ranks(values, keys, value)

@@ -241,4 +241,5 @@ def pointwise_log_likelihood(spark, folder):
 , m AS (SELECT obs, any_value(y) AS y, avg(fit) AS y_hat FROM v GROUP BY 1)
 SELECT m.obs, {r("y", "y")}, {r("y_hat", "y_hat")}, {r("lo", "y_hat_L")}, {r("hi", "y_hat_U")}, {r("y - y_hat", "resid")} FROM m JOIN w ON m.obs = w.obs AND rn = 1""")
 def residual_table(spark, folder):
-    return rounded(posterior.residual_table(_fits(spark, folder)))
+    draws_per_obs = table(spark, folder, "embeddings").count()
+    return rounded(posterior.residual_table(_fits(spark, folder), group_rows=draws_per_obs))
