@@ -1,4 +1,4 @@
 """Importing this module registers the queries of every operator of the subpackage."""
 
-from tideline.llm import packing, pieces  # noqa: F401
+from tideline.llm import line_dedup, packing, pieces, quality_rules, url_filter  # noqa: F401
 from tideline.llm.common import ORACLES, QUERIES  # noqa: F401
