@@ -76,7 +76,7 @@ def default_rules(text: str = "text") -> dict[str, Column]:
         "repeated_words": 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
         "shouting": 10 * removed(body, "!") > F.col("n_words"),
         "capitals": 2 * removed(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") > F.col("word_chars"),
-        "repeated_lines": 10 * F.col("n_dup_lines") > 3 * (removed(body, "\n") + 1),
+        "repeated_lines": (F.col("n_dup_lines") > 2) & (10 * F.col("n_dup_lines") > 3 * (removed(body, "\n") + 1)),
         "unfinished_lines": 10 * (F.size(F.split(body, "\\.\\.\\.(?:\n|\\z)|…(?:\n|\\z)", -1)) - 1)
         > 3 * (removed(body, "\n") + 1),
     }
@@ -150,7 +150,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          OR 100 * n_repeat_words > 30 * n_words
          OR 10 * (length(text) - length(replace(text, '!', ''))) > n_words
          OR 2 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > word_chars
-         OR 10 * n_dup_lines > 3 * n_lines
+         OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)
          OR 10 * len(regexp_extract_all(text, '(?:\.\.\.|…)(?:\n|\z)')) > 3 * n_lines) AS kept
 FROM f
 """
