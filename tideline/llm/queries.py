@@ -1,4 +1,13 @@
 """Importing this module registers the queries of every operator of the subpackage."""
 
-from tideline.llm import line_dedup, ngram_join, packing, pieces, quality_rules, url_filter  # noqa: F401
+from tideline.llm import (  # noqa: F401
+    fingerprints,
+    line_dedup,
+    ngram_join,
+    packing,
+    pieces,
+    quality_rules,
+    substring_dedup,
+    url_filter,
+)
 from tideline.llm.common import ORACLES, QUERIES  # noqa: F401
