@@ -7,11 +7,14 @@ border, so each worker keeps the ids of the chunks that it has met. A table over
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterable
 
-import numpy as np
+Segment = Callable[[list[str]], list[bytes]]  # ids of each chunk, four little-endian bytes each
 
-Segment = Callable[[list[str]], list[list[int]]]
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ChunkTable:
@@ -26,12 +29,9 @@ class ChunkTable:
             self.ids.clear()
         new = list(set().union(*chunked).difference(self.ids))
         if new:
-            self.ids.update(
-                (chunk, np.asarray(ids, "<u4").tobytes())
-                for chunk, ids in zip(new, self.segment(new), strict=True)
-            )
+            self.ids.update(zip(new, self.segment(new), strict=True))
         return new
 
     def joined(self, chunks: list[str]) -> bytes:
-        """The ids of the chunks in order, four little-endian bytes each."""
+        """The ids of the chunks in order."""
         return b"".join(map(self.ids.__getitem__, chunks))

@@ -20,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tideline.llm.chunk_table import ChunkTable
+from tideline.llm.chunk_table import ChunkTable, packed
 from tideline.llm.common import checkpointed, map_arrow, map_pandas, query, slices, table, texts_of
 
-_SPACES = re.compile(r"\s\s|\A\s|\s\Z")
+#: White space other than a space or line feed, to either library.
+_OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B)))
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 _WORKER: dict = {}
 
@@ -35,7 +37,10 @@ def spaced_words(text: str) -> list[str]:
     around it, so the parts can be tokenized alone. Every part but the first has
     lost its space.
     """
-    return _BORDER.split(text) if _SPACES.search(text) else text.split(" ")
+    if (text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
+            or any(c in text for c in _OTHER_SPACE)):
+        return _BORDER.split(text)
+    return text.split(" ")
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0,
@@ -58,7 +63,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
         key = (hash(spec.value), bound)
         if _WORKER.get("key") != key:
             tokenizer = Tokenizer.from_str(spec.value)
-            encode = lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+            encode = lambda parts: [packed(e.ids) for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
             _WORKER.update(key=key, first=ChunkTable(encode, bound),
                            later=ChunkTable(lambda parts: encode([" " + p for p in parts]), bound))
         first, later = _WORKER["first"], _WORKER["later"]

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tideline.llm.chunk_table import ChunkTable
+from tideline.llm.chunk_table import ChunkTable, packed
 from tideline.llm.common import map_arrow, query, slices, table, texts_of, with_columns
 
 MARK = "▁"
@@ -49,7 +49,7 @@ class PieceTable(ChunkTable):
         names = map(self.processor.id_to_piece, range(self.processor.get_piece_size()))
         if any(crossing.search(p) for p in names):
             raise ValueError("pieces of this model cross white-space markers; words can't be segmented alone")
-        super().__init__(lambda words: self.processor.encode(words, num_threads=1), bound)
+        super().__init__(lambda words: [packed(ids) for ids in self.processor.encode(words, num_threads=1)], bound)
         self.other: dict[str, str] = {}
 
     def learn(self, chunked) -> list[str]:

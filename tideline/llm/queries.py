@@ -8,6 +8,7 @@ from tideline.llm import (  # noqa: F401
     pieces,
     quality_rules,
     substring_dedup,
+    toxicity,
     url_filter,
 )
 from tideline.llm.common import ORACLES, QUERIES  # noqa: F401
