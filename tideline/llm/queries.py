@@ -2,6 +2,7 @@
 
 from tideline.llm import (  # noqa: F401
     fingerprints,
+    html_extract,
     line_dedup,
     ngram_join,
     packing,
