@@ -272,13 +272,19 @@ def decode(nodes: list[Node], own: list[int], logits: np.ndarray) -> list[int]:
     return states
 
 
-def main_text(source: str, trees: Trees | None) -> str:
-    """The article's blocks in page order, parted by empty lines."""
-    page = page_of(source)
+def main_texts(sources: list[str], trees: Trees | None) -> list[str]:
+    """The main text of each page; the trees run over the nodes of all of them at once."""
+    pages = [page_of(source) for source in sources]
     if trees is None:
-        states = [INSIDE if x else OUTSIDE for x in named_article(page.nodes)]
-    else:
-        states = decode(page.nodes, page.own, trees.logits(page.features))
+        return [written(p.nodes, [INSIDE if x else OUTSIDE for x in named_article(p.nodes)]) for p in pages]
+    logits = trees.logits(np.concatenate([p.features for p in pages])) if pages else np.zeros(0)
+    ends = np.cumsum([len(p.nodes) for p in pages])
+    return [written(p.nodes, decode(p.nodes, p.own, part))
+            for p, part in zip(pages, np.split(logits, ends[:-1]), strict=True)] if pages else []
+
+
+def written(nodes: list[Node], states: list[int]) -> str:
+    """The texts inside the article as blocks in page order, parted by empty lines."""
     out: list[str] = []
     todo: list = [0]
     while todo:  # page order, without recursion
@@ -286,7 +292,7 @@ def main_text(source: str, trees: Trees | None) -> str:
         if isinstance(item, tuple):
             out.append(item[0])
             continue
-        for x in reversed(page.nodes[item].items):
+        for x in reversed(nodes[item].items):
             if isinstance(x, int):
                 todo.append(x)
             elif states[item] == INSIDE and (piece := shown(x)):
@@ -320,7 +326,7 @@ def extract(pages: DataFrame, sample_rows: int = 200, longest: int = 50_000, key
         if "trees" not in cache:
             cache["trees"] = pickle.loads(model.value)
         for batch in slices(batches, "html"):
-            texts = [main_text(h, cache["trees"]) if h else "" for h in texts_of(batch, "html")]
+            texts = main_texts(texts_of(batch, "html"), cache["trees"])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=[*kept, "text", "n_chars"])

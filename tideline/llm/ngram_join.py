@@ -260,23 +260,12 @@ def class_links(classes: DataFrame, docs: DataFrame, text: str, n: int, percent:
     return filled.groupBy("token", "low", "high").applyInPandas(compare, "a binary, b binary")
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5,
-                 percent: int = 80) -> DataFrame:
-    """``docs`` without the text, with n_shingles, class_id and component_id.
-
-    Words are runs of characters other than white space, A-Z in lower case. A document's set
-    are its distinct ``n``-word shingles; with fewer words, the whole sequence as one; without
-    a word, nothing. Documents link when 100 * |intersection| >= percent * |union|. class_id is
-    the smallest doc_id of the documents with the same set, component_id the smallest that links
-    reach, itself included; a document without words is in a component of its own. Null
-    texts are empty; rows that repeat a doc_id take part each by its own text; a null doc_id
-    is never the smallest if there is another. Every row gives one row; other columns pass
-    through; columns named like an output are replaced; an empty table gives an empty table.
-    """
+def _grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+    """``docs`` without the text, with _k1, _k2 (digests of doc_id and text), n_shingles, class_id,
+    component_id and _group (the digest of a set that stands for the component; null without words)."""
     outputs = ("n_shingles", "class_id", "component_id")
     kept = [c for c in docs.columns if c not in outputs or c in (doc_id, text)]
-    keyed = docs.select(*[f"`{c}`" for c in kept]).withColumns({
-        f"_k{i}": F.xxhash64(F.lit(i), F.col(doc_id), F.col(text)) for i in (1, 2)})
+    keyed = _keyed(docs.select(*[f"`{c}`" for c in kept]), doc_id, text)
     counts = bucket_counts(keyed, text, n)
     rows = checkpointed(shingled(keyed, text, n, percent, counts, whole=False))
     classes = checkpointed(
@@ -289,15 +278,54 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         found.select(F.col("node").alias("sig"), "component"), "sig", "left")
     reached = known.where("component IS NOT NULL").groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = known.join(reached, "component", "left").select(
-        "sig", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+        "sig", "class_id", F.coalesce("component_id", "class_id").alias("component_id"),
+        F.coalesce("component", "sig").alias("_group"))
     return (
         rows.join(named, "sig", "left")  # empty sets have a digest of their own, which no class has
-        .select(*[f"`{c}`" for c in kept if c != text], "n_shingles",
+        .select(*[f"`{c}`" for c in kept if c != text], "_k1", "_k2", "_group", "n_shingles",
                 F.coalesce("class_id", F.col(doc_id)).alias("class_id"),
                 F.coalesce("component_id", F.col(doc_id)).alias("component_id"))
     )
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.withColumns({f"_k{i}": F.xxhash64(F.lit(i), F.col(doc_id), F.col(text)) for i in (1, 2)})
+
+
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5,
+                 percent: int = 80) -> DataFrame:
+    """``docs`` without the text, with n_shingles, class_id and component_id.
+
+    Words are runs of characters other than white space, A-Z in lower case. A document's set
+    are its distinct ``n``-word shingles; with fewer words, the whole sequence as one; without
+    a word, nothing. Documents link when 100 * |intersection| >= percent * |union|. class_id is
+    the smallest doc_id of the documents with the same set, component_id the smallest that links
+    reach, itself included; a document without words is in a component of its own. Null
+    texts are empty; rows that repeat a doc_id take part each by its own text; a null doc_id
+    is never the smallest if there is another. Every row gives one row; other columns pass
+    through; columns named like an output are replaced; an empty table gives an empty table.
+    """
+    return _grouped(docs, doc_id, text, n, percent).drop("_k1", "_k2", "_group")
+
+
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5,
+                      percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest doc_id.
+
+    Links are those of ``jaccard_join``. Documents without words all stay; rows equal in doc_id
+    and text are one document, of which one row stays. Nulls and ties: as there, nulls first.
+    """
+    words = F.col("n_shingles") > 0
+    first = (
+        _grouped(docs.select(doc_id, text), doc_id, text, n, percent)
+        .groupBy("_group", F.when(~words, F.col("_k1")).alias("_e1"), F.when(~words, F.col("_k2")).alias("_e2"))
+        .agg(F.min(F.struct(doc_id, "_k1", "_k2")).alias("_first"))
+        .select("_first._k1", "_first._k2")
+    )
+    kept = _keyed(docs, doc_id, text).join(first, ["_k1", "_k2"], "left_semi")
+    return kept.dropDuplicates(["_k1", "_k2"]).select(*[f"`{c}`" for c in docs.columns])
+
+
 @query("op4_ngram_jaccard_join")
 def op4_ngram_jaccard_join(spark, sf_dir):
     """Components of documents whose 3-word shingles are alike by 0.9 or more."""
