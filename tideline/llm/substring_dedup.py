@@ -98,12 +98,14 @@ def later_chunks(chunks: DataFrame) -> DataFrame:
     """(_id, _key, _later): per document the ordinals of chunks that occur at an earlier place.
 
     Places are ordered by doc_id (nulls first), key and ordinal. A digest that very many
-    places share is counted before the shuffle and met by joins that Spark can split.
+    places share is counted before the shuffle. What is counted is written before it is joined:
+    both sides of the joins then are plain shuffles, whose large partitions Spark splits.
     """
-    repeated = chunks.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest")
+    repeated = checkpointed(
+        chunks.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest"))
     shared = checkpointed(chunks.join(repeated, "_digest", "left_semi").select(
         "_digest", F.struct("_id", "_key", "_ordinal").alias("_place")))
-    firsts = shared.groupBy("_digest").agg(F.min("_place").alias("_first"))
+    firsts = checkpointed(shared.groupBy("_digest").agg(F.min("_place").alias("_first")))
     return (
         shared.join(firsts, "_digest").where(F.col("_place") != F.col("_first"))
         .groupBy("_place._id", "_place._key").agg(F.collect_set("_place._ordinal").alias("_later"))
