@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,13 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir and read from there.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
 
     Without that setting a local session (tests) uses a temporary folder of this
     machine; any other session raises, since its executors share no such folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,7 +49,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
             shared = tempfile.mkdtemp(prefix="tideline-checkpoint-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet to the session's checkpoint folder and read from there.
+
+    It cuts the lineage as checkpoint() does, but in compressed columns and with a size that
+    Spark knows when it plans joins. Files stay until the folder is cleared.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _shipped(spark: SparkSession) -> None:
