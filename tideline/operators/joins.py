@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.semantics import KEY_DIGITS, coord_key
+from ..functions.semantics import KEY_DIGITS, coord_key, named
 
 log = logging.getLogger(__name__)
 
@@ -99,8 +99,16 @@ def tag_each(df: DataFrame, name: str, labels: Sequence[str]) -> DataFrame:
 
 
 def with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a global aggregate (always exactly one row)."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Attach the columns of a one-row table, such as a global aggregate.
+
+    The row goes through an aggregate here, so the product has one row per row of ``df``
+    whatever is passed: no row gives NULLs, more than one is an error.
+    """
+    once = one_row.agg(
+        F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("more than one row to attach"))).alias("_many"),
+        F.first(F.struct(*[named(c) for c in one_row.columns])).alias("_row"))
+    return df.crossJoin(F.broadcast(once)).where(F.col("_many").isNull()).select(
+        *[named(c) for c in df.columns], *[F.col("_row")[c].alias(c) for c in one_row.columns])
 
 
 def rounded_coord_join(

@@ -12,8 +12,11 @@ def _checkpoint_dir_ready(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        # The fallback only serves a local session that names no shared folder.
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tideline-checkpoint-"))
+        if shared is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="tideline-checkpoint-")  # a local session has one machine
+        sc.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -248,10 +248,16 @@ def pointwise_loglik(
     """Lognormal log-density, standardized residual and mean prediction per draw and observation.
 
     obs (obs, site, group, study, x, y); site_draws (draw, site, beta1, beta2);
-    group_draws (draw, group, mu1, mu2); study_draws (draw, study, sd_e). Only the
-    first join multiplies rows, and its result is what is asked for.
+    group_draws (draw, group, mu1, mu2); study_draws (draw, study, sd_e). The draws of
+    each (site, group, study) are put together first; the observations, of which there
+    are many more, meet them in the last join alone, whose result is what is asked for.
     """
-    rows = obs.join(site_draws, "site").join(group_draws, ["group", "draw"]).join(study_draws, ["study", "draw"])
+    places = ["site", "group", "study"]
+    draws = (
+        obs.select(*places).distinct().join(site_draws, "site")
+        .join(group_draws, ["group", "draw"]).join(study_draws, ["study", "draw"])
+    )
+    rows = obs.join(draws, places)
     loc = F.col("mu1") + F.col("beta1") + (F.col("mu2") + F.col("beta2")) * F.col("x")
     resid = (F.log("y") - F.col("y_loc")) / F.col("sd_e")
     return rows.withColumn("y_loc", loc).select(

@@ -112,20 +112,23 @@ def _bracketed_quantiles(
           SELECT {_names(keys)}, _i, _p * (_n - 1) AS _pos, _v, count(*) AS _c FROM placed
           WHERE _v BETWEEN _lo AND _hi GROUP BY {_names(keys)}, _i, _p, _n, _v),
         summed AS (
-          SELECT *, sum(_c) OVER (PARTITION BY {_names(keys)}, _i ORDER BY _v
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum FROM inside),
+          SELECT *, sum(_c) OVER (PARTITION BY {_names(keys)}, _i) AS _inside,
+                 sum(_c) OVER (PARTITION BY {_names(keys)}, _i ORDER BY _v
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum FROM inside),
         ranked AS (
-          SELECT {_names(keys, "s.")}, s._i, _v, _pos, _below + _cum AS _last
+          SELECT {_names(keys, "s.")}, s._i, _v, _pos, _below, _inside, _below + _cum AS _last
           FROM summed s JOIN below b ON {_same([*keys, "_i"], "s", "b")}),
         picked AS (
           SELECT {_names(keys)}, _i,
                  min(CASE WHEN _last > floor(_pos) THEN _v END) AS _a,
                  min(CASE WHEN _last > ceil(_pos) THEN _v END) AS _b,
-                 any_value(_pos - floor(_pos)) AS _f
+                 any_value(_pos - floor(_pos)) AS _f,
+                 any_value(CASE WHEN _below > floor(_pos) THEN raise_error('a quantile lies below its bracket') END) AS _low,
+                 any_value(CASE WHEN _below + _inside <= ceil(_pos) THEN raise_error('a quantile lies above its bracket') END) AS _high
           FROM ranked GROUP BY {_names(keys)}, _i)
         SELECT {_names(keys)}, {", ".join(
             f"max(CASE WHEN _i = {i} THEN _a + (_b - _a) * _f END) AS `{name}`" for i, name in enumerate(probs))}
-        FROM picked GROUP BY {_names(keys)}
+        FROM picked WHERE _low IS NULL AND _high IS NULL GROUP BY {_names(keys)}
         """,
         df=df,
         bracket=bracket,

@@ -14,37 +14,39 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.distributions import t_tail_sql
 from ..functions.semantics import named
 from .joins import natural_join
-from .reshape import spread_stats, to_long
 
 TREND_COLUMNS = ["estimate", "std.error", "statistic", "p.value", "n"]
 MIN_TREND_VALUES = 3
-EXACT_FIT = 1e-12  # share of the variation below which a residual is rounding noise
+ROUNDING = 2.220446049250313e-16  # of a double
 
 
 def _moments(x: str, y: str, tag: str = "") -> list[Column]:
-    return [F.expr(f"regr_{m}(`{y}`, `{x}`) AS _{m}{tag}") for m in ("count", "sxx", "syy", "sxy")]
+    return [F.expr(f"regr_{m}(`{y}`, `{x}`) AS _{m}{tag}") for m in ("count", "sxx", "syy", "sxy", "avgx", "avgy")]
 
 
 def _fit(df: DataFrame, keys: Sequence[str], prefixes: Mapping[str, str], columns: Sequence[str]) -> DataFrame:
     """Slope, standard error, t and p from the moments; NULL where undefined.
 
     ``prefixes`` maps the tag of a set of moments to the prefix of its columns. A
-    residual sum within rounding of zero is zero. The standard error is then
-    zero, t is NULL and p is 0 for a slope other than zero.
+    residual sum is known no better than its rounding error: n times a double's rounding of
+    the variation, and more where a mean is far from 0 for its spread. It is never taken
+    to be less, so t and p of an exact fit are those of that error. A constant y has
+    error 0 and no t.
     """
     kept = [f"`{k}`" for k in keys]
     out = df
     for step in (
         {"est": "try_divide(_sxy{t}, _sxx{t})"},
-        {"left": "_syy{t} - _est{t} * _sxy{t}"},
-        {"se": "if(_count{t} > 2, sqrt(try_divide(if(_left{t} <= " + f"{EXACT_FIT!r}D" + " * _syy{t}, 0D, _left{t}),"
-               " (_count{t} - 2) * _sxx{t})), NULL)"},
+        {"noise": f"_count{{t}} * {ROUNDING!r}D * (_syy{{t}} + abs(_avgy{{t}}) * sqrt(_count{{t}} * _syy{{t}})"
+                  " + abs(_avgx{t}) * sqrt(coalesce(try_divide(_count{t}, _sxx{t}), 0D)) * _syy{t})"},
+        {"left": "if(_syy{t} = 0, 0D, greatest(_syy{t} - _est{t} * _sxy{t}, _noise{t}))"},
+        {"se": "if(_count{t} > 2, sqrt(try_divide(_left{t}, (_count{t} - 2) * _sxx{t})), NULL)"},
         {"t": "try_divide(_est{t}, _se{t})"},
     ):
         out = out.selectExpr("*", *[e.format(t=tag) + f" AS _{n}{tag}" for n, e in step.items() for tag in prefixes])
     shown = {
         "estimate": "_est{t}", "std.error": "_se{t}", "statistic": "_t{t}", "n": "_count{t}",
-        "p.value": "if(_se{t} = 0 AND _est{t} <> 0, 0D, " + t_tail_sql("_t{t}", "(_count{t} - 2)") + ")",
+        "p.value": t_tail_sql("_t{t}", "(_count{t} - 2)"),
     }
     return out.selectExpr(*kept, *[
         shown[c].replace("{t}", tag) + f" AS `{p}_{c}`" if p else shown[c].replace("{t}", tag) + f" AS `{c}`"
@@ -58,27 +60,32 @@ def group_trend(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     return _fit(df.groupBy(*keys).agg(*_moments(x, y)), keys, {"": ""}, TREND_COLUMNS)
 
 
-def paired_trends(df: DataFrame, keys: Sequence[str], x: str, ys: Mapping[str, str]) -> DataFrame:
-    """Trends of several variables of the same rows in one aggregate; ``ys`` maps prefix to column."""
-    moments = df.groupBy(*keys).agg(*[m for i, y in enumerate(ys.values()) for m in _moments(x, y, str(i))])
-    return _fit(moments, keys, {str(i): p for i, p in enumerate(ys)}, TREND_COLUMNS)
+def paired_trends(
+    df: DataFrame, keys: Sequence[str], x: str, ys: Mapping[str, str], also: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Trends of several variables of the same rows in one aggregate; ``ys`` maps prefix to column.
+
+    ``also``: further aggregates over the same groups, by name.
+    """
+    more = dict(also or {})
+    moments = df.groupBy(*keys).agg(
+        *[m for i, y in enumerate(ys.values()) for m in _moments(x, y, str(i))],
+        *[a.alias(name) for name, a in more.items()])
+    return _fit(moments, [*keys, *more], {str(i): p for i, p in enumerate(ys)}, TREND_COLUMNS)
 
 
 def multi_trend(df: DataFrame, keys: Sequence[str], x: str, variables: Sequence[str]) -> DataFrame:
-    """Trend of each variable, then one set of columns per variable.
+    """Trend of each variable, one set of columns per variable, from one aggregate of the rows.
 
     Groups without any value of any variable are left out; a variable without
     values in a group is NULL there.
     """
-    long = to_long(df, [*keys, x], "variable", "value", variables, drop_nulls=True)
-    trends = group_trend(long, [*keys, "variable"], x, "value")
-    tidy = trends.select(
-        *keys, "variable", "estimate", F.col("`std.error`").alias("std_error"), F.col("`p.value`").alias("p_value")
-    )
-    wide = spread_stats(tidy, keys, "variable", variables, ["estimate", "std_error", "p_value"])
-    return wide.withColumnsRenamed({
-        f"{v}_{a}": f"{v}_{b}" for v in variables for a, b in (("std_error", "std.error"), ("p_value", "p.value"))
-    })
+    tags = {str(i): v for i, v in enumerate(variables)}
+    moments = df.groupBy(*keys).agg(
+        F.count(F.coalesce(*[F.col(v) for v in variables])).alias("_any"),
+        *[m for i, v in tags.items() for m in _moments(x, v, i)],
+    ).where("_any > 0")
+    return _fit(moments, list(keys), tags, ["estimate", "std.error", "p.value"])
 
 
 def sampled_trend(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, scalars
 from ..functions.distributions import t_two_sided_p
 from ..operators import climate, filters, joins, regression, rows, trend
+from ..operators.trend import ROUNDING
 from ..operators.waves import WAVE_MEASURES
 from . import site_trends, standins as s
 from .catalog import query, r, rounded, rs
@@ -27,31 +28,48 @@ def t_tail(t: str, df: str) -> str:
     return f"greatest(0, 1 - CASE WHEN {df} % 2 = 1 THEN {odd} ELSE {even} END)"
 
 
-def _resid(syy: str, fitted: str) -> str:
-    """SQL of the residual sum, zero when it is rounding noise."""
-    return f"(CASE WHEN {syy} - {fitted} <= 1e-12 * {syy} THEN 0 ELSE {syy} - {fitted} END)"
+def t_tail_series(t: str, df: str) -> str:
+    """SQL of the same tail as a series of positive terms, which loses no digits however small it is.
+
+    For small t the series is slow, and there the finite sum is exact enough.
+    """
+    a, x = f"({df} / 2.0::DOUBLE)", f"({df} / ({df} + {t} * {t}))"
+    terms = f"[exp(lgamma(n + 0.5) - lgamma(n + 1) - lgamma(0.5) + n * ln({x})) / ({a} + n) for n in range(0, 8000)]"
+    return (f"exp({a} * ln({x}) + lgamma({a} + 0.5) - lgamma({a}) - lgamma(0.5)) * list_sum({terms})")
+
+
+def _resid(n: str, sxx: str, syy: str, sxy: str, ax: str, ay: str) -> str:
+    """SQL of the residual sum, never less than its rounding error."""
+    noise = (f"{n} * {ROUNDING!r}::DOUBLE * ({syy} + abs({ay}) * sqrt({n} * {syy})"
+             f" + abs({ax}) * sqrt({n} / {sxx}) * {syy})")
+    return f"(CASE WHEN {syy} > 0 THEN greatest({syy} - {sxy} * {sxy} / {sxx}, {noise}) ELSE 0 END)"
+
+
+_MOMENTS = ("count", "sxx", "syy", "sxy", "avgx", "avgy")
 
 
 def _trend_sql(source: str, keys: str, x: str, y: str) -> str:
     """SQL of estimate, std.error, statistic, p.value, n per group."""
     return f"""
 , m AS (SELECT {keys}, regr_count({y}, {x})::BIGINT AS n, regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy,
-   regr_sxy({y}, {x}) AS sxy FROM {source} GROUP BY {keys})
-, b AS (SELECT {keys}, n, CASE WHEN sxx > 1e-9 THEN sxy / sxx END AS est, sxx, syy, sxy FROM m)
-, f AS (SELECT {keys}, n, est, CASE WHEN n > 2 AND sxx > 1e-9 THEN sqrt({_resid("syy", "est * sxy")} / ((n - 2) * sxx)) END AS se FROM b)
+   regr_sxy({y}, {x}) AS sxy, regr_avgx({y}, {x}) AS ax, regr_avgy({y}, {x}) AS ay FROM {source} GROUP BY {keys})
+, b AS (SELECT *, CASE WHEN sxx > 1e-9 THEN sxy / sxx END AS est FROM m)
+, f AS (SELECT {keys}, n, est, CASE WHEN n > 2 AND sxx > 1e-9 THEN
+   sqrt({_resid("n", "sxx", "syy", "sxy", "ax", "ay")} / ((n - 2) * sxx)) END AS se FROM b)
 , t AS (SELECT {keys}, n, est, se, est / nullif(se, 0) AS t FROM f)"""
 
 
 @query("group_trend", with_ctes("series", _trend_sql("series", "cell", '"Year"', '"tempC"') + f"""
-SELECT cell, {r("est", "estimate", 8)}, {r("se", "std.error", 8)}, {r("t", "statistic")} FROM t"""))
+SELECT cell, n, {r("est", "estimate", 8)}, {r("se", "std.error", 8)}, {r("t", "statistic")},
+  {r('CASE WHEN n > 2 AND t IS NOT NULL THEN ' + t_tail("t", "(n - 2)") + ' END', "p.value", 8)} FROM t"""))
 def group_trend(spark, folder):
     fit = trend.group_trend(s.series(spark, folder), ["cell"], "Year", "tempC")
-    return rounded(fit.select("cell", "estimate", F.col("`std.error`"), "statistic"), 8, statistic=6)
+    return rounded(fit.select("cell", "n", "estimate", F.col("`std.error`"), "statistic", F.col("`p.value`")), 8, statistic=6)
 
 
 @query("trend_p_values", with_ctes("survey", _trend_sql("survey", '"Site"', '"Year"', "y") + f"""
 SELECT "Site", n, {r("t", "statistic", 5)},
-  {r('CASE WHEN se = 0 AND est <> 0 THEN 0 WHEN n > 2 AND t IS NOT NULL THEN ' + t_tail("t", "(n - 2)") + ' END', "p.value")} FROM t"""))
+  {r('CASE WHEN n > 2 AND t IS NOT NULL THEN ' + t_tail("t", "(n - 2)") + ' END', "p.value")} FROM t"""))
 def trend_p_values(spark, folder):
     survey = s.survey(spark, folder).select("Site", "Year", "y")
     fit = trend.group_trend(survey, ["Site"], "Year", "y")
@@ -68,13 +86,29 @@ def student_t_tail(spark, folder):
     return pairs.withColumn("p", F.round(t_two_sided_p("t", "nu"), 9))
 
 
+@query("student_t_far_tail", f"""
+WITH g AS (SELECT DISTINCT 0.8::DOUBLE * p_size AS t, 1 + (p_partkey * 37) % 5000 AS nu FROM part)
+SELECT nu, t, {r(f'log10(CASE WHEN t * t < 0.01 * nu THEN {t_tail("t", "nu")} ELSE {t_tail_series("t", "nu")} END)', "log_p", 7)} FROM g
+WHERE t * t >= 0.01 * nu OR nu <= 400""")
+def student_t_far_tail(spark, folder):
+    """Tails down to 1e-300: t from 0.8 to 40, up to 5,000 degrees of freedom.
+
+    Pairs with many degrees of freedom and t near zero are left to ``student_t_tail``: there
+    the SQL has no exact form of its own.
+    """
+    pairs = table(spark, folder, "part").select(
+        (F.col("p_size") * 0.8).alias("t"), (F.pmod(F.col("p_partkey") * 37, F.lit(5000)) + 1).alias("nu")).distinct()
+    kept = pairs.where((F.col("t") * F.col("t") >= 0.01 * F.col("nu")) | (F.col("nu") <= 400))
+    return kept.withColumn("log_p", F.round(F.log10(t_two_sided_p("t", "nu")), 7))
+
+
 def _paired_sql(prefixes: dict[str, str], source: str, keys: str, at_least: int | None = None, gate: str = "") -> str:
     parts = []
     for p, y in prefixes.items():
-        n, sxx, syy, sxy = (f'regr_{k}({y}, "Year")' for k in ("count", "sxx", "syy", "sxy"))
+        n, sxx, syy, sxy, ax, ay = (f'regr_{k}({y}, "Year")' for k in _MOMENTS)
         ok = f"{sxx} > 1e-9"
         parts.append(r(f"CASE WHEN {ok} THEN {sxy} / {sxx} END", f"{p}_estimate", 7))
-        parts.append(r(f"CASE WHEN {n} > 2 AND {ok} THEN sqrt({_resid(syy, f"{sxy} * {sxy} / {sxx}")} / (({n} - 2) * {sxx})) END",
+        parts.append(r(f"CASE WHEN {n} > 2 AND {ok} THEN sqrt({_resid(n, sxx, syy, sxy, ax, ay)} / (({n} - 2) * {sxx})) END",
                        f"{p}_std.error", 7))
     having = f" HAVING count({gate}) >= {at_least}" if at_least else ""
     return f"SELECT {keys}, {', '.join(parts)} FROM {source} GROUP BY {keys}{having}"
@@ -106,10 +140,10 @@ def site_temperature_trends(spark, folder):
 def _slots(measures) -> str:
     out = []
     for v in measures:
-        n, sxx, syy, sxy = (f'regr_{k}({v}, "Year")' for k in ("count", "sxx", "syy", "sxy"))
+        n, sxx, syy, sxy, ax, ay = (f'regr_{k}({v}, "Year")' for k in _MOMENTS)
         est = f"CASE WHEN {sxx} > 1e-9 THEN {sxy} / {sxx} END"
         se = (f"CASE WHEN {n} > 2 AND {sxx} > 1e-9 THEN "
-              f"sqrt({_resid(syy, f'{sxy} * {sxy} / {sxx}')} / (({n} - 2) * {sxx})) END")
+              f"sqrt({_resid(n, sxx, syy, sxy, ax, ay)} / (({n} - 2) * {sxx})) END")
         out.append(r(f"sign({est}) * ln(1 + abs({est}))", f"{v}_estimate", 7))
         out.append(r(f"ln(1 + {se})", f"{v}_std.error", 5))
     return ", ".join(out)
@@ -306,14 +340,14 @@ def design_matrix(spark, folder):
 
 @query("standardized_model_frame", with_ctes("survey series prior_slopes", _MERGED.replace('s."SiteName"', 's."Site" AS "SiteName"') + f"""
 , tr AS (SELECT "SiteName", regr_sxy(max_tempC, "Year") AS sxy, regr_sxx(max_tempC, "Year") AS sxx, regr_syy(max_tempC, "Year") AS syy,
-   regr_count(max_tempC, "Year") AS n FROM merged GROUP BY 1)
+   regr_count(max_tempC, "Year") AS n, regr_avgx(max_tempC, "Year") AS ax, regr_avgy(max_tempC, "Year") AS ay FROM merged GROUP BY 1)
 , k AS (SELECT p."SiteName", p.mean AS slope, p.se AS slope_se, CASE WHEN sxx > 1e-9 THEN sxy / sxx END AS temp,
-   CASE WHEN n > 2 AND sxx > 1e-9 THEN sqrt({_resid("syy", "sxy * sxy / sxx")} / ((n - 2) * sxx)) END AS se_temp
+   CASE WHEN n > 2 AND sxx > 1e-9 THEN sqrt({_resid("n", "sxx", "syy", "sxy", "ax", "ay")} / ((n - 2) * sxx)) END AS se_temp
    FROM prior_slopes p LEFT JOIN tr ON p."SiteName" = tr."SiteName" WHERE parameter = 'site_slope')
 , c AS (SELECT * FROM k WHERE temp IS NOT NULL AND slope_se IS NOT NULL AND se_temp IS NOT NULL)
 , z AS (SELECT "SiteName", slope, slope_se, (temp - avg(temp) OVER ()) / stddev_samp(temp) OVER () AS temp_scale,
    se_temp / stddev_samp(temp) OVER () AS se_temp_scale FROM c)
-SELECT "SiteName", {rs("slope slope_se", 7)}, {rs("temp_scale se_temp_scale", 7)} FROM z WHERE se_temp_scale > 0.01"""))
+SELECT "SiteName", {rs("slope slope_se", 7)}, {rs("temp_scale se_temp_scale", 7)} FROM z WHERE se_temp_scale <> 0"""))
 def standardized_model_frame(spark, folder):
     temperature = site_trends.temperature_trends(_survey_by_site(spark, folder), s.series(spark, folder), ["cell"])
     merged = site_trends.merged_site_trends(s.prior_slopes(spark, folder), temperature)
@@ -321,7 +355,7 @@ def standardized_model_frame(spark, folder):
     renamed = picked.withColumnsRenamed({"mean": "slope", "se": "slope_se"})
     frame = filters.complete_cases(renamed, ["temp", "slope_se", "se_temp"])
     scaled = rows.zscore(frame, ["temp"], errors={"temp": "se_temp"})
-    kept = filters.nonzero_error(scaled, ["se_temp_scale"]).where(F.col("se_temp_scale") > 0.01)
+    kept = filters.nonzero_error(scaled, ["se_temp_scale"])
     return rounded(kept.select("SiteName", "slope", "slope_se", "temp_scale", "se_temp_scale"), 7)
 
 

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.climate import annual_summary, mean_within_year_sd
+from ..operators.climate import annual_summary
 from ..operators.filters import where_equal
-from ..operators.joins import natural_join, natural_left_join
+from ..operators.joins import natural_left_join
 from ..operators.trend import merge_trends, multi_trend, paired_trends
 
 # Which rows of the prior result table are the sites' own slopes.
@@ -29,8 +29,7 @@ def site_temperatures(survey: DataFrame, series: DataFrame, location: Sequence[s
 def temperature_trends(survey: DataFrame, series: DataFrame, location: Sequence[str]) -> DataFrame:
     """Per site: trends of the annual maximum and mean, and the mean within-year sd."""
     merged = site_temperatures(survey.select("SiteName", "Year", *location), series, location)
-    trends = paired_trends(merged, ["SiteName"], "Year", TEMPERATURE_TRENDS)
-    return natural_join(trends, mean_within_year_sd(merged, ["SiteName"]), ["SiteName"], "left")
+    return paired_trends(merged, ["SiteName"], "Year", TEMPERATURE_TRENDS, {"avg_sd_tempC": F.avg("sd_tempC")})
 
 
 def wave_trends(survey_waves: DataFrame, measures: Sequence[str]) -> DataFrame:
