@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def text_key(*parts: str | Column, sep: str = ":") -> Column:
@@ -56,6 +56,30 @@ def pretty_cut(value: Column, breaks: Sequence[float], suffix: str = "") -> Colu
     return out
 
 
+def data_cut(df: DataFrame, column: str, inner: Sequence[float], name: str, suffix: str = "") -> DataFrame:
+    """Right-closed bins whose outer breaks are the column's least and greatest value.
+
+    The lowest value itself is in no bin; breaks outside the range split nothing off.
+    """
+    def edge(x: Column) -> Column:
+        # three significant digits without closing zeros, as the fixed breaks are shown
+        text = F.format_string("%.2e", x)
+        power = F.regexp_extract(text, r"e([+-]\d+)$", 1).cast("int")
+        plain = F.regexp_replace(text.cast("double").cast("decimal(20,8)").cast("string"), r"\.?0+$", "")
+        return F.when(power.between(-4, 2), plain).otherwise(F.regexp_replace(text, r"\.?0+e", "e"))
+
+    ends = df.agg(F.min(column).cast("double").alias("_low"), F.max(column).cast("double").alias("_high"))
+    breaks = F.array_sort(F.filter(
+        F.array(F.col("_low"), *[F.lit(float(b)) for b in inner], F.col("_high")),
+        lambda b: (b >= F.col("_low")) & (b <= F.col("_high"))))
+    value = F.col(column)
+    below = F.array_max(F.filter("_breaks", lambda b: b < value))
+    above = F.array_min(F.filter("_breaks", lambda b: b >= value))
+    return df.crossJoin(F.broadcast(ends)).withColumn("_breaks", breaks).withColumn(  # one row, by construction
+        name, F.when(below.isNotNull(), F.concat(edge(below), F.lit(" - "), edge(above), F.lit(suffix)))
+    ).drop("_low", "_high", "_breaks")
+
+
 def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     """1-based bin of n equal-width right-closed bins, the lowest edge included."""
     position = F.try_divide((value - low) * bins, high - low)

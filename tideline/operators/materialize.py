@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -19,6 +20,12 @@ def _checkpoint_dir_ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below the session's checkpoint folder, which all executors share."""
+    _checkpoint_dir_ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the session's checkpoint folder and restart the lineage."""
     _checkpoint_dir_ready(df.sparkSession)
