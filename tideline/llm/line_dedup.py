@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.llm.common import query, table
+from tideline.llm.common import checkpointed, query, table
 
 #: White space as every operator here sees it: space and U+0009 to U+000D.
 INK = r"[^\x20\x09-\x0D]"
@@ -67,7 +67,9 @@ def later_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     counts the lines that aren't blank.
     """
     places = line_windows(docs, doc_id, text, gram, window)
-    repeated = places.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
+    # counts are written before they are joined: both sides then are plain shuffles, which Spark splits
+    repeated = checkpointed(
+        places.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"))
     around = (
         places.join(repeated, "_hash", "left_semi")
         .select("_doc", "_length", F.explode("_around").alias("_run"))
@@ -75,7 +77,8 @@ def later_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 F.col("_run.w1").alias("_w1"), F.col("_run.w2").alias("_w2"), "_length")
     )
     same = ["_w1", "_w2", "_length"]
-    firsts = (
+    around = checkpointed(around)
+    firsts = checkpointed(
         around.groupBy(*same).agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"))
         .where(F.col("_first") != F.col("_last")).drop("_last")
     )
