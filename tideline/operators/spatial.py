@@ -64,23 +64,30 @@ def nearest_valid_cell(
     ``cells`` holds the valid cells (cell, cell_lon, cell_lat). Points and cells
     meet in cubes of the unit sphere, which has neither a date line nor poles.
     All cells within one cube edge of a point lie in its 27 surrounding cubes, so
-    a hit within the edge is final; the rest try a wider cube, the last of which
-    spans the sphere. Ties go to the lowest cell.
+    a hit within the edge is final. Only the points without one go on to cubes of
+    three times the edge, where the cells met are those of the next wider ring; the last
+    cube spans the sphere, for points farther than that from any cell. Ties go to
+    the lowest cell.
     """
     state = points.select(lon, lat).distinct().withColumn("_best", F.lit(None).cast("struct<km:double,cell:bigint>"))
-    reach = 0.0
-    first = math.radians(2.5 * res)
-    for edge in sorted({min(2.0, first), min(2.0, first * 8), 2.0}):
-        probes = state.selectExpr("*", *_cube(lon, lat, edge)).selectExpr(
-            f"`{lon}`", f"`{lat}`", "_best",
-            f"explode_outer(if(_best IS NULL OR _best.km > {reach!r}D, {_AROUND}, NULL)) AS _near",
+    reach, edge = 0.0, min(2.0, math.radians(2.5 * res))
+    while True:
+        settled = F.col("_best").isNotNull() & (F.col("_best.km") <= reach)
+        probes = state.where(~settled | F.col("_best").isNull()).selectExpr("*", *_cube(lon, lat, edge)).selectExpr(
+            f"`{lon}`", f"`{lat}`", "_best", f"explode({_AROUND}) AS _near",
         )
         placed = cells.selectExpr("cell", "cell_lon", "cell_lat", *_cube("cell_lon", "cell_lat", edge))
         met = probes.join(placed, F.expr("_near.x = _cx AND _near.y = _cy AND _near.z = _cz"), "left")
         km = F.round(great_circle_km(F.col(lon), F.col(lat), F.col("cell_lon"), F.col("cell_lat")), DISTANCE_DIGITS)
         found = F.when(F.col("cell").isNotNull(), F.struct(km.alias("km"), F.col("cell").cast("long").alias("cell")))
-        state = met.groupBy(lon, lat).agg(F.min(F.least(F.col("_best"), found)).alias("_best"))
-        reach = 2 * EARTH_RADIUS_KM * math.asin(edge / 2) - 1e-5
+        state = (
+            met.select(lon, lat, F.least(F.col("_best"), found).alias("_best"))
+            .unionByName(state.where(settled).select(lon, lat, "_best"))
+            .groupBy(lon, lat).agg(F.min("_best").alias("_best"))
+        )
+        if edge >= 2.0:
+            break
+        reach, edge = 2 * EARTH_RADIUS_KM * math.asin(edge / 2) - 1e-5, min(2.0, 3 * edge)
     return state.select(lon, lat, F.col("_best.cell").alias("non_na_cell"), F.col("_best.km").alias("km"))
 
 
