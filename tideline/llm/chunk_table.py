@@ -1,8 +1,9 @@
 """A table of distinct chunks: each is turned into token ids once, texts are joined from it.
 
 Segmentation is the costly step of a tokenizer, and it never looks across a chunk's
-border, so each worker keeps the ids of the chunks that it has met. A table over
-``bound`` chunks starts anew: memory stays bounded, results don't depend on it.
+border, so each worker keeps the ids of the chunks that it has met. A table with over
+``bound`` chunks is set aside for a new one, which takes over from it what is met again, and
+the one before is dropped: memory stays bounded, results don't depend on it.
 """
 
 from __future__ import annotations
@@ -18,16 +19,20 @@ def packed(ids: list[int]) -> bytes:
 
 
 class ChunkTable:
-    def __init__(self, segment: Segment, bound: int = 300_000):
+    def __init__(self, segment: Segment, bound: int = 200_000):
         self.segment = segment
         self.bound = bound
         self.ids: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
 
     def learn(self, chunked: Iterable[list[str]]) -> list[str]:
-        """Add the chunks that are new; returns them."""
+        """Add the chunks that are new; returns those that had to be segmented."""
         if len(self.ids) > self.bound:
-            self.ids.clear()
-        new = list(set().union(*chunked).difference(self.ids))
+            self.aside, self.ids = self.ids, {}
+        new = set().union(*chunked).difference(self.ids)
+        again = new.intersection(self.aside)
+        self.ids.update((chunk, self.aside[chunk]) for chunk in again)
+        new = list(new - again)
         if new:
             self.ids.update(zip(new, self.segment(new), strict=True))
         return new

@@ -54,8 +54,8 @@ class PieceTable(ChunkTable):
 
     def learn(self, chunked) -> list[str]:
         new = super().learn(chunked)
-        if len(self.other) > self.bound:
-            self.other = {w: d for w, d in self.other.items() if w in self.ids}
+        if len(self.other) > 2 * self.bound:
+            self.other = {w: d for w, d in self.other.items() if w in self.ids or w in self.aside}
         if new:
             decoded = self.processor.decode([np.frombuffer(self.ids[w], "<u4").tolist() for w in new])
             self.other.update((w, d) for w, d in zip(new, decoded, strict=True) if w != d)
@@ -68,7 +68,7 @@ class PieceTable(ChunkTable):
 
 
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
-                  decoded: str = "decoded", end_id: bool = True, bound: int = 300_000) -> DataFrame:
+                  decoded: str = "decoded", end_id: bool = True, bound: int = 200_000) -> DataFrame:
     """``docs`` without the text, with its ids (array<int>) and what they decode to.
 
     Equal to the library's encode(text, add_eos=end_id) and decode(ids). A null or
