@@ -11,7 +11,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.llm.common import query, table
+from tideline.llm.common import checkpointed, query, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 INK = r"[^\x20\x09-\x0D]"
@@ -115,7 +115,7 @@ def cascade(docs: DataFrame, text: str = "text", rules: dict[str, Column] | None
     rules = default_rules(text) if rules is None else rules
     outputs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     plain = docs.select(*[f"`{c}`" for c in docs.columns if c not in outputs or c == text])
-    sample = base_columns(plain.select(f"`{text}`").limit(sample_rows), text)
+    sample = base_columns(checkpointed(plain.select(f"`{text}`").limit(sample_rows)), text)
     based = base_columns(plain, text)
     verdict = F.when(F.col("base_failed"), False)
     for name in order_rules(sample, rules):
