@@ -302,11 +302,10 @@ def written(nodes: list[Node], states: list[int]) -> str:
 
 def training_pages(pages: DataFrame, sample_rows: int, longest: int, key: str = "page_id") -> list[str]:
     """At most ``sample_rows`` pages by the hash of their key, none longer than ``longest``."""
-    rows = (
-        pages.where(F.length("html") <= longest).select(key, "html")
-        .orderBy(F.xxhash64(F.col(key)), F.xxhash64("html")).limit(sample_rows).collect()
-    )
-    return [r["html"] for r in rows]
+    drawn = pages.where(F.length("html") <= longest).withColumn("_draw", F.xxhash64(F.col(key), F.col("html")))
+    picked = drawn.select("_draw").orderBy("_draw").limit(sample_rows)  # numbers alone, before any page is sent
+    rows = drawn.join(F.broadcast(picked.distinct()), "_draw").select("html").dropDuplicates().limit(sample_rows).collect()
+    return sorted(r["html"] for r in rows)
 
 
 def extract(pages: DataFrame, sample_rows: int = 200, longest: int = 50_000, key: str = "page_id") -> DataFrame:
