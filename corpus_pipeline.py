@@ -47,7 +47,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of 2048 tokens."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [
