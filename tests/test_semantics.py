@@ -188,3 +188,26 @@ def test_change_classes_and_bands(spark):
 def test_histogram_of_a_constant(spark):
     df = spark.createDataFrame([(2.0,), (2.0,), (None,)], "x double")
     assert got(climate.histogram(df, "x", 5)) == [(1, 2.0, 2)]
+
+
+def test_one_row_cannot_multiply(spark):
+    df = spark.range(3)
+    assert [r.x for r in joins.with_one_row(df, spark.range(1).selectExpr("5 AS x")).collect()] == [5, 5, 5]
+    assert [r.x for r in joins.with_one_row(df, spark.range(0).selectExpr("5 AS x")).collect()] == [None] * 3
+    with pytest.raises(Exception, match="more than one row"):
+        joins.with_one_row(df, spark.range(2).selectExpr("id AS x")).collect()
+
+
+def test_bins_between_the_ends_of_the_data(spark):
+    df = spark.createDataFrame([(-12.5,), (0.0,), (1e-3,), (4321.0,), (None,)], "v double")
+    out = [r.bin for r in scalars.data_cut(df, "v", [0.0, 1e9], "bin", " C").collect()]
+    assert out == [None, "-12.5 - 0 C", "0 - 4.32e+03 C", "0 - 4.32e+03 C", None]
+
+
+def test_far_points_find_their_nearest_cell(spark):
+    from tideline.operators.spatial import nearest_valid_cell
+
+    cells = spark.createDataFrame([(1, 0.5, 0.5), (2, 10.5, 0.5)], "cell long, cell_lon double, cell_lat double")
+    points = spark.createDataFrame([(0.4, 0.4), (179.9, 0.0), (-100.0, -80.0), (30.0, 0.5)], "Longitude double, Latitude double")
+    got = {r.Longitude: r.non_na_cell for r in nearest_valid_cell(points, cells).collect()}
+    assert got == {0.4: 1, 179.9: 2, -100.0: 1, 30.0: 2}
