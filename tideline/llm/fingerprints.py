@@ -86,7 +86,7 @@ def neighbors(docs: DataFrame, doc_id: str, size: str) -> DataFrame:
 
 
 def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id).
 
     The edited text has its last quarter (rounded down) replaced by as many first code points
     of the next document, or all it has. Null texts are empty; a document alone is its own
@@ -96,7 +96,8 @@ def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     clean = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     keyed = clean.withColumns({f"_k{i}": F.xxhash64(F.lit(i), "doc_id", "_text") for i in (1, 2)})
     places = neighbors(keyed.select("_k1", "_k2", "doc_id", F.length("_text").cast("long").alias("_n")), "doc_id", "_n")
-    # what each document lends to the one before it; both sides share the shuffle of the texts
+    # what each document lends to the one before it; both sides need the same columns of the
+    # documents, so they share one shuffle of the texts
     lent = with_tree(keyed.join(places, ["_k1", "_k2"]), "_text").select(
         F.col("_p1").alias("_k1"), F.col("_p2").alias("_k2"), F.col("doc_id").alias("_next_id"),
         F.substring(F.col("_text"), F.lit(1), F.floor(F.col("_before") / 4).cast("int")).alias("_lent"),
@@ -114,6 +115,7 @@ def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         .alias("near_edited"),
         likeness(F.substring(F.col("fingerprint"), 1, 64), F.col("blocks"), F.col("_next_root"), F.col("_next_blocks"))
         .alias("near_next"),
+        F.col("_next_id").alias("next_doc_id"),
     )
 
 
