@@ -68,6 +68,28 @@ def test_join_of_many_near_copies(spark, n, percent, monkeypatch):
     assert 4 < len({c for _, c in expected.values()}) < 80 or percent != 90
 
 
+def test_join_keeps_its_numbers_when_files_are_split_otherwise(spark, monkeypatch):
+    """Between the links and their use, written rows are read in other parts, as with other executors."""
+    texts = [story(k, 200) for k in range(60)]
+    texts += [t + " more" for t in texts[::2]]
+    size, found = "spark.sql.files.maxPartitionBytes", ngram_join.components
+    before = spark.conf.get(size)
+
+    def then_split(links):
+        out = found(links)
+        spark.conf.set(size, "2000")
+        return out
+
+    monkeypatch.setattr(ngram_join, "components", then_split)
+    try:
+        rows = ngram_join.jaccard_join(documents(spark, texts), n=3, percent=90).collect()
+    finally:
+        spark.conf.set(size, before)
+    expected = by_brute_force(list(enumerate(texts)), 3, 90)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in rows} == expected
+    assert len({c for _, c in expected.values()}) == 60
+
+
 def test_join_edges(spark):
     full, empty = edge_tables(spark)
     clash = full.selectExpr("*", "1 AS n_shingles", "2 AS component_id")

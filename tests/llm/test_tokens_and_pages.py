@@ -90,6 +90,16 @@ def test_packing_edges(spark, ranks):
     assert packing.pack(empty, BYTES).count() == 0
 
 
+def test_packing_reads_its_places_from_the_written_rows(spark):
+    pieces_ = spark.range(500).selectExpr("id AS doc_id", "id % 7 + 1 AS length")
+    out = packing.best_fit(pieces_, 16)
+    assert out.columns == ["doc_id", "length", "sequence_id", "offset"]
+    assert "monotonically_increasing_id" not in out._jdf.queryExecution().toString()
+    spots = sorted((r.sequence_id, r.offset, r.length) for r in out.collect())
+    assert len(spots) == 500 and all(o + n <= 16 for _, o, n in spots)
+    assert all(a[0] < b[0] or a[1] + a[2] <= b[1] for a, b in zip(spots, spots[1:]))
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_packing_plan_places_each_piece_once(seed):
     r = random.Random(seed)

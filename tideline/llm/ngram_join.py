@@ -391,7 +391,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> D
             F.min(doc_id).alias("class_id"), F.min(F.struct("_k1", "_k2")).alias("_k"),
             F.first("n_shingles").alias("n_shingles"), F.first("grams").alias("grams"), F.first("parity").alias("parity"))
         .select("sig", "class_id", "_k.*", "n_shingles", "grams", "parity")
-    ).withColumn("node", F.monotonically_increasing_id())  # of written rows: always the same
+        # numbered before they are written: how written rows are split into tasks may change from job to job
+        .withColumn("node", F.monotonically_increasing_id()))
     found = components(class_links(classes, keyed, text, n, percent, counts))
     known = classes.select("sig", "class_id", "node").join(found, "node", "left")
     reached = known.where("component IS NOT NULL").groupBy("component").agg(F.min("class_id").alias("component_id"))

@@ -207,12 +207,11 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
     """``pieces`` with sequence_id and offset.
 
     Needs a column ``length`` (1 to ``capacity``); other columns pass through. Pieces of
-    one length are told apart by their partition and place in the checkpointed rows,
+    one length are told apart by their partition and place, written with the rows,
     so a length that a third of all pieces have is ranked by many tasks.
     """
-    kept = checkpointed(pieces)
     order = F.monotonically_increasing_id()  # partition in the upper bits, place in the lower 33
-    placed = kept.withColumn("_at", order).withColumn("_part", F.shiftright("_at", 33))
+    placed = checkpointed(pieces.withColumn("_at", order)).withColumn("_part", F.shiftright("_at", 33))
     counts = placed.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -223,7 +222,7 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
         placed.withColumn("_within", F.row_number().over(inside) - 1)
         .join(offsets, ["length", "_part"])
         .withColumn("_rank", F.col("_before") + F.col("_within"))
-        .select(*kept.columns, "_rank")
+        .select(*[f"`{c}`" for c in pieces.columns], "_rank")
     )
 
     def assign(frames):
@@ -242,7 +241,7 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
             frame["offset"] = run[:, 5] + behind % run[:, 3] * length
             yield frame.drop(columns="_rank")
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return map_pandas(ranked, assign, f"{kinds}, sequence_id long, offset long")
 
 
