@@ -193,6 +193,16 @@ def test_html_reader():
     assert len(parse("<div>" * 3000 + "x")) == 3001
 
 
+def test_html_reader_ends_an_open_head():
+    shown_ = lambda s: [(n.tag, i.strip()) for n in parse(s) for i in n.items if isinstance(i, str) and i.strip()]
+    head = "<html><head>\n<title>x</title><meta name=a><script>s</script><noscript><p>n</p></noscript>\n"
+    for rest in ("<body><article><p>text</p></article></body></html>", "<article><p>text", "<b></b><p>text</p>", "<img><p>text</p>",
+                 "</head><body><p>text</p>", "<noscript><body><p>text</p>"):
+        assert shown_(head + rest) == [("p", "text")], rest
+    assert shown_(head + "text") == [("html", "text")] and shown_(head + "</head>") == []
+    assert html_extract.main_texts([head + "<body><article><p>text</p></article>"], None) == ["text"]
+
+
 def test_html_edges(spark):
     sources = [None, "", "plain text", "<html><body></body></html>", "<p>unclosed", "<article><p>" + "w " * 40000 + "</article>"]
     pages = spark.createDataFrame([(k, "u", s, 5) for k, s in enumerate(sources)] * 2, "page_id long, url string, html string, text int")

@@ -20,6 +20,8 @@ BLOCKS = frozenset(
 UNSHOWN = frozenset("script style noscript template head title svg math select textarea iframe object button datalist "
                     "audio video canvas map noframes".split())
 RAW = frozenset("script style textarea title noframes iframe".split())
+#: What may stand in the head; anything else, and any text, ends it.
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening one of these ends an open element of the set beside it, up to the nearest of the limits.
 _ENDS = {
@@ -57,7 +59,8 @@ def parse(source: str) -> list[Node]:
     """Block elements in page order; the first is the page itself.
 
     Scripts, styles, comments and other content that isn't shown are left out. End tags without
-    an open element are ignored, and elements that another one's start ends are closed.
+    an open element are ignored, and elements that another one's start ends are closed. The head
+    ends at its end tag, at the body, or at the first thing that cannot stand in it.
     """
     nodes = [Node("html", [], -1, 0)]
     stack: list[tuple[str, int]] = [("html", 0)]  # names of open elements with their nodes; -1: not shown
@@ -65,6 +68,8 @@ def parse(source: str) -> list[Node]:
     at = 0
 
     def text(piece: str) -> None:
+        if stack[-1][0] == "head" and not piece.isspace() and piece:
+            close(len(stack) - 1)
         node = stack[-1][1]
         if piece and node >= 0:
             piece = html.unescape(piece)
@@ -102,6 +107,10 @@ def parse(source: str) -> list[Node]:
             if depth and (name in BLOCKS or name in UNSHOWN or all(n not in BLOCKS for n, _ in stack[depth + 1:])):
                 close(depth)
             continue
+        if name == "body":
+            close(next((k for k in range(1, len(stack)) if stack[k][0] == "head"), len(stack)))
+        elif stack[-1][0] == "head" and name not in HEAD:
+            close(len(stack) - 1)
         hidden = stack[-1][1] < 0
         if name in ("html", "body"):
             nodes[0].tokens += _words_of_attributes(m[3])
