@@ -29,8 +29,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeats of runs of three lines."""
-    return _measured(dedup_lines(docs))
+    """Documents without later repeats of runs of three lines and of single lines of ten words or more."""
+    return _measured(dedup_lines(docs, alone=10))
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from small import DOCS, WORD, documents, edge_tables, story
 
+import corpus_pipeline
 from tideline.llm import fingerprints, line_dedup, quality_rules, substring_dedup
 from tideline.llm.common import QUERIES
 
@@ -45,6 +46,48 @@ def test_winnowing_misses_no_run_of_the_guaranteed_length(spark, gram, window):
     assert got == lines_by_hand(list(enumerate(texts)))
 
 
+def single_lines_by_hand(docs, alone, run=3):
+    """As lines_by_hand, and later repeats of lines of ``alone`` words or more go too."""
+    by_runs, seen, out = lines_by_hand_places(docs, run), set(), {}
+    for i, text in docs:
+        lines = text.split("\n")
+        gone = set(by_runs[i])
+        for j, line in enumerate(lines):
+            if len(WORD.findall(line)) >= alone:
+                if line in seen:
+                    gone.add(j)
+                seen.add(line)
+        out[i] = "\n".join(line for j, line in enumerate(lines) if j not in gone)
+    return out
+
+
+def lines_by_hand_places(docs, run=3):
+    seen, out = set(), {}
+    for i, text in docs:
+        lines = text.split("\n")
+        ink = [j for j, line in enumerate(lines) if WORD.search(line)]
+        length = min(run, len(ink))
+        out[i] = set()
+        for a in range(len(ink) - length + 1 if ink else 0):
+            window = tuple(lines[j] for j in ink[a:a + length])
+            if window in seen:
+                out[i].update(ink[a:a + length])
+            seen.add(window)
+    return out
+
+
+def test_long_lines_are_matched_alone(spark):
+    ten, nine = " ".join("abcdefghij"), " ".join("abcdefghi")
+    texts = [f"p\n{ten}\nq", f"r\n{ten}\ns\n{nine}", ten, f"t\n{nine}\nu\n\t{ten} ", f"{ten}\n{ten}", f"v\n \n\t{ten} ",
+             "k\nl\nm", "k\nl\nm\nn", "", ten.replace("e", "漢")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, texts), alone=10).collect()}
+    assert got == single_lines_by_hand(list(enumerate(texts)), 10)
+    assert got[1] == f"r\ns\n{nine}" and got[2] == got[4] == "" and got[3] == texts[3] and got[5] == "v\n "
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect() if r.text is not None)
+    stage = dict(corpus_pipeline.STAGES)["line dedup"](spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER)
+    assert {r.doc_id: r.text for r in stage.collect() if r.text is not None} == single_lines_by_hand(docs, 10)
+
+
 def test_line_dedup_edges(spark):
     full, empty = edge_tables(spark)
     clash = full.selectExpr("*", "1 AS n_lines", "2 AS `odd name`")

@@ -6,6 +6,8 @@ Hashes of ``gram`` lines in a row are winnowed: of every ``window`` of them the
 share the selected one, so no such run is missed. Selected hashes that occur once in
 the corpus are dropped; at the others, the match is extended to both sides: every run
 of that length around the selected place is compared by digest with its first place.
+Where ``alone`` is given, each line of that many words or more is selected as well, as a
+run of its own.
 """
 
 from __future__ import annotations
@@ -23,7 +25,14 @@ def _digests(*parts: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
 
 
-def line_windows(docs: DataFrame, doc_id: str, text: str, gram: int, window: int) -> DataFrame:
+def _long_lines(words: int) -> Column:
+    """Places in _lines of the lines of ``words`` words or more."""
+    space, ink = r"[\x20\x09-\x0D]", INK
+    pattern = rf"^{space}*+(?:{ink}++{space}++){{{words - 1}}}{ink}"
+    return F.filter(F.transform("_lines", lambda line, i: F.when(line.rlike(pattern), i)), lambda i: i.isNotNull())
+
+
+def line_windows(docs: DataFrame, doc_id: str, text: str, gram: int, window: int, alone: int | None = None) -> DataFrame:
     """One row per selected place: its hash, the document's order key and the runs around it."""
     run = gram + window - 1
     k1, k2 = _digests(F.col(doc_id), F.col(text))
@@ -36,6 +45,7 @@ def line_windows(docs: DataFrame, doc_id: str, text: str, gram: int, window: int
         F.transform("_lines", lambda line: F.xxhash64(F.lit(1), line)).alias("_h1"),
         F.transform("_lines", lambda line: F.xxhash64(F.lit(2), line)).alias("_h2"),
         F.size("_lines").alias("_n"),
+        *([] if alone is None else [_long_lines(alone).alias("_long")]),
     )
     last = F.greatest(F.col("_n") - run, F.lit(0))  # start of the last run; a short document is one run
     grams = hashed.withColumn("_grams", F.transform(
@@ -48,25 +58,33 @@ def line_windows(docs: DataFrame, doc_id: str, text: str, gram: int, window: int
         F.xxhash64(F.slice("_h1", i + 1, run)).alias("w1"),
         F.xxhash64(F.slice("_h2", i + 1, run)).alias("w2"),
     )))
-    places = runs.select("_doc", "_n", "_runs", F.explode(
-        F.array_distinct(F.transform("_runs", lambda r: r["chosen"]))).alias("_chosen"))
+    chosen = F.array_distinct(F.transform("_runs", lambda r: r["chosen"]))
+    if alone is not None:
+        chosen = F.concat(
+            F.transform(chosen, lambda c: F.struct(c["hash"].alias("hash"), c["back"].alias("back"), F.lit(False).alias("alone"))),
+            F.transform("_long", lambda i: F.struct(
+                F.get(F.col("_h1"), i).alias("hash"), (-i).alias("back"), F.lit(True).alias("alone"))))
+    places = runs.select("_doc", "_n", "_runs", *([] if alone is None else ["_h1", "_h2"]), F.explode(chosen).alias("_chosen"))
     first = F.greatest(-F.col("_chosen.back") - (window - 1), F.lit(0))
-    return places.select(
-        F.col("_chosen.hash").alias("_hash"), "_doc",
-        F.filter(F.slice("_runs", first + 1, window),
-                 lambda r: r["chosen"]["back"] == F.col("_chosen.back")).alias("_around"),
-        F.least(F.col("_n"), F.lit(run)).alias("_length"),
-    )
+    around = F.filter(F.slice("_runs", first + 1, window), lambda r: r["chosen"]["back"] == F.col("_chosen.back"))
+    length = F.least(F.col("_n"), F.lit(run))
+    if alone is not None:
+        at = -F.col("_chosen.back")
+        one = F.struct(at.alias("start"), F.get(F.col("_h1"), at).alias("w1"), F.get(F.col("_h2"), at).alias("w2"))
+        around = F.when(F.col("_chosen.alone"), F.array(one)).otherwise(F.transform(around, lambda r: F.struct(
+            r["start"].alias("start"), r["w1"].alias("w1"), r["w2"].alias("w2"))))
+        length = F.when(F.col("_chosen.alone"), F.lit(1)).otherwise(length)
+    return places.select(F.col("_chosen.hash").alias("_hash"), "_doc", around.alias("_around"), length.alias("_length"))
 
 
 def later_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-               gram: int = 2, window: int = 2) -> DataFrame:
+               gram: int = 2, window: int = 2, alone: int | None = None) -> DataFrame:
     """(_doc, start, _length): runs of lines that an earlier place of the corpus has already.
 
     Places are ordered by doc_id (nulls first), a digest of the text, and the line. ``start``
     counts the lines that aren't blank.
     """
-    places = line_windows(docs, doc_id, text, gram, window)
+    places = line_windows(docs, doc_id, text, gram, window, alone)
     # counts are written before they are joined: both sides then are plain shuffles, which Spark splits
     repeated = checkpointed(
         places.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"))
@@ -89,12 +107,14 @@ def later_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = 2, window: int = 2,
-                counts: bool = False) -> DataFrame:
+                counts: bool = False, alone: int | None = None) -> DataFrame:
     """``docs`` with the later repeats of runs of ``gram + window - 1`` lines cut out of the text.
 
     A line goes if it is in such a run that occurs at an earlier place of the corpus, in the
     same document or another; each line that goes has an equal line that stays. A document
-    with fewer lines counts as one run and matches such documents only. Blank lines
+    with fewer lines counts as one run and matches such documents only. With ``alone``, a
+    line of so many words or more that occurs at an earlier place goes whatever stands around
+    it; without it, repeats of fewer lines than a run stay, however long. Blank lines
     belong to no run and stay. A text of which nothing stays is empty; a null text stays
     null; rows equal in doc_id and text are one document and are cut alike. Null doc_ids
     come first. Other columns pass through; with ``counts``, n_lines and n_deleted (without
@@ -102,7 +122,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gra
     """
     k1, k2 = _digests(F.col(doc_id), F.col(text))
     gone = (
-        later_runs(docs, doc_id, text, gram, window)
+        later_runs(docs, doc_id, text, gram, window, alone)
         .groupBy(F.col("_doc.k1").alias("_k1"), F.col("_doc.k2").alias("_k2"))
         .agg(F.array_distinct(F.flatten(F.collect_set(
             F.sequence("start", F.col("start") + F.col("_length") - 1)))).alias("_gone"))
