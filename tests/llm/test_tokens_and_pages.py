@@ -203,6 +203,13 @@ def test_html_reader_ends_an_open_head():
     assert html_extract.main_texts([head + "<body><article><p>text</p></article>"], None) == ["text"]
 
 
+def test_html_siblings_are_all_seen():
+    page = html_extract.page_of("<div>" + "<p>abcd</p>" * 50 + "<ul>abcdefgh</ul>" * 30 + "</div>")
+    same, mean = page.features[2:, 14], page.features[2:, 15]
+    assert np.allclose(same, [5 / 8] * 50 + [3 / 8] * 30) and np.allclose(mean, (50 * 4 + 30 * 8) / 80)
+    assert page.features[0, 14] == page.features[1, 14] == 1 and page.features[0, 15] == page.features[1, 15] == 440
+
+
 def test_html_edges(spark):
     sources = [None, "", "plain text", "<html><body></body></html>", "<p>unclosed", "<article><p>" + "w " * 40000 + "</article>"]
     pages = spark.createDataFrame([(k, "u", s, 5) for k, s in enumerate(sources)] * 2, "page_id long, url string, html string, text int")

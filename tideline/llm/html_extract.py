@@ -12,6 +12,7 @@ so that they also know pages that name nothing.
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,15 +84,17 @@ def page_of(source: str) -> Page:
     for k in range(n):
         before[k] = seen
         seen += own[k]
+    tags = [Counter(nodes[c].tag for c in x) for x in children]
+    sizes = [sum(size[c] for c in x) for x in children]
     rows = np.zeros((n, N_FEATURES), np.float32)
     for k, x in enumerate(nodes):
         up = max(x.parent, 0)
-        siblings = children[up] if k else [0]
+        siblings = len(children[up]) if k else 1
+        same, beside = (tags[up][x.tag], sizes[up]) if k else (1, size[0])
         rows[k] = [
             _TAG_INDEX.get(x.tag, -1), x.depth, own[k], size[k], size[k] / total, below[k], size[k] / below[k],
-            linked[k] / max(size[k], 1), marks[k] / max(size[k], 1), texts[k], x.inline, place[k], len(siblings),
-            place[k] / max(len(siblings) - 1, 1), sum(nodes[s].tag == x.tag for s in siblings[:50]) / min(len(siblings), 50),
-            sum(size[s] for s in siblings[:50]) / min(len(siblings), 50), before[k] / total, _TAG_INDEX.get(nodes[up].tag, -1),
+            linked[k] / max(size[k], 1), marks[k] / max(size[k], 1), texts[k], x.inline, place[k], siblings,
+            place[k] / max(siblings - 1, 1), same / siblings, beside / siblings, before[k] / total, _TAG_INDEX.get(nodes[up].tag, -1),
             path_chrome[k] + chrome[k], path_article[k] + article[k], chrome[k], len(x.tokens),
             *kinds[k], *path_kinds[k],
         ]
