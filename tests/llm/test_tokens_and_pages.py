@@ -5,7 +5,7 @@ import html
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -210,6 +210,22 @@ def test_html_siblings_are_all_seen():
     assert page.features[0, 14] == page.features[1, 14] == 1 and page.features[0, 15] == page.features[1, 15] == 440
 
 
+def test_html_of_a_table_that_names_no_article(spark):
+    """Also with one named page among them: the others' texts don't hang on it."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(120).collect()
+    truth = {r.page_id: article_of(r.html).split() for r in rows}
+    plain = [(r.page_id, "u", r.html.replace("<article>", "<div class=\"c9\">").replace("</article>", "</div>")) for r in rows]
+    named = [(-1, "u", "<html><body><nav>menu of the page</nav><article><p>one named page of many words.</p></article></body></html>")]
+    for table_ in (plain, plain + named):
+        out = html_extract.extract(spark.createDataFrame(table_, "page_id long, url string, html string")).collect()
+        good = 0
+        for r in out:
+            want, got = Counter(truth.get(r.page_id, [])), Counter(r.text.split())
+            good += 2 * (want & got).total() >= 0.8 * (want.total() + got.total()) and got.total() > 0
+        assert good >= 0.8 * len(rows), good
+    assert html_extract.fit([]) is not None and html_extract.fit(["<p>a"]) is not None
+
+
 def test_html_edges(spark):
     sources = [None, "", "plain text", "<html><body></body></html>", "<p>unclosed", "<article><p>" + "w " * 40000 + "</article>"]
     pages = spark.createDataFrame([(k, "u", s, 5) for k, s in enumerate(sources)] * 2, "page_id long, url string, html string, text int")

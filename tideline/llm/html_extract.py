@@ -4,13 +4,15 @@ Every block element gets features of itself, its subtree, its path and its sibli
 trees say how likely its own text belongs to the article. Hierarchical decoding then
 finds, from the leaves up, the consistent choice of the highest likelihood: what is
 outside the article may hold it, what is inside may hold parts that are cut out, and
-nothing below a cut is taken. The trees learn from a bounded sample of pages whose
-markup names the article (article, main), and from copies of these pages with other markup,
-so that they also know pages that name nothing.
+nothing below a cut is taken. The trees learn from a bounded sample of pages, those whose
+markup names the article (article, main) first, and from copies of these pages with other markup,
+so that they also know pages that name nothing. Sampled pages that name nothing give their
+texts to made-up pages.
 """
 
 from __future__ import annotations
 
+import html
 import pickle
 from collections import Counter
 from collections.abc import Iterator
@@ -41,6 +43,9 @@ WORDS = {
 _WORD_SETS = {k: frozenset(v.split()) for k, v in WORDS.items()}
 _TAG_INDEX = {t: k for k, t in enumerate(TAGS)}
 N_FEATURES = 22 + 2 * len(WORDS)
+#: Texts of made-up pages where the sample has none, and the least number of such pages without named ones.
+FILLER = ["The quick brown fox jumps over the lazy dog, and the dog sleeps on.", "It rained for days. Then, at last, it was dry."]
+MADE_UP = 60
 
 
 @dataclass
@@ -223,11 +228,21 @@ def _marked_truth(source: str) -> np.ndarray:
     return out
 
 
+def texts_in(source: str) -> list[str]:
+    """The texts of over 20 characters of a page."""
+    return [shown(i) for x in parse(source) for i in x.items if isinstance(i, str) and len(shown(i)) > 20]
+
+
 def fit(pages: list[str], seed: int = 11, copies: int = 2) -> Trees | None:
-    """Trees from pages that name their article; None if no page does."""
+    """Trees from pages that name their article, and from made-up pages with the texts of those that don't."""
     random = np.random.default_rng(seed)
-    named = [p for p in pages if any(x.tag in ARTICLE_TAGS for x in parse(p))]
-    spare = [shown(i) for p in named for x in parse(p) for i in x.items if isinstance(i, str) and len(shown(i)) > 20]
+    named, plain = [], []
+    for source in pages:
+        (named if any(x.tag in ARTICLE_TAGS for x in parse(source)) else plain).append(source)
+    spare = [t for p in pages for t in texts_in(p)]
+    if not named:
+        spare = spare or FILLER
+        plain = [(plain or [""])[k % max(len(plain), 1)] for k in range(max(len(plain), MADE_UP))]
     rows, labels, weights = [], [], []
 
     def add(page: Page, truth: np.ndarray) -> None:
@@ -241,6 +256,11 @@ def fit(pages: list[str], seed: int = 11, copies: int = 2) -> Trees | None:
         for _ in range(copies if spare else 0):
             if changed := other_markup(source, spare, random):
                 add(page_of(changed), _marked_truth(changed))
+    for source in plain if spare else []:
+        blocks = "".join(f"<p>{html.escape(t)}</p>" for t in texts_in(source) or FILLER)
+        for _ in range(copies + 1):
+            changed = other_markup(f"<article>{blocks}</article>", [html.escape(t) for t in spare], random)
+            add(page_of(changed), _marked_truth(changed))
     if not rows:
         return None
     y, w = np.concatenate(labels), np.concatenate(weights)
@@ -304,8 +324,10 @@ def written(nodes: list[Node], states: list[int]) -> str:
 
 
 def training_pages(pages: DataFrame, sample_rows: int, longest: int, key: str = "page_id") -> list[str]:
-    """At most ``sample_rows`` pages by the hash of their key, none longer than ``longest``."""
-    drawn = pages.where(F.length("html") <= longest).withColumn("_draw", F.xxhash64(F.col(key), F.col("html")))
+    """At most ``sample_rows`` pages, named articles first, then by the hash of their key, none longer than ``longest``."""
+    unnamed = ~F.col("html").rlike(rf"(?i)<({'|'.join(sorted(ARTICLE_TAGS))})[\s/>]")
+    drawn = pages.where(F.length("html") <= longest).withColumn(
+        "_draw", F.struct(unnamed.alias("unnamed"), F.xxhash64(F.col(key), F.col("html")).alias("hash")))
     picked = drawn.select("_draw").orderBy("_draw").limit(sample_rows)  # numbers alone, before any page is sent
     rows = drawn.join(F.broadcast(picked.distinct()), "_draw").select("html").dropDuplicates().limit(sample_rows).collect()
     return sorted(r["html"] for r in rows)
@@ -315,9 +337,8 @@ def extract(pages: DataFrame, sample_rows: int = 200, longest: int = 50_000, key
     """``pages`` without html, with text (the main text) and n_chars.
 
     Trained on the driver on a bounded sample, applied to every whole page. Null and empty
-    pages, and pages without an article, have an empty text. Where no sampled page names its
-    article there is nothing to learn from, and the markup alone decides. Every row gives one
-    row, repeated ones too; other columns pass through; columns named like an output are
+    pages have an empty text. Where few or no pages name their article, made-up pages with the
+    texts of sampled ones are learnt from. Every row gives one row, repeated ones too; other columns pass through; columns named like an output are
     replaced; an empty table gives an empty table.
     """
     model = pages.sparkSession.sparkContext.broadcast(pickle.dumps(fit(training_pages(pages, sample_rows, longest, key))))
