@@ -59,7 +59,8 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: The stages' models and graph searches are beyond SQL; tests hold run() against plain Python.
+#: The stages' models and graph searches are beyond SQL; tests hold line dedup and the join against plain
+#: Python, toxicity against the operator's verdicts, substring dedup and packing by their properties.
 ORACLE_SQL = None
 
 

@@ -255,6 +255,46 @@ def test_pipeline_stage_by_stage(spark):
     packed_right(pieces_, before, 2048)
 
 
+def test_pipeline_stages_against_plain_python(spark):
+    """Toxicity against the operator's verdicts, lines and join exactly, passages by what is repeated."""
+    from test_dedup import single_lines_by_hand
+    from test_join import by_brute_force
+    from tideline.llm.toxicity import score_toxicity
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    scored = score_toxicity(docs, spark.read.parquet(f"{FOLDER}/labels.parquet")).select("doc_id", "predicted").collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    def stage(name):
+        nonlocal docs
+        docs = corpus_pipeline.checkpointed(stages[name](spark, docs, FOLDER))
+        return {r.doc_id: r.text for r in docs.collect()}
+
+    clean = stage("toxicity")
+    assert clean == {r.doc_id: texts[r.doc_id] for r in scored if r.predicted == 0}
+    lines = stage("line dedup")
+    assert lines == single_lines_by_hand(sorted(clean.items()), 10)
+    joined = stage("n-gram Jaccard join")
+    groups = by_brute_force(list(lines.items()), 5, 80)
+    assert joined == {i: lines[i] for i in {root for _, root in groups.values()}}
+    raw = stages["n-gram Jaccard join"](spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER)  # with near copies
+    roots = {root for _, root in by_brute_force(list(texts.items()), 5, 80).values()}
+    assert {r.doc_id for r in raw.select("doc_id").collect()} == roots and len(roots) < len(texts)
+    cut = stage("substring dedup")
+    assert set(cut) == set(joined)
+    known = set()
+    for i, text in sorted(joined.items()):
+        words = text.split()
+        repeated = set()
+        for at in range(len(words) - 7):
+            gram = tuple(words[at:at + 8])
+            if gram in known:
+                repeated.update(range(at, at + 8))
+            known.add(gram)
+        assert len(words) - len(cut[i].split()) <= len(repeated) and (repeated or cut[i] == text), i
+
+
 def test_pipeline_on_awkward_documents(spark):
     full, empty = edge_tables(spark)
     for docs in (full, empty):
