@@ -1,6 +1,7 @@
 """Importing this module registers the queries of every operator of the subpackage."""
 
 from tideline.llm import (  # noqa: F401
+    conversation_repair,
     fingerprints,
     html_extract,
     line_dedup,
