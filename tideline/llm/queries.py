@@ -4,6 +4,7 @@ from tideline.llm import (  # noqa: F401
     conversation_repair,
     fingerprints,
     html_extract,
+    language_id,
     line_dedup,
     ngram_join,
     packing,
