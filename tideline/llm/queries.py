@@ -3,6 +3,7 @@
 from tideline.llm import (  # noqa: F401
     conversation_repair,
     fingerprints,
+    hard_negatives,
     html_extract,
     language_id,
     line_dedup,
