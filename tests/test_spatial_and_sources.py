@@ -121,3 +121,33 @@ def test_stacked_tables_fill_missing_columns(spark):
     a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(3,)], "x int")
     out = sorted(map(tuple, tables.stack_tables({"a": a, "b": b}).select("x", "y", "file").collect()))
     assert out == [(1, 2, "a"), (3, None, "b")]
+
+
+def test_nearest_cell_far_from_all_and_without_any(spark):
+    cells = spark.createDataFrame([(1, -179.5, 89.5)], "cell bigint, cell_lon double, cell_lat double")
+    pts = spark.createDataFrame([(0.0, -90.0), (None, 3.0), (10.0, None), (-179.5, 89.5)], "Longitude double, Latitude double")
+    got = {(r["Longitude"], r["Latitude"]): (r["non_na_cell"], r["km"]) for r in spatial.nearest_valid_cell(pts, cells).collect()}
+    assert got[(None, 3.0)] == got[(10.0, None)] == (None, None) and got[(-179.5, 89.5)] == (1, 0.0)
+    assert got[(0.0, -90.0)] == (1, pytest.approx(km((0.0, -90.0), (-179.5, 89.5)), abs=1e-5))
+    none = spatial.nearest_valid_cell(pts, cells.limit(0)).collect()
+    assert len(none) == 4 and {r["non_na_cell"] for r in none} == {None}
+
+
+def test_nearest_cell_reads_points_and_cells_once(spark):
+    """Rows are counted as they are read."""
+    read = {name: spark.sparkContext.accumulator(0) for name in ("points", "cells")}
+
+    def counted(df, name):
+        def run(batches):
+            for b in batches:
+                read[name].add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    pts = spark.range(300).selectExpr("id * 1.17 - 175 AS Longitude", "id * 0.5 - 75 AS Latitude")
+    cells = spark.range(40).selectExpr("id + 1 AS cell", "id * 4 - 80.5 AS cell_lon", "id - 19.5 AS cell_lat")
+    found = spatial.nearest_valid_cell(counted(pts, "points"), counted(cells, "cells"))
+    # of written tables: the state of the last level, the placed cells, the places
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 3
+    assert found.count() == 300 and {k: a.value for k, a in read.items()} == {"points": 300, "cells": 40}

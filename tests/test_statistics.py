@@ -67,26 +67,55 @@ def grouped(spark):
 PROBS = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.9, "e": 0.975, "f": 1.0}
 
 
-@pytest.mark.parametrize("heavy_rows", [3, 100, 10**9])
-def test_quantiles_are_the_same_whatever_counts_as_heavy(grouped, heavy_rows):
-    out = quantiles.grouped_quantiles(grouped, ["k"], "v", PROBS, [F.avg("v").alias("m")], heavy_rows=heavy_rows)
-    got = {r["k"]: r for r in out.collect()}
-    pdf = grouped.toPandas()
-    assert set(got) == set(pdf["k"].map(lambda k: k if isinstance(k, str) else None))
+def quantiles_by_hand(frame):
+    pdf = frame.toPandas()
+    return {k: pdf.loc[pdf["k"].isna() if k is None else pdf["k"] == k, "v"].dropna().to_numpy()
+            for k in set(pdf["k"].map(lambda k: k if isinstance(k, str) else None))}
+
+
+@pytest.fixture
+def many_tasks(spark):
+    """Small partitions stay apart, so that groups are cut."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_quantiles_of_hot_empty_and_missing_groups(many_tasks, grouped):
+    got = {r["k"]: r for r in quantiles.grouped_quantiles(grouped, ["k"], "v", PROBS, [F.avg("v").alias("m")]).collect()}
+    by_hand = quantiles_by_hand(grouped)
     for k, r in got.items():
-        v = pdf.loc[pdf["k"].isna() if k is None else pdf["k"] == k, "v"].dropna().to_numpy()
         for name, p in PROBS.items():
-            assert (r[name] is None) if not len(v) else r[name] == pytest.approx(np.quantile(v, p), abs=1e-12), (k, name)
+            assert (r[name] is None) if not len(by_hand[k]) else r[name] == pytest.approx(np.quantile(by_hand[k], p), abs=1e-12), (k, name)
+    assert set(got) == set(by_hand)
+    assert {r["k"] for r in quantiles.grouped_quantiles(grouped, ["k"], "v", PROBS).collect()} == set(by_hand)
+
+
+def test_quantiles_of_equal_and_of_extreme_values(many_tasks):
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1e-310, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308,
+           1.0, np.nextafter(1.0, 2), np.nextafter(1.0, 0), 2.0, 0.1, -0.1, 1e300, 3.0]
+    df = many_tasks.createDataFrame([("same", 7.25)] * 5000 + [("odd", float(v)) for v in odd] + [("one", -3.5)], "k string, v double")
+    ranks = {f"q{i}": i / (len(odd) - 1) for i in range(len(odd))}
+    got = {r["k"]: r for r in quantiles.grouped_quantiles(df, ["k"], "v", ranks).collect()}
+    assert {got["same"][q] for q in ranks} == {7.25} and {got["one"][q] for q in ranks} == {-3.5}
+    # a place that is whole but for rounding lies a hair's breadth beside it
+    assert [got["odd"][q] for q in ranks] == pytest.approx(sorted(odd), rel=1e-9, abs=1e-320)
 
 
-@pytest.mark.parametrize("path", [10, 1])
-def test_quantiles_with_a_stated_group_size(spark, path):
-    v = RNG.normal(0, 1, 50)
-    df = spark.createDataFrame([(1, float(x)) for x in v] + [(2, None)], "k int, v double")
-    out = quantiles.grouped_quantiles(df, ["k"], "v", {"q": 0.3}, [F.count("v").alias("n")], heavy_rows=100 // path,
-                                      group_rows=50)
-    assert {r["k"]: r["n"] for r in out.collect()} == {1: 50, 2: 0}
-    assert {r["k"]: r["q"] for r in out.collect()}[1] == pytest.approx(np.quantile(v, 0.3))
+def test_a_hot_group_and_a_run_of_equal_values_are_dealt_out(many_tasks):
+    df = many_tasks.createDataFrame([("same", 1.0)] * 8000 + [(f"g{i}", float(i)) for i in range(500)], "k string, v double")
+    runs = quantiles.SortedRuns(df.repartition(8), ["k"], "v").runs().where("k = 'same'").collect()
+    assert len(runs) >= 4 and max(r["_count"] for r in runs) <= 4000
+    assert sum(r["_count"] for r in runs) == 8000 and {r["n"] for r in runs} == {8000}
+
+
+def test_ranks_are_all_different(many_tasks, grouped):
+    rows = quantiles.ranked(grouped, ["k"], "v").collect()
+    for k, v in quantiles_by_hand(grouped).items():
+        own = sorted((r["_rank"], r["_v"]) for r in rows if r["k"] == k)
+        assert [a for a, _ in own] == list(range(1, len(v) + 1)) and [b for _, b in own] == sorted(v)
+        assert all(r["n"] == len(v) for r in rows if r["k"] == k)
+    assert len({(r["_group"], r["k"]) for r in rows}) == len({r["_group"] for r in rows})
 
 
 def hpd(v, prob):
@@ -97,26 +126,23 @@ def hpd(v, prob):
     return v[i], v[i + gap]
 
 
-@pytest.mark.parametrize("heavy_rows", [10, 10**9])
 @pytest.mark.parametrize("prob", [0.5, 0.9, 0.99])
-def test_shortest_interval(grouped, heavy_rows, prob):
-    out = {r["k"]: r for r in posterior.hpd_interval(grouped, ["k"], "v", prob, heavy_rows=heavy_rows).collect()}
-    pdf = grouped.toPandas()
-    for k, r in out.items():
-        v = pdf.loc[pdf["k"].isna() if k is None else pdf["k"] == k, "v"].dropna().to_numpy()
-        assert (r["lower"], r["upper"]) == pytest.approx(hpd(v, prob)), k
+def test_shortest_interval(many_tasks, grouped, prob):
+    out = {r["k"]: r for r in posterior.hpd_interval(grouped, ["k"], "v", prob).collect()}
+    for k, v in quantiles_by_hand(grouped).items():
+        if len(v) < 2:
+            assert k not in out
+            continue
+        assert (out[k]["lower"], out[k]["upper"]) == pytest.approx(hpd(v, prob)), k
         if len(v) > 50:
             lo, hi = np.quantile(v, [(1 - prob) / 2, 1 - (1 - prob) / 2])
-            assert r["upper"] - r["lower"] <= hi - lo + 0.02
+            assert out[k]["upper"] - out[k]["lower"] <= hi - lo + 0.02
 
 
-@pytest.mark.parametrize("heavy_rows", [5, 10**6])
-def test_shortest_interval_with_a_stated_group_size(spark, heavy_rows):
-    v = RNG.normal(0, 1, 400)
-    df = spark.createDataFrame([(i % 2, float(x)) for i, x in enumerate(v)], "k int, v double")
-    out = posterior.hpd_interval(df, ["k"], "v", 0.8, heavy_rows=heavy_rows, group_rows=200)
-    for r in out.collect():
-        assert (r["lower"], r["upper"]) == pytest.approx(hpd(v[r["k"]::2], 0.8))
+def test_shortest_interval_of_very_many_equal_draws(spark):
+    draws = spark.range(1_000_000).selectExpr("id % 2 AS k", "CASE WHEN id % 1000 = 1 THEN id / 1e6 ELSE 0.5 END AS v")
+    out = {r["k"]: (r["lower"], r["upper"]) for r in posterior.hpd_interval(draws, ["k"], "v", 0.9).collect()}
+    assert out == {0: (0.5, 0.5), 1: (0.5, 0.5)}
 
 
 def chains_frame(spark, values):
@@ -291,3 +317,58 @@ def test_totals(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double")
     r = climate.totals(df, ["x"]).first()
     assert r["total"] == 7 and r["se"] == pytest.approx(math.sqrt(3 * np.var([1, 2, 4], ddof=1)))
+
+
+@pytest.fixture(scope="module")
+def effect_draws(spark):
+    r = np.random.default_rng(5)
+    rows_ = [tuple(map(float, r.normal(0, 10.0 ** r.integers(-3, 4), 3))) for _ in range(400)]
+    rows_ += [(0.5, 0.25, -1.0)] * 300 + [(None, 1.0, 1.0), (float("nan"), 1.0, 1.0), (1.0, 0.0, -0.0)]
+    return spark.createDataFrame(rows_, "b double, b_x double, `b_x:y` double"), [x for x in rows_ if None not in x and not np.isnan(x).any()]
+
+
+EFFECT_TERMS = {"b": [], "b_x": ["x"], "b_x:y": ["x", "y"]}
+
+
+@pytest.mark.parametrize("most_points", [1 << 16, 0])
+@pytest.mark.parametrize("cells", [1 << 21, 10])
+def test_effects_by_counts_and_by_sorting(spark, effect_draws, monkeypatch, most_points, cells):
+    from tideline.operators import effects
+
+    monkeypatch.setattr(effects, "CELLS", cells)
+    draws, sound = effect_draws
+    draws = draws.where("NOT isnan(b) OR b IS NULL")
+    axes = spark.range(1).select(F.array(*map(F.lit, [-2.0, 0.0, 1e-9])).alias("axis_x"), F.array(*map(F.lit, [1.0, 3.0])).alias("axis_y"))
+    got = {(r["x"], r["y"]): r for r in posterior.effect_over_axes(
+        draws, axes, EFFECT_TERMS, {"low": 0.0, "q": 0.37, "mid": 0.5, "high": 1.0}, "m", most_points).collect()}
+    assert len(got) == 6
+    for (x, y), r in got.items():
+        v = np.array([a + b * x + c * x * y for a, b, c in sound])
+        assert r["m"] == pytest.approx(v.mean(), rel=1e-9, abs=1e-12)
+        assert [r["low"], r["q"], r["mid"], r["high"]] == pytest.approx(list(np.quantile(v, [0, 0.37, 0.5, 1])), rel=1e-9, abs=1e-12)
+
+
+def test_effects_without_draws_and_with_missing_ones(spark, effect_draws):
+    draws, sound = effect_draws
+    axes = spark.range(1).select(F.array(F.lit(1.0)).alias("axis_x"), F.array(F.lit(2.0)).alias("axis_y"))
+    assert posterior.effect_over_axes(draws.limit(0), axes, EFFECT_TERMS, {"q": 0.5}, "m").count() == 0
+    one = posterior.effect_over_axes(draws, axes, EFFECT_TERMS, {"q": 0.5}, "m").first()
+    assert one["q"] == pytest.approx(np.median([a + b + 2 * c for a, b, c in sound]))
+
+
+def test_images_and_values():
+    from tideline.operators.effects import image, value_of
+
+    r = np.random.default_rng(1)
+    v = np.unique(np.concatenate([r.integers(-(1 << 63), 1 << 63, 4000).view(np.float64), [0.0, 1.0, 5e-324, -1.0, np.inf, -np.inf]]))
+    v = v[~np.isnan(v)]
+    assert (np.diff(image(v)) > 0).all() and (value_of(image(v)) == v).all() and image(np.array([-0.0]))[0] == 0
+
+
+def test_effects_that_differ_in_their_last_bits_alone(spark):
+    """Values so close that every round is needed."""
+    v = 1 + np.arange(200) * 2.0 ** -52
+    draws = spark.createDataFrame([(float(x),) for x in v], "b double")
+    axes = spark.range(1).select(F.array(F.lit(0.0)).alias("axis_x"))
+    out = posterior.effect_over_axes(draws, axes, {"b": []}, {"q": 0.25, "r": 1.0}, "m").first()
+    assert out["q"] == pytest.approx(np.quantile(v, 0.25), abs=0) and out["r"] == v[-1]

@@ -38,16 +38,16 @@ def annual_summary(df: DataFrame, keys: Sequence[str], value: str = "tempC") ->
     )
 
 
-def annual_p90(df: DataFrame, keys: Sequence[str], value: str = "tempC", **how) -> DataFrame:
+def annual_p90(df: DataFrame, keys: Sequence[str], value: str = "tempC") -> DataFrame:
     """Mean and 90th percentile (as the maximum) per location and year."""
     return grouped_quantiles(
-        df, keys, value, {f"max_{value}": 0.9}, [F.avg(value).alias(f"mean_{value}")], **how
+        df, keys, value, {f"max_{value}": 0.9}, [F.avg(value).alias(f"mean_{value}")]
     )
 
 
-def cell_month_stats(df: DataFrame, keys: Sequence[str], value: str = "value", **how) -> DataFrame:
+def cell_month_stats(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Mean and 90th percentile over the time steps of a cell and month."""
-    return grouped_quantiles(df, keys, value, {"p90": 0.9}, [F.avg(value).alias("mean")], **how)
+    return grouped_quantiles(df, keys, value, {"p90": 0.9}, [F.avg(value).alias("mean")])
 
 
 def seasonal_means(
@@ -99,9 +99,9 @@ def mean_within_year_sd(df: DataFrame, keys: Sequence[str], sd: str = "sd_tempC"
     return df.groupBy(*keys).agg(F.avg(sd).alias(f"avg_{sd}"))
 
 
-def region_climatology(df: DataFrame, region: str, value: str = "tempC", year: str = "Year", **how) -> DataFrame:
+def region_climatology(df: DataFrame, region: str, value: str = "tempC", year: str = "Year") -> DataFrame:
     """Annual mean and 90th percentile, then their mean over the years."""
-    annual = annual_p90(df, [region, year], value, **how)
+    annual = annual_p90(df, [region, year], value)
     return annual.groupBy(region).agg(
         F.avg(f"mean_{value}").alias(f"mean_{value}_region"),
         F.avg(f"max_{value}").alias(f"max_{value}_region"),

@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table below the checkpoint folder: read by column, and with a size that joins can plan on."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_id") -> DataFrame:
     """Consecutive 1-based numbers in the given (total) order.
 

@@ -2,7 +2,7 @@
 
 Draws are long (keys, value) or wide (one column per parameter). Groups of any
 size are handled: moments are mergeable aggregates, quantiles and shortest
-intervals rank heavy groups in pieces.
+intervals come from one sort over all tasks.
 """
 
 from __future__ import annotations
@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .climate import totals
 from .joins import natural_join, with_one_row
-from .quantiles import cumulative_counts, grouped_quantiles
+from .effects import counted_quantiles
+from .materialize import written
+from .quantiles import grouped_quantiles, ranked
 from .reshape import expand_axes
 from .rows import delta_to_best, sorted_by
 
-_RANK_BUCKET = 1024
+#: Points of a grid up to which effects are counted; what is known of each point's ranks goes to every task.
+MOST_POINTS = 1 << 16
 
 
 def prob_name(prefix: str, prob: float) -> str:
@@ -27,15 +30,15 @@ def prob_name(prefix: str, prob: float) -> str:
 
 def posterior_quantiles(
     draws: DataFrame, keys: Sequence[str] = ("param",), value: str = "value",
-    probs: Sequence[float] = (0.05, 0.5, 0.95), **how,
+    probs: Sequence[float] = (0.05, 0.5, 0.95),
 ) -> DataFrame:
     """Quantiles of each parameter's draws, columns ``q5``, ``q50``, ..."""
-    return grouped_quantiles(draws, keys, value, {prob_name("q", p): p for p in probs}, **how)
+    return grouped_quantiles(draws, keys, value, {prob_name("q", p): p for p in probs})
 
 
 def posterior_summary(
     draws: DataFrame, keys: Sequence[str] = ("param",), value: str = "value",
-    probs: Sequence[float] = (0.99, 0.95, 0.9), **how,
+    probs: Sequence[float] = (0.99, 0.95, 0.9),
 ) -> DataFrame:
     """Mean, sd, share of positive draws, and central intervals."""
     quantiles = {}
@@ -46,45 +49,28 @@ def posterior_summary(
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("se"),
         F.avg((F.col(value) > 0).cast("double")).alias("p"),
-    ], **how)
+    ])
 
 
 def hpd_interval(
-    draws: DataFrame, keys: Sequence[str] = ("param",), value: str = "value", prob: float = 0.95, **how
+    draws: DataFrame, keys: Sequence[str] = ("param",), value: str = "value", prob: float = 0.95
 ) -> DataFrame:
     """Shortest interval spanning ``gap`` steps of the sorted draws; the lowest one wins ties.
 
-    gap = max(1, min(n-1, round(n*prob))). Equal draws are one row with a range of
-    ranks; of them only the first can start a shortest interval. The end of an
-    interval is looked up by rank inside buckets of fixed width: going down the
-    ranks, the smallest value met so far is the one that holds the wanted rank.
+    gap = max(1, min(n-1, round(n*prob))). Every draw has a rank of its own, equal ones too, so the two
+    ends of an interval meet by an equi-join on unique keys: no array, window or bucket
+    holds a group or a run of equal draws.
     """
     keys = list(keys)
-    ranks = cumulative_counts(draws.select(*keys, F.col(value).cast("double").alias("_v")), keys, "_v", **how)
-    k = ", ".join(f"`{c}`" for c in keys)
-    return draws.sparkSession.sql(
-        f"""
-        WITH stepped AS (
-          SELECT *, first_rank + greatest(1, least(n - 1, CAST(bround(n * {float(prob)!r}D) AS BIGINT))) AS _end
-          FROM {{ranks}}),
-        marks AS (
-          SELECT {k}, inline(concat(
-            CASE WHEN _end <= n THEN
-              array(named_struct('_b', _end DIV {_RANK_BUCKET}, '_at', _end, '_lower', _v, '_v', CAST(NULL AS DOUBLE)))
-              ELSE array() END,
-            transform(sequence(first_rank DIV {_RANK_BUCKET}, last_rank DIV {_RANK_BUCKET}), b ->
-              named_struct('_b', b, '_at', last_rank, '_lower', CAST(NULL AS DOUBLE), '_v', _v))))
-          FROM stepped),
-        met AS (
-          SELECT *, min(_v) OVER (PARTITION BY {k}, _b ORDER BY _at DESC, _v DESC NULLS LAST
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _upper FROM marks),
-        best AS (
-          SELECT {k}, min(named_struct('width', _upper - _lower, 'lower', _lower, 'upper', _upper)) AS _s
-          FROM met WHERE _lower IS NOT NULL GROUP BY {k})
-        SELECT {k}, _s.lower AS lower, _s.upper AS upper FROM best
-        """,
-        ranks=ranks,
-    )
+    ranks = written(ranked(draws, keys, value))
+    gap = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * float(prob)).cast("long")))
+    lower = ranks.select("*", (F.col("_rank") + gap).alias("_end")).where("_end <= n").drop("_rank", "n")
+    upper = ranks.select(F.col("_group").alias("_in"), F.col("_rank").alias("_end"), F.col("_v").alias("_upper"))
+    spans = lower.join(upper, (lower["_group"] == upper["_in"]) & (lower["_end"] == upper["_end"]))
+    best = spans.groupBy(*[f"`{k}`" for k in keys]).agg(
+        F.min(F.struct((F.col("_upper") - F.col("_v")).alias("width"), F.col("_v").alias("lower"),
+                       F.col("_upper").alias("upper"))).alias("_s"))
+    return best.select(*[F.col(f"`{k}`") for k in keys], "_s.lower", "_s.upper")
 
 
 def second_half(draws: DataFrame, iteration: str = "iteration") -> DataFrame:
@@ -198,22 +184,25 @@ def _effect(terms: Mapping[str, Sequence[str]]) -> str:
 
 def effect_over_axes(
     draws: DataFrame, axes: DataFrame, terms: Mapping[str, Sequence[str]], probs: Mapping[str, float], name: str,
-    n_draws: int | None = None, **how,
+    most_points: int = MOST_POINTS,
 ) -> DataFrame:
     """Mean and quantiles, over the draws, of an effect at each point of a grid.
 
-    ``axes`` is the one-row table of axis arrays. Each draw is expanded axis by
-    axis in its own task, so neither the grid nor the product is ever shipped.
-    Every point has as many values as there are draws; they are counted unless given.
+    ``axes`` is the one-row table of axis arrays. Each task multiplies its draws with the grid's products
+    and counts leading bits of the effects by point; counts travel and effects don't, so the shuffle grows
+    with the points and not with the draws. A grid of more than ``most_points`` points is too much to
+    send to every task: there each draw is expanded over the axes and the effects are sorted.
     """
     names = [c.removeprefix("axis_") for c in axes.columns]
+    row = axes.first()
+    if math.prod(len(x) for x in row) <= most_points:
+        return counted_quantiles(draws, dict(zip(names, row)), terms, probs, name)
     points = expand_axes(with_one_row(draws.selectExpr(*[f"`{c}`" for c in terms]), axes), names)
     valued = points.selectExpr(*names, f"{_effect(terms)} AS _effect")
-    group_rows = draws.count() if n_draws is None else n_draws
-    return grouped_quantiles(valued, names, "_effect", probs, [F.avg("_effect").alias(name)], group_rows=group_rows, **how)
+    return grouped_quantiles(valued, names, "_effect", probs, [F.avg("_effect").alias(name)])
 
 
-def linear_predictor(draws: DataFrame, axes: DataFrame, terms: Mapping[str, Sequence[str]], tail: float = 0.1, **how):
+def linear_predictor(draws: DataFrame, axes: DataFrame, terms: Mapping[str, Sequence[str]], tail: float = 0.1, **how) -> DataFrame:
     """Fitted value at each grid point: mean and the two tail quantiles."""
     return effect_over_axes(draws, axes, terms, {"ci_lb": tail, "ci_ub": 1 - tail}, "pred", **how)
 
@@ -223,7 +212,7 @@ def slope_terms(terms: Mapping[str, Sequence[str]], by: str) -> dict[str, list[s
     return {c: [a for a in axes if a != by] for c, axes in terms.items() if by in axes}
 
 
-def conditional_effect(draws: DataFrame, axes: DataFrame, terms: Mapping[str, Sequence[str]], by: str, **how):
+def conditional_effect(draws: DataFrame, axes: DataFrame, terms: Mapping[str, Sequence[str]], by: str, **how) -> DataFrame:
     """Slope of one predictor as the others vary: mean and 5/95 % quantiles."""
     return effect_over_axes(
         draws, axes, slope_terms(terms, by), {"cl_lb": 0.05, "cl_ub": 0.95}, f"{by}_effect", **how
@@ -268,11 +257,11 @@ def pointwise_loglik(
     )
 
 
-def residual_table(fits: DataFrame, prob: float = 0.95, fit: Column | None = None, **how) -> DataFrame:
+def residual_table(fits: DataFrame, prob: float = 0.95, fit: Column | None = None) -> DataFrame:
     """Per observation: mean fitted value, shortest interval, residual."""
     fitted = fits.select("obs", "y", (F.exp("y_loc") if fit is None else fit).alias("_fit"))
     means = fitted.groupBy("obs").agg(F.any_value("y").alias("y"), F.avg("_fit").alias("y_hat"))
-    shortest = hpd_interval(fitted, ["obs"], "_fit", prob, **how).withColumnsRenamed(
+    shortest = hpd_interval(fitted, ["obs"], "_fit", prob).withColumnsRenamed(
         {"lower": "y_hat_L", "upper": "y_hat_U"}
     )
     return natural_join(means, shortest, ["obs"], "left").withColumn("resid", F.col("y") - F.col("y_hat"))

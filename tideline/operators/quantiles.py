@@ -1,201 +1,101 @@
 """Exact quantiles and ranks that survive a group holding most of the rows.
 
-``percentile`` and a window are exact but keep a group in one task. That is right
-for ordinary groups; one aggregate finds out whether there are others. A group
-with more rows is split by value: a mergeable sketch gives value intervals, for
-quantiles narrow ones certain to hold the wanted order statistics, for ranks
-edges of about equal weight. A sketch depends on the order its parts arrive in,
-so it is written out once before anything is compared with it.
+Rows are sorted by group and value over all tasks; a range partitioning cuts a large group, and a run of
+equal values, wherever its share of the rows is full. What a task holds of a group is a run of
+consecutive numbers, so a rank is found from the runs' lengths, and no task sees a group. There is one way
+for groups of any size: nothing is sketched, and no group's size is looked at first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import natural_join
-from .materialize import cut
+from .materialize import written
 
-HEAVY_ROWS = 100_000  # values of one group an exact percentile may hold in a task's memory
-RANK_ROWS = 1_000_000  # values of one group a (spilling) window may rank in one task
-SKETCH_ACCURACY = 10_000
-EDGE_COUNT = 64
+_PART_BITS = 33  # monotonically_increasing_id: the row within its task, below the task
 
 
-def _names(keys: Sequence[str], table: str = "") -> str:
-    return ", ".join(f"{table}`{k}`" for k in keys)
+class SortedRuns:
+    """The rows of (keys, value), sorted, numbered and written, and the run that each task has of each group.
 
+    Missing values are kept, after all others, without a rank.
+    """
 
-def _same(keys: Sequence[str], a: str, b: str) -> str:
-    """Null-safe equality of the keys of two relations."""
-    return " AND ".join(f"{a}.`{k}` <=> {b}.`{k}`" for k in keys)
+    def __init__(self, df: DataFrame, keys: Sequence[str], value: str):
+        self.keys = list(keys)
+        rows = df.select(*[F.col(f"`{k}`") for k in self.keys], F.col(f"`{value}`").cast("double").alias("_v"))
+        # the row's number before the sort lets equal rows be cut apart
+        order = [F.col(f"`{k}`") for k in self.keys] + [F.col("_v").asc_nulls_last()]
+        dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order, "_tie")
+        self.rows = written(
+            dealt.drop("_tie").sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
 
+    def runs(self) -> DataFrame:
+        """(keys, _part, _first, _count, _before, n): where a run starts, its values, those of the group before it and in all.
 
-def heavy_groups(df: DataFrame, keys: Sequence[str], value: str, heavy_rows: int) -> DataFrame | None:
-    """Keys of the groups with more non-missing values than one task should hold, if any.
+        The windows see a row per task that has some of the group.
+        """
+        own = _names(self.keys)
+        return self.rows.sparkSession.sql(
+            f"""
+            WITH r AS (SELECT {own}, shiftright(_at, {_PART_BITS}) AS _part, min(_at) AS _first, count(_v) AS _count
+                       FROM {{rows}} GROUP BY {own}, shiftright(_at, {_PART_BITS}))
+            SELECT *, coalesce(sum(_count) OVER (PARTITION BY {own} ORDER BY _part
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before,
+                   sum(_count) OVER (PARTITION BY {own}) AS n FROM r
+            """, rows=self.rows)
 
-    At most rows / heavy_rows of them exist. The check is one aggregate.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    heavy = cut(sizes.where(f"_n > {heavy_rows}").drop("_n"))
-    return None if heavy.isEmpty() else heavy
+
+def _names(keys: Sequence[str]) -> str:
+    return ", ".join(f"`{k}`" for k in keys)
 
 
 def grouped_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    extra: Sequence[Column] = (),
-    heavy_rows: int = HEAVY_ROWS,
-    group_rows: int | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, one column per entry of ``probs``.
 
-    ``extra`` are further aggregate columns over the same groups. ``group_rows``
-    states the rows of every group where the caller knows it, which saves the
-    pass that finds the heavy ones.
+    ``extra`` are further aggregate columns over the same groups. A group without a value has missing
+    quantiles. The rows are sorted once; then only the rows at the wanted ranks are looked up.
     """
     keys = list(keys)
-    if group_rows is not None:
-        if group_rows <= heavy_rows:
-            return _held_quantiles(df, keys, value, probs, extra)
-        return _bracketed_quantiles(df, keys, value, probs, extra, heavy_rows)
-    heavy = heavy_groups(df, keys, value, heavy_rows)
-    if heavy is None:
-        return _held_quantiles(df, keys, value, probs, extra)
-    light = natural_join(df, heavy, keys, "left_anti")
-    big = natural_join(df, heavy, keys, "left_semi")
-    return _held_quantiles(light, keys, value, probs, extra).unionByName(
-        _bracketed_quantiles(big, keys, value, probs, extra, heavy_rows)
-    )
-
-
-def _held_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: Mapping[str, float], extra: Sequence[Column]
-) -> DataFrame:
-    several = ", ".join(f"{float(p)!r}D" for p in probs.values())
-    held = df.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, array({several}))").alias("_q"), *extra)
-    picked = [f"_q[{i}] AS `{name}`" for i, name in enumerate(probs)]
-    others = [f"`{c}`" for c in held.columns if c not in ("_q", *keys)]
-    return held.selectExpr(*[f"`{k}`" for k in keys], *others, *picked)
-
-
-def _bracketed_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: Mapping[str, float], extra: Sequence[Column], heavy_rows: int
-) -> DataFrame:
-    # The sketch errs by n/accuracy ranks; the second part covers the two neighboring
-    # order statistics of a group above heavy_rows. Smaller groups are ranked whole.
-    margin = 4.0 / SKETCH_ACCURACY + 2.0 / heavy_rows
-    asked = ", ".join(
-        f"{min(1.0, max(0.0, p + d))!r}D" for p in probs.values() for d in (-margin, margin)
-    )
-    brackets = ", ".join(
-        f"named_struct('_i', {i}, '_p', {float(p)!r}D, '_lo', if(_n > {heavy_rows}, _e[{2 * i}], _min),"
-        f" '_hi', if(_n > {heavy_rows}, _e[{2 * i + 1}], _max))"
-        for i, p in enumerate(probs.values())
-    )
-    sketch = df.groupBy(*keys).agg(
-        F.expr(f"count(`{value}`) AS _n"), F.expr(f"min(`{value}`) AS _min"), F.expr(f"max(`{value}`) AS _max"),
-        F.expr(f"percentile_approx(`{value}`, array({asked}), {SKETCH_ACCURACY}) AS _e"),
-    ).where("_n > 0")
-    bracket = cut(sketch.selectExpr(*[f"`{k}`" for k in keys], "_n", f"inline(array({brackets}))"))
+    own = _names(keys)
+    sorted_rows = SortedRuns(df, keys, value)
+    # both order statistics (0-based) that each quantile lies between, and the step from the lower to the upper
+    wanted = ", ".join(
+        f"named_struct('_i', {2 * i + side}, '_rank', CAST({f}({float(p)!r}D * (n - 1)) AS BIGINT),"
+        f" '_step', {float(p)!r}D * (n - 1) - floor({float(p)!r}D * (n - 1)))"
+        for i, p in enumerate(probs.values()) for side, f in enumerate(("floor", "ceil")))
+    sides = ", ".join(f"max(CASE WHEN _i = {k} THEN _v END) AS _s{k}" for k in range(2 * len(probs)))
+    steps = ", ".join(f"max(CASE WHEN _i = {2 * i} THEN _step END) AS _t{i}" for i in range(len(probs)))
+    values = ", ".join(f"_s{2 * i} + (_s{2 * i + 1} - _s{2 * i}) * _t{i} AS `{name}`" for i, name in enumerate(probs))
     wide = df.sparkSession.sql(
         f"""
-        WITH x AS (SELECT {_names(keys)}, `{value}` AS _v FROM {{df}} WHERE `{value}` IS NOT NULL),
-        placed AS (
-          SELECT {_names(keys, "x.")}, _v, _n, _i, _p, _lo, _hi FROM x JOIN {{bracket}} b ON {_same(keys, "x", "b")}),
-        below AS (
-          SELECT {_names(keys)}, _i, count_if(_v < _lo) AS _below FROM placed GROUP BY {_names(keys)}, _i),
-        inside AS (
-          SELECT {_names(keys)}, _i, _p * (_n - 1) AS _pos, _v, count(*) AS _c FROM placed
-          WHERE _v BETWEEN _lo AND _hi GROUP BY {_names(keys)}, _i, _p, _n, _v),
-        summed AS (
-          SELECT *, sum(_c) OVER (PARTITION BY {_names(keys)}, _i) AS _inside,
-                 sum(_c) OVER (PARTITION BY {_names(keys)}, _i ORDER BY _v
-                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum FROM inside),
-        ranked AS (
-          SELECT {_names(keys, "s.")}, s._i, _v, _pos, _below, _inside, _below + _cum AS _last
-          FROM summed s JOIN below b ON {_same([*keys, "_i"], "s", "b")}),
-        picked AS (
-          SELECT {_names(keys)}, _i,
-                 min(CASE WHEN _last > floor(_pos) THEN _v END) AS _a,
-                 min(CASE WHEN _last > ceil(_pos) THEN _v END) AS _b,
-                 any_value(_pos - floor(_pos)) AS _f,
-                 any_value(CASE WHEN _below > floor(_pos) THEN raise_error('a quantile lies below its bracket') END) AS _low,
-                 any_value(CASE WHEN _below + _inside <= ceil(_pos) THEN raise_error('a quantile lies above its bracket') END) AS _high
-          FROM ranked GROUP BY {_names(keys)}, _i)
-        SELECT {_names(keys)}, {", ".join(
-            f"max(CASE WHEN _i = {i} THEN _a + (_b - _a) * _f END) AS `{name}`" for i, name in enumerate(probs))}
-        FROM picked WHERE _low IS NULL AND _high IS NULL GROUP BY {_names(keys)}
-        """,
-        df=df,
-        bracket=bracket,
-    )
-    # The groups without any value come from the aggregate, hence the right join.
-    return natural_join(wide, df.groupBy(*keys).agg(*extra), keys, "right") if extra else wide
-
-
-def cumulative_counts(
-    df: DataFrame, keys: Sequence[str], value: str, heavy_rows: int = RANK_ROWS, group_rows: int | None = None
-) -> DataFrame:
-    """One row per distinct (group, value): group size, rank of the first and of the last copy.
-
-    Copies collapse before any shuffle, and no task ranks a whole heavy group.
-    ``group_rows`` states the rows of every group where the caller knows it.
-    """
-    keys = list(keys)
-    values = df.select(*keys, value).where(f"`{value}` IS NOT NULL")
-    if group_rows is not None:
-        return (_held_ranks if group_rows <= heavy_rows else _split_ranks)(values, keys, value)
-    heavy = heavy_groups(values, keys, value, heavy_rows)
-    if heavy is None:
-        return _held_ranks(values, keys, value)
-    light = natural_join(values, heavy, keys, "left_anti")
-    return _held_ranks(light, keys, value).unionByName(
-        _split_ranks(natural_join(values, heavy, keys, "left_semi"), keys, value)
-    )
-
-
-def _held_ranks(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    k = _names(keys)
-    return values.sparkSession.sql(
-        f"""
-        WITH d AS (SELECT {k}, `{value}`, count(*) AS _c FROM {{values}} GROUP BY {k}, `{value}`),
-        w AS (
-          SELECT *, sum(_c) OVER (PARTITION BY {k}) AS n,
-                 sum(_c) OVER (PARTITION BY {k} ORDER BY `{value}`
-                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum FROM d)
-        SELECT {k}, `{value}`, n, _cum - _c + 1 AS first_rank, _cum AS last_rank FROM w
-        """,
-        values=values,
-    )
-
-
-def _split_ranks(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Ranks inside bins between sketch edges, plus the counts of the bins before."""
-    k = _names(keys)
-    edges = ", ".join(f"{i / EDGE_COUNT!r}D" for i in range(1, EDGE_COUNT))
-    sizes = cut(values.groupBy(*keys).agg(
-        F.expr("count(*) AS n"), F.expr(f"percentile_approx(`{value}`, array({edges}), 1000) AS _e")
-    ))
-    return values.sparkSession.sql(
-        f"""
-        WITH d AS (SELECT {k}, `{value}`, count(*) AS _c FROM {{values}} GROUP BY {k}, `{value}`),
-        binned AS (
-          SELECT {_names(keys, "d.")}, d.`{value}`, _c, n, size(filter(_e, e -> e < d.`{value}`)) AS _bin
-          FROM d JOIN {{sizes}} s ON {_same(keys, "d", "s")}),
-        offsets AS (
-          SELECT {k}, _bin, coalesce(sum(_t) OVER (PARTITION BY {k} ORDER BY _bin
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _o
-          FROM (SELECT {k}, _bin, sum(_c) AS _t FROM binned GROUP BY {k}, _bin)),
-        summed AS (
-          SELECT *, sum(_c) OVER (PARTITION BY {k}, _bin ORDER BY `{value}`
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum FROM binned)
-        SELECT {_names(keys, "s.")}, s.`{value}`, n, _o + _cum - _c + 1 AS first_rank, _o + _cum AS last_rank
-        FROM summed s JOIN offsets o ON {_same([*keys, "_bin"], "s", "o")}
-        """,
-        values=values,
-        sizes=sizes,
-    )
+        WITH w AS (
+          SELECT {own}, _first, _before, inline_outer(filter(array({wanted}), w -> w._rank BETWEEN _before AND _before + _count - 1))
+          FROM {{runs}}),
+        found AS (
+          SELECT {own}, _i, _step, _v FROM (SELECT *, _first + _rank - _before AS _at FROM w) AS asked
+          LEFT JOIN (SELECT _at AS _there, _v FROM {{rows}}) AS r ON asked._at = r._there),
+        wide AS (SELECT {own}, {sides}, {steps} FROM found GROUP BY {own})
+        SELECT {own}, {values} FROM wide
+        """, runs=sorted_rows.runs(), rows=sorted_rows.rows)
+    return natural_join(df.groupBy(*[f"`{k}`" for k in keys]).agg(*extra), wide, keys, "left") if extra else wide
+
+
+def ranked(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The non-missing values (keys, _v) with a number of their group, their rank in it (from 1, all different), and its size n."""
+    runs = SortedRuns(df, keys, value)
+    own = list(runs.keys)
+    group = F.min("_first").over(Window.partitionBy(*[f"`{k}`" for k in own]))
+    placed = runs.runs().select("*", group.alias("_group")).select(
+        *[F.col(f"`{k}`").alias(f"_key_{k}") for k in own], F.col("_part").alias("_of"), "_first", "_before", "_group", "n")
+    rows = runs.rows.where("_v IS NOT NULL").withColumn("_part", F.shiftright("_at", _PART_BITS))
+    same = (F.col("_part") == F.col("_of"))
+    for k in own:
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"`_key_{k}`"))
+    return rows.join(placed, same).select(
+        *[F.col(f"`{k}`") for k in own], "_v", "_group", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("_rank"), "n")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import natural_join, natural_left_join, with_one_row
+from .materialize import written
 
 EARTH_RADIUS_KM = 6371.0
 DISTANCE_DIGITS = 6  # distances closer than a millimetre are ties, won by the lowest cell
@@ -42,18 +43,41 @@ def great_circle_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> C
     return 2 * EARTH_RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def _cube(lon: str, lat: str, edge: float) -> list[str]:
-    """Cube of the given edge that holds a point of the unit sphere."""
-    x = f"cos(radians(`{lat}`)) * cos(radians(`{lon}`))"
-    y = f"cos(radians(`{lat}`)) * sin(radians(`{lon}`))"
-    z = f"sin(radians(`{lat}`))"
-    return [f"floor({c} / {edge!r}D) AS {n}" for c, n in ((x, "_cx"), (y, "_cy"), (z, "_cz"))]
+#: A level's cubes have 4 times the edge of the level below: two bits of a cube's index.
+_BITS = 2
+_XYZ = ("x", "y", "z")
 
 
-_AROUND = "array(" + ", ".join(
-    f"named_struct('x', _cx + {i}, 'y', _cy + {j}, 'z', _cz + {k})"
-    for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)
-) + ")"
+def _on_sphere(df: DataFrame, lon: str, lat: str, edge: float) -> DataFrame:
+    """``df`` with each point's place on the unit sphere (_x, _y, _z) and its cube of the finest level (_cx, _cy, _cz)."""
+    places = {
+        "x": f"cos(radians(`{lat}`)) * cos(radians(`{lon}`))",
+        "y": f"cos(radians(`{lat}`)) * sin(radians(`{lon}`))",
+        "z": f"sin(radians(`{lat}`))",
+    }
+    return df.selectExpr("*", *[f"{e} AS _{c}" for c, e in places.items()]).selectExpr(
+        "*", *[f"CAST(floor((_{c} + 1) / {edge!r}D) AS BIGINT) AS _c{c}" for c in _XYZ])
+
+
+def _level_cubes(level: str) -> list[str]:
+    return [f"shiftright(_c{c}, {_BITS} * {level}) AS _c{c}" for c in _XYZ]
+
+
+def _cell_pyramid(placed: DataFrame, top: int) -> DataFrame:
+    """One row per level and cube that holds cells: the box around them. Each cell is rolled up into each level once."""
+    leveled = placed.selectExpr("_x", "_y", "_z", "_cx", "_cy", "_cz", f"explode(sequence(0, {top})) AS _level")
+    leveled = leveled.selectExpr("_x", "_y", "_z", "_level", *_level_cubes("_level"))
+    return leveled.groupBy("_level", "_cx", "_cy", "_cz").agg(
+        *[f(f"_{c}").alias(f"_{end}{c}") for c in _XYZ for end, f in (("lo", F.min), ("hi", F.max))])
+
+
+def _box_distance(far: bool) -> Column:
+    """Chord from (_x, _y, _z) to the nearest, or to the farthest, place of the box _lox.._hiz."""
+    if far:
+        steps = [f"greatest(abs(_{c} - _lo{c}), abs(_{c} - _hi{c}))" for c in _XYZ]
+    else:
+        steps = [f"greatest(_lo{c} - _{c}, _{c} - _hi{c}, 0D)" for c in _XYZ]
+    return F.sqrt(F.expr(" + ".join(f"pow({s}, 2)" for s in steps)))
 
 
 def nearest_valid_cell(
@@ -61,34 +85,55 @@ def nearest_valid_cell(
 ) -> DataFrame:
     """Nearest cell by great-circle distance for each distinct point.
 
-    ``cells`` holds the valid cells (cell, cell_lon, cell_lat). Points and cells
-    meet in cubes of the unit sphere, which has neither a date line nor poles.
-    All cells within one cube edge of a point lie in its 27 surrounding cubes, so
-    a hit within the edge is final. Only the points without one go on to cubes of
-    three times the edge, where the cells met are those of the next wider ring; the last
-    cube spans the sphere, for points farther than that from any cell. Ties go to
-    the lowest cell.
+    ``cells`` holds the valid cells (cell, cell_lon, cell_lat). Points and cells are placed in cubes of the
+    unit sphere, which has neither a date line nor poles. A pyramid has, for cubes of ever wider levels, the
+    box around their cells; the finest cubes hold a few cells each. The boxes that a point's own cubes have
+    bound its distance from above. It then goes, from the level whose edge is about that bound, through the
+    boxes that are no farther than the bound, which tightens level by level, down to the cells. Points
+    amid cells start at the finest level. Ties go to the lowest cell; a point without coordinates, or all
+    if there are no cells, gets none. Points and cells are read once; each level's state is written.
     """
-    state = points.select(lon, lat).distinct().withColumn("_best", F.lit(None).cast("struct<km:double,cell:bigint>"))
-    reach, edge = 0.0, min(2.0, math.radians(2.5 * res))
-    while True:
-        settled = F.col("_best").isNotNull() & (F.col("_best.km") <= reach)
-        probes = state.where(~settled | F.col("_best").isNull()).selectExpr("*", *_cube(lon, lat, edge)).selectExpr(
-            f"`{lon}`", f"`{lat}`", "_best", f"explode({_AROUND}) AS _near",
-        )
-        placed = cells.selectExpr("cell", "cell_lon", "cell_lat", *_cube("cell_lon", "cell_lat", edge))
-        met = probes.join(placed, F.expr("_near.x = _cx AND _near.y = _cy AND _near.z = _cz"), "left")
-        km = F.round(great_circle_km(F.col(lon), F.col(lat), F.col("cell_lon"), F.col("cell_lat")), DISTANCE_DIGITS)
-        found = F.when(F.col("cell").isNotNull(), F.struct(km.alias("km"), F.col("cell").cast("long").alias("cell")))
-        state = (
-            met.select(lon, lat, F.least(F.col("_best"), found).alias("_best"))
-            .unionByName(state.where(settled).select(lon, lat, "_best"))
-            .groupBy(lon, lat).agg(F.min("_best").alias("_best"))
-        )
-        if edge >= 2.0:
-            break
-        reach, edge = 2 * EARTH_RADIUS_KM * math.asin(edge / 2) - 1e-5, min(2.0, 3 * edge)
-    return state.select(lon, lat, F.col("_best.cell").alias("non_na_cell"), F.col("_best.km").alias("km"))
+    edge = math.radians(2.5 * res)
+    top = max(0, math.ceil(math.log(2 / edge, 2 ** _BITS) - 1e-9))
+    places = written(_on_sphere(points.select(lon, lat).distinct(), lon, lat, edge))
+    placed = written(_on_sphere(cells.select("cell", "cell_lon", "cell_lat"), "cell_lon", "cell_lat", edge))
+    pyramid = written(_cell_pyramid(placed, top))
+    cube = ["_cx", "_cy", "_cz"]
+    point = [lon, lat, "_x", "_y", "_z"]
+    slack = 1e-8  # of the radius: some centimetres, above any rounding
+
+    own = places.select("*", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_level")).selectExpr(
+        *[f"`{c}`" for c in point], "_level", *_level_cubes("_level"))
+    bound = own.join(pyramid, ["_level", *cube]).groupBy(*point).agg(F.min(_box_distance(True) + slack).alias("_reach"))
+    # the finest level whose cubes are few within reach
+    level = F.greatest(F.lit(0), F.ceil(F.log(F.col("_reach") / (1.75 * edge)) / math.log(2 ** _BITS)))
+    state = bound.withColumn("_level", F.least(level, F.lit(top)).cast("int"))
+    wide = f"({edge!r}D * pow({2 ** _BITS}, _level))"
+    for c in _XYZ:
+        ends = [f"CAST(floor((_{c} + 1 {sign} _reach) / {wide}) AS BIGINT)" for sign in "-+"]
+        state = state.selectExpr("*", f"explode(sequence({ends[0]}, {ends[1]})) AS _c{c}")
+    sides = [f"pow(greatest(_c{c} * {wide} - 1 - _{c}, _{c} + 1 - (_c{c} + 1) * {wide}, 0D), 2)" for c in _XYZ]
+    state = written(state.where(f"sqrt({' + '.join(sides)}) <= _reach"))
+
+    widest = state.agg(F.max("_level")).first()[0] or 0
+    for k in range(widest, 0, -1):
+        below = pyramid.where(F.col("_level") == k - 1).selectExpr(
+            "*", *[f"shiftright(_c{c}, {_BITS}) AS _p{c}" for c in _XYZ]).drop("_level")
+        met = state.where(F.col("_level") == k).withColumnsRenamed({f"_c{c}": f"_p{c}" for c in _XYZ}).join(
+            below, [f"_p{c}" for c in _XYZ])
+        met = met.withColumns({"_near": _box_distance(False), "_far": _box_distance(True) + slack})
+        tightest = F.min("_far").over(Window.partitionBy(lon, lat))  # a point has few boxes in reach
+        met = met.withColumn("_reach", F.least("_reach", tightest)).where("_near <= _reach")
+        state = written(met.withColumn("_level", F.lit(k - 1)).select(*state.columns).unionByName(
+            state.where(F.col("_level") < k)))
+
+    km = F.round(great_circle_km(F.col(lon), F.col(lat), F.col("cell_lon"), F.col("cell_lat")), DISTANCE_DIGITS)
+    best = (
+        state.select(lon, lat, *cube).join(placed.select("cell", "cell_lon", "cell_lat", *cube), cube)
+        .groupBy(lon, lat).agg(F.min(F.struct(km.alias("km"), F.col("cell").cast("long").alias("cell"))).alias("_best"))
+    )
+    return places.select(lon, lat).join(best, [lon, lat], "left").select(
+        lon, lat, F.col("_best.cell").alias("non_na_cell"), F.col("_best.km").alias("km"))
 
 
 def extract_at_points(points: DataFrame, grid: DataFrame, cell: str = "cell") -> DataFrame:
