@@ -15,7 +15,7 @@ import heapq
 
 import numpy as np
 
-FANOUT, LEAF = 8, 256
+FANOUT, LEAF = 8, 512
 SLACK = 1e-6  # of |q| M: angles are rounded, bounds must not be
 EXACT = float(1 << 53)  # doubles add integers exactly below this
 
@@ -89,6 +89,9 @@ class CoverTree:
                         center.append(own[row, :-1].copy())
                         radius.append(float(reach[k]))
                     units[a:b], order[a:b] = own[inner], order[a:b][inner]
+            if not count[node]:  # a leaf's rows of one label lie side by side
+                inner = np.lexsort((order[a:b], labels[order[a:b]]))
+                order[a:b] = order[a:b][inner]
             node += 1
         self.ids, self.labels = ids[order], labels[order]
         self.largest = float(np.abs(vectors).max(initial=0))
@@ -101,33 +104,40 @@ class CoverTree:
         self.high_label = np.array([self.labels[a:b].max() for a, b in edges])
 
     def fitted(self, query: np.ndarray) -> np.ndarray:
-        """The query in as many dimensions as the rows; missing components are zero."""
+        """The query in as many dimensions as the rows, missing components zero; as doubles if they add its products exactly."""
         width = self.vectors.shape[1]
-        return np.concatenate([query, np.zeros(max(width - len(query), 0), query.dtype)])[:width]
+        if len(query) != width:
+            query = np.concatenate([query, np.zeros(max(width - len(query), 0), query.dtype)])[:width]
+        exact = self.largest * float(np.abs(query).max(initial=0)) * max(width, 1) < EXACT
+        return query.astype(np.float64) if exact else query
 
     def _scores(self, query: np.ndarray, a: int, b: int) -> np.ndarray:
-        if self.largest * float(np.abs(query).max(initial=0)) * max(len(query), 1) < EXACT:
-            return (self.vectors[a:b] @ query.astype(np.float64)).astype(np.int64)
+        if query.dtype == np.float64:
+            return (self.vectors[a:b] @ query).astype(np.int64)
         return self.whole_numbers[a:b] @ query
 
-    def _descend(self, query: np.ndarray, wanted):
-        """Leaves by falling upper bound, as (a, b, scores); ``wanted(low, high, nodes)`` tells which bounds matter still."""
+    def _descend(self, query: np.ndarray, spans: list[list[float]], may: np.ndarray):
+        """Leaves (start, stop) by falling upper bound, of the nodes that ``may`` matter and whose bounds cross a span (low, high).
+
+        The spans may be narrowed between leaves.
+        """
         length = float(np.sqrt((query.astype(np.float64) ** 2).sum()))
         # lengths of 0 leave one node or no angle: the root's bounds are 0 then, which is right
-        queue = [(-np.inf, -np.inf, 0)]
+        queue = [(-np.inf, -np.inf, 0)] if may[0] else []
         unit = query / length if length else query.astype(np.float64)
         while queue:
             high, low, node = heapq.heappop(queue)
-            if not wanted(np.array([low]), np.array([-high]), slice(node, node + 1))[0]:
+            if not any(-high >= bar and low <= top for bar, top in spans):
                 continue
             if not self.count[node]:
-                a, b = self.start[node], self.stop[node]
-                yield a, b, self._scores(query, a, b)
+                yield self.start[node], self.stop[node]
                 continue
-            inside = slice(self.first[node], self.first[node] + self.count[node])
+            first = self.first[node]
+            inside = slice(first, first + self.count[node])
             lows, highs = bounds(length, self.longest, angles(self.center[inside] @ unit), self.radius[inside])
-            for k in np.flatnonzero(wanted(lows, highs, inside)).tolist():
-                heapq.heappush(queue, (-float(highs[k]), float(lows[k]), inside.start + k))
+            for k, (low, high, ok) in enumerate(zip(lows.tolist(), highs.tolist(), may[inside].tolist())):
+                if ok and any(high >= bar and low <= top for bar, top in spans):
+                    heapq.heappush(queue, (-high, low, first + k))
 
     @staticmethod
     def _merged(best: list, scores: np.ndarray, ids: np.ndarray, k: int) -> list:
@@ -139,37 +149,51 @@ class CoverTree:
         """(score, id) of the first k rows of the label, without the row ``but`` and those below ``floor``."""
         best: list = []
         query = self.fitted(query)
-        bar = lambda: max(floor, -best[-1][0]) if len(best) == k else floor
-
-        def wanted(low, high, nodes):
-            return (high >= bar()) & (self.low_label[nodes] <= label) & (label <= self.high_label[nodes])
-
-        for a, b, scores in self._descend(query, wanted):
-            hit = np.flatnonzero((self.labels[a:b] == label) & (self.ids[a:b] != but) & (scores >= bar()))
+        span = [floor, np.inf]
+        for a, b in self._descend(query, [span], (self.low_label <= label) & (label <= self.high_label)):
+            low, high = np.searchsorted(self.labels[a:b], (label, label + 1))
+            if low == high:
+                continue
+            a, b = a + int(low), a + int(high)
+            scores = self._scores(query, a, b)
+            hit = np.flatnonzero(scores >= span[0])
+            hit = hit[self.ids[a:b][hit] != but]
             if len(hit):
                 best = self._merged(best, scores[hit], self.ids[a:b][hit], k)
+                if len(best) == k:
+                    span[0] = max(floor, -best[-1][0])
         return [(-s, i) for s, i in best]
 
     def windows_of_other_labels(self, query: np.ndarray, label: int, windows: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]]]:
         """For each window of scores, (score, id) of its first k rows of other labels."""
         best: list[list] = [[] for _ in windows]
         query = self.fitted(query)
-        bars, tops = np.array([w[0] for w in windows]), np.array([w[1] for w in windows])
-
-        def wanted(low, high, nodes):
-            open_ = ((high[:, None] >= bars) & (low[:, None] <= tops)).any(axis=1)
-            return open_ & ~((self.low_label[nodes] == label) & (self.high_label[nodes] == label))
-
-        for a, b, scores in self._descend(query, wanted):
-            other = (self.labels[a:b] != label) & (scores >= bars.min()) & (scores <= tops.max())
-            hit = np.flatnonzero(other)
-            if not len(hit):
-                continue
-            found, ids = scores[hit], self.ids[a:b][hit]
-            for w, (bar, top) in enumerate(zip(bars.tolist(), tops.tolist())):
-                inside = (found >= bar) & (found <= top)
-                if inside.any():
-                    best[w] = self._merged(best[w], found[inside], ids[inside], k)
+        spans = [list(w) for w in windows]
+        top = max((w[1] for w in windows), default=0)
+        met: list[tuple] = []
+
+        def settle() -> None:
+            """Take what was met into each window's first rows, and narrow the window."""
+            found, ids = (np.concatenate(x) for x in zip(*met))
+            order = np.lexsort((ids, -found))
+            found, ids = found[order], ids[order]
+            for w, span in enumerate(spans):
+                low, high = np.searchsorted(-found, (-span[1], -span[0]), "left")
+                high += int((found[high:] == span[0]).sum())
+                if low < high:
+                    best[w] = sorted([*best[w], *zip((-found[low:high][:k]).tolist(), ids[low:high][:k].tolist())])[:k]
                     if len(best[w]) == k:
-                        bars[w] = max(bar, -best[w][-1][0])
+                        span[0] = max(span[0], -best[w][-1][0])
+            met.clear()
+
+        for a, b in self._descend(query, spans, (self.low_label != label) | (self.high_label != label)):
+            scores = self._scores(query, a, b)
+            hit = np.flatnonzero((scores >= min(s[0] for s in spans)) & (scores <= top))
+            hit = hit[self.labels[a:b][hit] != label]
+            if len(hit):
+                met.append((scores[hit], self.ids[a:b][hit]))
+                if sum(len(m[0]) for m in met) >= 16 * k:
+                    settle()
+        if met:
+            settle()
         return [[(-s, i) for s, i in w] for w in best]
