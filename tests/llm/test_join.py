@@ -141,3 +141,24 @@ def test_toxicity_edges(spark):
     none = toxicity.score_toxicity(full, labels.limit(0))
     assert {r.predicted for r in none.collect()} == {0}
     assert toxicity.score_toxicity(empty, labels).count() == 0
+
+
+def test_lists_whose_32_bit_sums_collide_are_told_apart(spark):
+    """Same number, first and last member, and a 32-bit sum of hashes in common: no such list may stand for the other."""
+    from pyspark.sql import functions as F
+
+    low = {r.id: r.h for r in spark.range(1, 4000).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 32)).alias("h")).collect()}
+    seen = {}
+    pair = next((seen[s], (a, b)) for a in low for b in range(a + 1, 4000)
+                if seen.setdefault(s := (low[a] + low[b]) % (1 << 32), (a, b)) not in ((a, b),) and not set(seen[s]) & {a, b})
+    rows = [(t, node) for t, p in enumerate(pair) for node in (0, *p, 10_000)]
+    marks = spark.createDataFrame(rows, "token long, node long").groupBy("token").agg(*ngram_join._membership("node")).collect()
+    assert len({tuple(r[c] for c in ngram_join._MEMBERS) for r in marks}) == 2
+    assert len({(r["members"], r["first"], r["last"]) for r in marks}) == 1
+
+
+def test_components_of_long_chains(spark):
+    """Links settle late; every chain must be whole."""
+    rows = [(1000 * c + k, 1000 * c + k + 1) for c in range(3) for k in range(300)]
+    found = components(spark.createDataFrame(rows, "a long, b long")).collect()
+    assert {r.node: r.component for r in found} == {1000 * c + k: 1000 * c for c in range(3) for k in range(301)}

@@ -38,7 +38,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     seen = None
     for _ in range(max_rounds):
         edges = checkpointed(_tied_to_smallest(_tied_to_smallest(edges, True), False))
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        # edges are distinct: their number and 128 bits of their hashes tell whether any has moved
+        state = edges.agg(F.count(F.lit(1)), *[F.bit_xor(F.xxhash64(F.lit(f"edge {k}"), "u", "v")) for k in (1, 2)]).first()
         if state == seen:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

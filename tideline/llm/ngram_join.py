@@ -272,13 +272,13 @@ def _with_order(tokens: DataFrame, counts: np.ndarray) -> DataFrame:
     return counted.withColumn("order", F.struct("bucket_count", unsigned.alias("hash"))).drop("bucket_count")
 
 
-_MEMBERS = ["members", "sum", "first", "last"]
+_MEMBERS = ["members", "mark1", "mark2", "first", "last"]
 
 
 def _membership(*columns: str) -> list:
-    """What tells the members of a list from those of another: number, a sum of hashes, first and last."""
-    return [F.count(F.lit(1)).alias("members"), F.sum(F.pmod(F.xxhash64(*columns), F.lit(1 << 32))).alias("sum"),
-            F.min("node").alias("first"), F.max("node").alias("last")]
+    """What tells the members of a list from those of another: number, first, last, and 128 bits of all their hashes."""
+    marks = [F.bit_xor(F.xxhash64(F.lit(f"members {k}"), *columns)).alias(f"mark{k}") for k in (1, 2)]
+    return [F.count(F.lit(1)).alias("members"), *marks, F.min("node").alias("first"), F.max("node").alias("last")]
 
 
 def lists_to_compare(places: DataFrame, counts: np.ndarray) -> DataFrame:
