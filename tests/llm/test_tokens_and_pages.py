@@ -203,6 +203,33 @@ def test_html_reader_ends_an_open_head():
     assert html_extract.main_texts([head + "<body><article><p>text</p></article>"], None) == ["text"]
 
 
+def test_html_reader_keeps_what_readers_see():
+    flat = lambda s: " ".join(" ".join(i for n in parse(s) for i in n.items if isinstance(i, str)).split())
+    assert flat("Energy <math><mi>E</mi><mo>=</mo><mn>3</mn><annotation>E=3</annotation></math> is here") == "Energy E=3 is here"
+    assert flat("<p>See <object data=x>the film</object> and <svg><title>t</title><text>axis</text></svg>") == "See the film and axis"
+    assert flat("<p>a<select><option>b</select><button>c</button><canvas>d</canvas>e") == "ae"
+
+
+def test_html_reader_with_unclosed_quotes():
+    flat = lambda s: [" ".join(" ".join(i for i in n.items if isinstance(i, str)).split()) for n in parse(s)]
+    assert flat('<p>See <a href="http://x.org/a>this link</a> now') == ["", "See this link now"]
+    assert flat('<p>See <a href="http://x.org/a>this link</a> and <a href="http://y.org">that</a></p><p class="b">c') == ["", "See this link and that", "c"]
+    assert flat("<p title='it>it's <b class='x'>here</b></p>") == ["", "it's here"]
+    assert flat('<p title="a > b" class=c>d</p><p data="<i>">e') == ["", "d", "e"]
+    assert flat('<p title="a"class="b">c') == ["", "c"] and flat('<p>a<b title="x') == ["", "a"]
+
+
+@pytest.mark.parametrize("source", [
+    "<b>" * 120_000 + "</i>" * 120_000, "<b>" * 100_000 + "<tr></tr>" * 60_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000,
+    "<b>" * 100_000 + "<li>x" * 100_000, "<p title=\"" * 100_000, "<ul>" * 100_000 + "</td>" * 100_000 + "<p>" * 90_000])
+def test_html_reader_takes_linear_time(source):
+    import time
+
+    began = time.process_time()
+    parse(source)
+    assert time.process_time() - began < 5
+
+
 def test_html_siblings_are_all_seen():
     page = html_extract.page_of("<div>" + "<p>abcd</p>" * 50 + "<ul>abcdefgh</ul>" * 30 + "</div>")
     same, mean = page.features[2:, 14], page.features[2:, 15]

@@ -6,9 +6,12 @@ import html
 import re
 from dataclasses import dataclass, field
 
+#: A quoted value holds no tag, or is followed by what may follow one; else its quote isn't closed and
+#: the tag ends at the next ">" (the last alternative).
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.DOTALL)
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"<>]*\"|'[^'<>]*'|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[^>\"'])*+)(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
 _TOKENS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -17,8 +20,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody "
     "td tfoot th thead tr ul caption".split())
-UNSHOWN = frozenset("script style noscript template head title svg math select textarea iframe object button datalist "
-                    "audio video canvas map noframes".split())
+#: Not rendered, or a form control. Formulas, drawings' labels and objects' contents are read.
+UNSHOWN = frozenset("script style noscript template head title select textarea iframe button datalist "
+                    "audio video canvas map noframes annotation annotation-xml desc metadata defs".split())
 RAW = frozenset("script style textarea title noframes iframe".split())
 #: What may stand in the head; anything else, and any text, ends it.
 HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head html".split())
@@ -32,6 +36,7 @@ _ENDS = {
     "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)),
 }
 _NO_END = ((), ())
+_ANY_BLOCK = "*"  # no element has this name
 
 
 @dataclass
@@ -64,6 +69,7 @@ def parse(source: str) -> list[Node]:
     """
     nodes = [Node("html", [], -1, 0)]
     stack: list[tuple[str, int]] = [("html", 0)]  # names of open elements with their nodes; -1: not shown
+    places: dict[str, list[int]] = {}  # of the open elements of each name in the stack, and of all blocks
     links = 0
     at = 0
 
@@ -81,10 +87,22 @@ def parse(source: str) -> list[Node]:
             if links:
                 nodes[node].linked += len(piece)
 
+    def last(name: str) -> int:
+        """Where the last open element of the name stands, 0 if none is open."""
+        return places[name][-1] if places.get(name) else 0
+
+    def put(name: str, node: int) -> None:
+        for key in (name, _ANY_BLOCK) if name in BLOCKS else (name,):
+            places.setdefault(key, []).append(len(stack))
+        stack.append((name, node))
+
     def close(depth: int) -> None:
         nonlocal links
         while len(stack) > depth:
             name, _ = stack.pop()
+            places[name].pop()
+            if name in BLOCKS:
+                places[_ANY_BLOCK].pop()
             links -= name == "a"
 
     for m in _TOKEN.finditer(source):
@@ -93,55 +111,51 @@ def parse(source: str) -> list[Node]:
             continue  # inside raw text
         text(source[at:start])
         at = stop
-        name = m[2]
+        ends, name, attributes = (m[1], m[2], m[3]) if m[5] is None else (m[4], m[5], m[6])
         if name is None:
             if source.startswith("<![CDATA[", start):
                 text(source[start + 9: stop - 3])
             continue
         name = name.lower()
-        if m[1]:
-            if name in ("html", "body"):
-                continue
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+        if ends:
+            depth = 0 if name in ("html", "body") else last(name)
             # an inline end tag reaches no further than the block that it stands in
-            if depth and (name in BLOCKS or name in UNSHOWN or all(n not in BLOCKS for n, _ in stack[depth + 1:])):
+            if depth and (name in BLOCKS or name in UNSHOWN or last(_ANY_BLOCK) < depth):
                 close(depth)
             continue
         if name == "body":
-            close(next((k for k in range(1, len(stack)) if stack[k][0] == "head"), len(stack)))
+            close(last("head") or len(stack))
         elif stack[-1][0] == "head" and name not in HEAD:
             close(len(stack) - 1)
         hidden = stack[-1][1] < 0
         if name in ("html", "body"):
-            nodes[0].tokens += _words_of_attributes(m[3])
+            nodes[0].tokens += _words_of_attributes(attributes)
             continue
         if not hidden and name in BLOCKS:
             # a block ends an open paragraph
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in BLOCKS), 0)
+            depth = last(_ANY_BLOCK)
             if depth and stack[depth][0] == "p":
                 close(depth)
             ended, limits = _ENDS.get(name, _NO_END)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in limits:
+            limit = max(map(last, limits), default=0)
+            while (depth := max(map(last, ended), default=0)) > limit:
+                close(depth)
+                if name in ("li", "dt", "dd", "td", "th"):
                     break
-                if stack[k][0] in ended:
-                    close(k)
-                    if name in ("li", "dt", "dd", "td", "th"):
-                        break
             parent = stack[-1][1]
-            nodes.append(Node(name, _words_of_attributes(m[3]), parent, nodes[parent].depth + 1))
+            nodes.append(Node(name, _words_of_attributes(attributes), parent, nodes[parent].depth + 1))
             nodes[parent].items.append(len(nodes) - 1)
             if name != "hr":
-                stack.append((name, len(nodes) - 1))
+                put(name, len(nodes) - 1)
         elif name in VOID:
             if name == "br":
                 text(" ")
-        elif not m[3].rstrip().endswith("/") or name in RAW:
+        elif not attributes.rstrip().endswith("/") or name in RAW:
             node = -1 if hidden or name in UNSHOWN else stack[-1][1]
             if node >= 0:
                 nodes[node].inline += 1
             links += name == "a"
-            stack.append((name, node))
+            put(name, node)
             if name in RAW:
                 end = re.compile(rf"</{name}[\s/>]", re.IGNORECASE).search(source, stop)
                 at = end.start() if end else len(source)
