@@ -151,3 +151,38 @@ def test_nearest_cell_reads_points_and_cells_once(spark):
     # of written tables: the state of the last level, the placed cells, the places
     assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 3
     assert found.count() == 300 and {k: a.value for k, a in read.items()} == {"points": 300, "cells": 40}
+
+
+def test_neighbor_fill_reads_the_grid_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    grid = spark.range(120).selectExpr(
+        "id DIV 4 + 1000 AS cell", "make_date(2000, CAST(id % 4 + 1 AS INT), 1) AS date", "IF(id DIV 4 = 7, NULL, CAST(id AS DOUBLE)) AS value")
+    filled = spatial.neighbor_fill(spark.range(30).selectExpr("id + 1000 AS cell"), grid.mapInArrow(run, grid.schema))
+    rows = {(r["cell"], r["date"].month): r["value"] for r in filled.collect()}
+    assert read.value == 240 and len(rows) == 120
+    assert rows[(1007, 2)] == (25 + 33) / 2 and rows[(1006, 2)] == 25
+
+
+def test_years_reach_the_scan_as_dates(spark, tmp_path):
+    """The pushed filter names the date column; results are those of comparing years."""
+    from tideline.operators import climate, filters
+
+    path = str(tmp_path / "series")
+    spark.range(4000).selectExpr("id % 5 AS cell", "date_add(DATE'1990-06-01', CAST(id AS INT)) AS DateName",
+                                 "year(date_add(DATE'1990-06-01', CAST(id AS INT))) AS Year", "CAST(id AS DOUBLE) AS tempC").write.parquet(path)
+    series = spark.read.parquet(path)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    wanted = ["GreaterThanOrEqual(DateName,1993-01-01)", "LessThan(DateName,1996-01-01)"]
+    means = climate.seasonal_means(series, ["cell"], "site", window=(1993, 1995))
+    assert all(w in plan(means) for w in wanted)
+    by_year = filters.study_window(series, 1993, 1995)
+    by_date = filters.study_window(series, 1993, 1995, date="DateName")
+    assert all(w in plan(by_date) for w in wanted) and by_date.exceptAll(by_year).isEmpty() and by_date.count() == by_year.count()
+    grid = tables.clean_grid(series.selectExpr("cell", "DateName AS date", "tempC AS value"), 1993, 1995)
+    assert "GreaterThanOrEqual(DateName,1993-01-01)" in plan(grid) and grid.count() == by_year.count()

@@ -372,3 +372,20 @@ def test_effects_that_differ_in_their_last_bits_alone(spark):
     axes = spark.range(1).select(F.array(F.lit(0.0)).alias("axis_x"))
     out = posterior.effect_over_axes(draws, axes, {"b": []}, {"q": 0.25, "r": 1.0}, "m").first()
     assert out["q"] == pytest.approx(np.quantile(v, 0.25), abs=0) and out["r"] == v[-1]
+
+
+def test_grid_is_born_distributed(spark):
+    df = spark.createDataFrame([(float(i), float(i % 7)) for i in range(50)], "x double, y double")
+    g = reshape.grid(df, spaced_over={"x": 40}, quantiles={"y": (0.25, 0.5, 0.75)}, literals={"c": ("a", "b", "a")})
+    assert g.rdd.getNumPartitions() > 1
+    rows_ = [tuple(r) for r in g.collect()]
+    assert g.columns == ["x", "y", "c"] and len(rows_) == len(set(rows_)) == 40 * len({r[1] for r in rows_}) * 2
+    assert sorted({r[0] for r in rows_}) == pytest.approx([i * 49 / 39 for i in range(40)])
+
+
+def test_waic_shuffles_the_draws_once(spark):
+    ll = spark.range(3000).selectExpr("id % 30 AS obs", "id DIV 30 AS draw", "-0.001 * id AS ll")
+    plan = posterior.waic_pointwise(ll)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Range") == 1
+    total = posterior.waic(ll)._jdf.queryExecution().executedPlan().toString()
+    assert total.count("Exchange hashpartitioning") == 1

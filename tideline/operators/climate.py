@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.labels import CANOPY_SPECIES
 from ..functions.scalars import equal_width_bin, zero_if_missing
 from ..functions.semantics import named, strict_mean
-from .filters import study_window
+from .filters import STUDY_WINDOW, study_window
 from .joins import natural_join, with_one_row
 from .quantiles import grouped_quantiles
 
@@ -55,7 +55,7 @@ def seasonal_means(
     window: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Overall mean, and spring and summer means that are missing if any month is."""
-    rows = study_window(df, *window) if window else study_window(df)
+    rows = study_window(df, *(window or STUDY_WINDOW), date=date)
     return rows.groupBy(*keys).agg(
         F.avg(value).alias(f"mean_temp_{suffix}"),
         strict_mean(f"`{value}`", _season(date, SPRING)).alias(f"march_may_temp_{suffix}"),

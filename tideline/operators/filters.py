@@ -16,9 +16,16 @@ TINY_ERROR = 1e-20
 ABSURD_VALUE = 100.0
 
 
-def study_window(df: DataFrame, lo: int = STUDY_WINDOW[0], hi: int = STUDY_WINDOW[1], year: str = "Year") -> DataFrame:
-    """Rows of an inclusive range of years."""
-    return df.where(F.col(year).between(lo, hi))
+def within_years(df: DataFrame, date: str, lo: int, hi: int) -> DataFrame:
+    """Rows whose date lies in an inclusive range of years, as a range of dates, which scans can skip files and row groups by."""
+    return df.where((named(date) >= F.lit(f"{lo:04d}-01-01").cast("date")) & (named(date) < F.lit(f"{hi + 1:04d}-01-01").cast("date")))
+
+
+def study_window(
+    df: DataFrame, lo: int = STUDY_WINDOW[0], hi: int = STUDY_WINDOW[1], year: str = "Year", date: str | None = None
+) -> DataFrame:
+    """Rows of an inclusive range of years; by their ``date``, where there is one, whose range reaches the scan."""
+    return df.where(F.col(year).between(lo, hi)) if date is None else within_years(df, date, lo, hi)
 
 
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .climate import totals
 from .joins import natural_join, with_one_row
@@ -124,23 +124,23 @@ def waic_pointwise(log_lik: DataFrame, draw: str = "draw", obs: str = "obs", ll:
     """Per observation: waic, lpd, p_waic, elpd_waic, p_loo, elpd_loo.
 
     Likelihoods are scaled by the observation's largest, importance weights by its
-    smallest log-likelihood, so neither underflows; both scales cancel.
+    smallest log-likelihood, so neither underflows; both scales cancel. The table is shuffled once, by
+    observation; its extremes, its mean weight and its sums follow from one another on that shuffle. An
+    observation has as many rows as there are draws, and Spark spills them.
     """
-    x = log_lik.select(F.col(obs).alias("obs"), F.col(ll).alias("_ll"))
-    span = x.groupBy("obs").agg(
-        F.max("_ll").alias("_hi"), F.min("_ll").alias("_lo"), F.var_samp("_ll").alias("p_waic"),
-        F.count("_ll").cast("double").alias("_s"),
-    )
-    scaled = natural_join(x, span, ["obs"], "inner")
-    means = scaled.groupBy("obs").agg(F.avg(F.exp(F.col("_lo") - F.col("_ll"))).alias("_mw"))
-    whole = natural_join(scaled, means, ["obs"], "inner")
-    like = F.exp(F.col("_ll") - F.col("_hi"))
-    weight = F.least(F.exp(F.col("_lo") - F.col("_ll")) / F.col("_mw"), F.sqrt("_s"))
+    group = Window.partitionBy("obs")
+    scaled = log_lik.select(F.col(obs).alias("obs"), F.col(ll).alias("_ll")).select(
+        "obs", "_ll", F.max("_ll").over(group).alias("_hi"), F.min("_ll").over(group).alias("_lo"),
+        F.count("_ll").over(group).cast("double").alias("_s"))
+    raw = F.exp(F.col("_lo") - F.col("_ll"))
+    whole = scaled.withColumn("_weight", F.least(raw / F.avg(raw).over(group), F.sqrt("_s")))
+    like, weight = F.exp(F.col("_ll") - F.col("_hi")), F.col("_weight")
+    sums = whole.groupBy("obs").agg(
+        F.max("_hi").alias("_hi"), F.var_samp("_ll").alias("p_waic"), F.avg(like).alias("_ml"),
+        F.avg(like * weight).alias("_wl"), F.avg(weight).alias("_w"))
     lpd = F.col("_hi") + F.log(F.col("_ml"))
     elpd_loo = F.col("_hi") + F.log(F.col("_wl") / F.col("_w"))
-    return whole.groupBy("obs", "_hi", "p_waic").agg(
-        F.avg(like).alias("_ml"), F.avg(like * weight).alias("_wl"), F.avg(weight).alias("_w")
-    ).select(
+    return sums.select(
         "obs",
         (-2 * (lpd - F.col("p_waic"))).alias("waic"),
         lpd.alias("lpd"),

@@ -9,16 +9,16 @@ import itertools
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.distributions import normal_tail_sql
 from ..functions.semantics import named
 from .filters import complete_cases
 from .joins import with_one_row
-from .materialize import cut
+from .materialize import written
 
 
 def multi_ols(df: DataFrame, formula: str) -> PipelineModel:
@@ -96,8 +96,8 @@ def poly2(df: DataFrame, column: str) -> DataFrame:
 
 # ---------------------------------------------------------------- meta-regression
 
-_TAU2_GRID = 33
-_TAU2_ROUNDS = 8
+_TAU2_GRID = 65
+_TAU2_ROUNDS = 6
 
 
 def _study_sums(df: DataFrame, y: str, variance: str, terms: Sequence[str], group: str) -> DataFrame:
@@ -114,37 +114,44 @@ def _study_sums(df: DataFrame, y: str, variance: str, terms: Sequence[str], grou
     )
 
 
-def _profiles(sums: DataFrame, tau2: Sequence[float], p: int) -> list[dict]:
-    """Combine the studies' sums for each candidate variance; one row per candidate."""
-    t = F.col("tau2")
-    h = t / (1 + t * F.col("s"))
-    rows = sums.withColumn("tau2", F.explode(F.array(*[F.lit(float(x)) for x in tau2]))).groupBy("tau2").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("logv") + F.log1p(t * F.col("s"))).alias("logdet"),
-        *[
-            F.sum(F.col(f"a{i}_{j}") - h * F.col(f"b{i}") * F.col(f"b{j}")).alias(f"q{i}_{j}")
-            for i in range(p) for j in range(i, p)
-        ],
-    ).collect()  # one row per candidate, a constant number
-    out = []
-    for r in rows:
-        q = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                q[i, j] = q[j, i] = r[f"q{i}_{j}"]
-        out.append({"tau2": r["tau2"], "n": r["n"], "logdet": r["logdet"], "q": q})
-    return sorted(out, key=lambda d: d["tau2"])
-
-
-def _solve(profile: dict) -> dict:
-    """Coefficients and restricted log-likelihood of one candidate variance."""
-    xx, xy, yy = profile["q"][:-1, :-1], profile["q"][:-1, -1], profile["q"][-1, -1]
-    beta = np.linalg.solve(xx, xy)
-    _, logdet_xx = np.linalg.slogdet(xx)
-    rss = yy - xy @ beta
-    k = profile["n"] - len(beta)
-    ll = -0.5 * (k * math.log(2 * math.pi) + profile["logdet"] + logdet_xx + rss)
-    return {**profile, "beta": beta, "xx": xx, "ll": ll}
+def _eliminated(p: int) -> str:
+    """SQL: Gauss-Jordan over the rows of array ``m``, (matrix | identity | right side), p of 2p + 1 entries each.
+
+    What follows the rows adds up the logarithms of the pivots. An entry without a pivot is missing.
+    """
+    w, end = 2 * p + 1, p * (2 * p + 1)
+    pivot = f"m[k * {w} + k]"
+    return (f"aggregate(sequence(0, {p - 1}), m, (m, k) -> transform(sequence(0, {end}), e -> CASE"
+            f" WHEN e = {end} THEN m[e] + ln({pivot})"
+            f" WHEN e DIV {w} = k THEN try_divide(m[e], {pivot})"
+            f" ELSE m[e] - try_divide(m[(e DIV {w}) * {w} + k] * m[k * {w} + e % {w}], {pivot}) END))")
+
+
+def _profile_sql(p: int, at: str) -> str:
+    """SQL: one row per candidate variance of relation ``at`` (k, t, lo, hi, unit), joined with the studies' sums.
+
+    (k, t, lo, hi, unit, n, ll, score, m): restricted log-likelihood, its derivative by the variance, and the solved matrix:
+    of row i the inverse is in columns p to 2p - 1 and the coefficient in column 2p.
+    """
+    w = 2 * p + 1
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    name = lambda c, i, j: f"{c}{min(i, j)}_{max(i, j)}"
+    sums = ", ".join(f"sum(a{i}_{j} - t / (1 + t * s) * b{i} * b{j}) AS q{i}_{j},"
+                     f" sum(b{i} * b{j} / ((1 + t * s) * (1 + t * s))) AS e{i}_{j}" for i, j in pairs)
+    rows = ", ".join([name("q", i, j) for j in range(p)][c] if c < p else ("1D" if c - p == i else "0D") if c < 2 * p else name("q", i, p)
+                     for i in range(p) for c in range(w))
+    beta = [f"m[{i * w + 2 * p}]" for i in range(p)]
+    rss = f"q{p}_{p}" + "".join(f" - {name('q', i, p)} * {b}" for i, b in enumerate(beta))
+    trace = " + ".join(f"m[{i * w + p + j}] * {name('e', i, j)}" for i in range(p) for j in range(p))
+    moved = (f"e{p}_{p}" + "".join(f" - 2 * {b} * {name('e', i, p)}" for i, b in enumerate(beta))
+             + "".join(f" + {beta[i]} * {beta[j]} * {name('e', i, j)}" for i in range(p) for j in range(p)))
+    return f"""
+    SELECT k, t, lo, hi, unit, n, m, -0.5D * ((n - {p}) * {math.log(2 * math.pi)!r}D + logdet + m[{p * w}] + {rss}) AS ll,
+           -0.5D * (lifted - ({trace}) - ({moved})) AS score
+    FROM (SELECT * EXCEPT (m), {_eliminated(p)} AS m FROM (
+      SELECT *, array({rows}, 0D) AS m FROM (
+        SELECT k, t, lo, hi, unit, sum(n) AS n, sum(logv + log1p(t * s)) AS logdet, sum(s / (1 + t * s)) AS lifted, {sums}
+        FROM (SELECT * FROM {{sums}} CROSS JOIN {at}) GROUP BY k, t, lo, hi, unit)))"""
 
 
 def meta_regression(
@@ -152,38 +159,45 @@ def meta_regression(
 ) -> DataFrame:
     """Known-variance weighted regression with a random intercept per study.
 
-    One pass makes the studies' sufficient sums. The study variance maximizes the
-    restricted likelihood: a grid on tau2/(1+tau2) is refined around its best
-    point, each round a small aggregate over the studies. Rows: term, estimate,
-    se, zval, pval, ci.lb, ci.ub, sig, tau2.
+    One pass makes the studies' sufficient sums, which are written. The study variance maximizes the
+    restricted likelihood: of a grid on tau2/(1+tau2) the best point's neighbors enclose it, and rounds of
+    the same grid enclose the place where the derivative turns negative. A round is one
+    aggregate over the studies with the candidates as rows, and writes the one row of the next round's ends;
+    nothing comes to the driver. Rows: term, estimate, se, zval, pval, ci.lb, ci.ub, sig, tau2; missing values if the
+    terms depend on one another.
     """
     rows = complete_cases(df.where(F.col(variance) > 0), [y, *terms, group])
-    p = len(terms) + 1
-    sums = cut(_study_sums(rows, y, variance, terms, group))
-    unit = rows.agg(F.var_samp(y).alias("v")).first()["v"] or 1.0
-    lo, hi = 0.0, 1.0 - 1e-9
-    best = None
-    for _ in range(_TAU2_ROUNDS):
-        points = [lo + (hi - lo) * i / (_TAU2_GRID - 1) for i in range(_TAU2_GRID)]
-        solved = [_solve(r) for r in _profiles(sums, [unit * u / (1 - u) for u in points], p)]
-        i = max(range(len(solved)), key=lambda k: solved[k]["ll"])
-        best = solved[i]
-        lo, hi = points[max(i - 1, 0)], points[min(i + 1, _TAU2_GRID - 1)]
-        if hi - lo < 1e-12:
-            break
-    cov = np.linalg.inv(best["xx"])
-    reach = _normal_quantile(0.5 + level / 2)
-    out = []
-    for t, b, v in zip(terms, best["beta"], np.diag(cov)):
-        se = math.sqrt(v)
-        z = b / se
-        pval = math.erfc(abs(z) / math.sqrt(2))
-        out.append((t, float(b), se, float(z), pval, float(b - reach * se), float(b + reach * se),
-                    bool(pval <= 1 - level), float(best["tau2"])))
-    return df.sparkSession.createDataFrame(
-        out, "term string, estimate double, se double, zval double, pval double, "
-             "`ci.lb` double, `ci.ub` double, sig boolean, tau2 double"
-    )
+    p = len(terms)
+    sums = written(_study_sums(rows, y, variance, terms, group))
+    unit = rows.agg(F.coalesce(F.nullif(F.var_samp(y), F.lit(0.0)), F.lit(1.0)).alias("unit"))
+    g, reach = _TAU2_GRID, _normal_quantile(0.5 + level / 2)
+    spark = df.sparkSession
+    ends = spark.sql(f"SELECT 0D AS lo, {1 - 1e-9!r}D AS hi, unit FROM {{unit}}", unit=unit)
+    u = f"(lo + (hi - lo) * k / {g - 1})"
+    at = f"(SELECT *, unit * {u} / (1 - {u}) AS t FROM (SELECT *, explode(sequence(0, {g - 1})) AS k FROM {{ends}}))"
+    for k in range(_TAU2_ROUNDS):
+        # the first round takes the highest point, the others the last one from which the likelihood still rises
+        best, low = ("coalesce(max(k) FILTER (WHERE score > 0), 0)", "i") if k else ("max_by(k, struct(ll, -k))", "greatest(i - 1, 0)")
+        ends = written(spark.sql(  # one row; without the cut the plan would grow by a round's sums each time
+            f"""
+            SELECT lo + (hi - lo) * {low} / {g - 1} AS lo, lo + (hi - lo) * least(i + 1, {g - 1}) / {g - 1} AS hi, unit
+            FROM (SELECT {best} AS i, any_value(lo) AS lo, any_value(hi) AS hi, any_value(unit) AS unit FROM ({_profile_sql(p, at)}))
+            """, sums=sums, ends=ends))
+    w = 2 * p + 1
+    found = ", ".join(f"struct({i} AS place, {_text(t)} AS term, m[{i * w + 2 * p}] AS estimate, sqrt(m[{i * w + p + i}]) AS se)"
+                      for i, t in enumerate(terms))
+    solved = _profile_sql(p, "(SELECT *, 0 AS k, unit * lo / (1 - lo) AS t FROM {ends})")
+    return spark.sql(
+        f"""
+        SELECT term, estimate, se, estimate / se AS zval, pval, estimate - {reach!r}D * se AS `ci.lb`,
+               estimate + {reach!r}D * se AS `ci.ub`, pval <= {1 - level!r}D AS sig, tau2
+        FROM (SELECT *, {normal_tail_sql("(estimate / se)")} AS pval
+              FROM (SELECT t AS tau2, inline(array({found})) FROM ({solved}))) ORDER BY place
+        """, sums=sums, ends=ends)
+
+
+def _text(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _normal_quantile(p: float) -> float:

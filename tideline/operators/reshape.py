@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -97,9 +98,27 @@ def expand_axes(df: DataFrame, axes: Sequence[str]) -> DataFrame:
     return df
 
 
-def grid(df: DataFrame, **axes) -> DataFrame:
-    """All combinations of the axes of :func:`data_axes`, without repeats."""
-    row = data_axes(df, **axes)
+def grid(
+    df: DataFrame,
+    spaced_over: Mapping[str, int] | None = None,
+    quantiles: Mapping[str, Sequence[float]] | None = None,
+    literals: Mapping[str, Sequence] | None = None,
+) -> DataFrame:
+    """All combinations of the axes of :func:`data_axes`, without repeats.
+
+    The combinations are numbers of a range, which is dealt out over the tasks from the start; each number's
+    digits, in the mixed radix of the axes' lengths, are its places on the axes. Only the axes (one row) are sent.
+    """
+    row = data_axes(df, spaced_over, quantiles, literals)
     names = [c.removeprefix("axis_") for c in row.columns]
     row = row.select(*[F.array_distinct(c).alias(c) for c in row.columns])
-    return expand_axes(row, names)
+    # repeats make an axis shorter than it was asked for, never longer
+    most = math.prod([*(spaced_over or {}).values(), *(len(x) for x in (quantiles or {}).values()), *(len(x) for x in (literals or {}).values())])
+    numbered = with_one_row(df.sparkSession.range(most).withColumnRenamed("id", "_at"), row)
+    place, picked = "_at", []
+    for name in reversed(names):
+        length = f"size(`axis_{name}`)"
+        picked.append(f"element_at(`axis_{name}`, CAST(({place}) % {length} AS INT) + 1) AS `{name}`")
+        place = f"({place}) DIV {length}"
+    full = " * ".join(f"CAST(size(`axis_{n}`) AS BIGINT)" for n in names)
+    return numbered.where(f"_at < {full}").selectExpr(*reversed(picked))

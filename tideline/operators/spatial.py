@@ -158,25 +158,26 @@ def neighbor_fill(cells: DataFrame, grid: DataFrame, res: float = 1.0, judged_on
     """Series (cell, date, value) of the cells; a missing cell takes its neighbors' mean per date.
 
     A cell is missing if it has no value on the judging date, by default the
-    grid's first. Then its whole series is replaced.
+    grid's first. Then its whole series is replaced. The grid has one row per cell and date and is read
+    twice: for the cells' first dates, and for their values, which one join deals out to whom they serve.
     """
     wanted = cells.select("cell").distinct()
     grid = grid.select("cell", "date", "value")
+    valued = F.when(F.col("value").isNotNull(), F.col("date"))
     if judged_on is None:
-        judged = with_one_row(grid, grid.agg(F.min("date").alias("_first"))).where(F.col("date") == F.col("_first"))
+        # a cell has a value on the grid's first date if its own first date with a value is that date
+        firsts = written(grid.groupBy("cell").agg(F.min("date").alias("_any"), F.min(valued).alias("_valued")))
+        valid = with_one_row(firsts, firsts.agg(F.min("_any").alias("_first"))).where(F.col("_valued") == F.col("_first"))
     else:
-        judged = grid.where(F.col("date") == judged_on)
-    valid = judged.where(F.col("value").isNotNull()).select("cell")
-    kept = natural_join(wanted, valid, ["cell"], "left_semi")
-    missing = natural_join(wanted, valid, ["cell"], "left_anti")
-    # The missing cell itself rides along so that its dates stay even without neighbors.
-    pairs = missing.select(
-        F.col("cell").alias("_for"), F.explode(F.concat(F.array("cell"), neighbors(F.col("cell"), res))).alias("cell")
-    )
-    filled = grid.join(pairs, "cell").groupBy("_for", "date").agg(
-        F.avg(F.when(F.col("_for") != F.col("cell"), F.col("value"))).alias("value")
-    )
-    return grid.join(kept, "cell", "left_semi").unionByName(filled.withColumnRenamed("_for", "cell"))
+        valid = grid.where((F.col("date") == judged_on) & F.col("value").isNotNull())
+    judged = natural_join(wanted, valid.select("cell").distinct().withColumn("_valid", F.lit(True)), ["cell"], "left")
+    # A missing cell itself rides along so that its dates stay even without neighbors.
+    around = F.when(F.col("_valid"), F.array("cell")).otherwise(F.concat(F.array("cell"), neighbors(F.col("cell"), res)))
+    serves = judged.select(F.col("cell").alias("_for"), "_valid", F.explode(around).alias("cell"))
+    own = F.col("_for") == F.col("cell")
+    return grid.join(serves, "cell").groupBy("_for", "date").agg(
+        F.max(F.when(own & F.col("_valid"), F.col("value"))).alias("_own"), F.avg(F.when(~own, F.col("value"))).alias("_around"),
+    ).select(F.col("_for").alias("cell"), "date", F.coalesce("_own", "_around").alias("value"))
 
 
 def join_mean_max(mean_epochs: Sequence[DataFrame], max_epochs: Sequence[DataFrame]) -> DataFrame:

@@ -24,7 +24,7 @@ def with_temperature(
 
     ``regions`` maps a region column to that region's long series.
     """
-    inside = study_window(series, *window)
+    inside = study_window(series, *window, date="DateName")
     annual = stress_counts(inside, [*location, "Year"])
     sites = seasonal_means(series, location, SITE, window=window)
     baselines = [seasonal_means(df, [name], name.lower(), window=window) for name, df in regions.items()]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
@@ -303,7 +304,57 @@ def ols_predictions(spark, folder):
     return rounded(regression.predict(model, points), 6, pred=3)
 
 
-@query("meta_regression")
+def _meta_sql(p: int = 4, grid: int = 65, rounds: int = 6) -> str:
+    """SQL of the fit from table x (study, v, x0 .. x3, y as x4): sums per study, rounds of candidates, elimination over a list."""
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    of = lambda c, i, j: f"{c}{min(i, j)}{max(i, j)}"
+    w = 2 * p + 1
+    cells = ", ".join(of("q", i, c) if c < p else of("q", i, p) if c == 2 * p else str(float(c - p == i)) for i in range(p) for c in range(w))
+    pivot = f"m[(k[1] * {w} + k[1])::INT + 1]"
+    solve = (f"list_reduce(list_prepend([{cells}, 0.0]::DOUBLE[], list_transform(range(0, {p}), lambda i: [i::DOUBLE])),"
+             f" lambda m, k: list_transform(range(0, {p * w + 1}), lambda e: CASE WHEN e = {p * w} THEN m[e + 1] + ln({pivot})"
+             f" WHEN e // {w} = k[1] THEN m[e + 1] / {pivot}"
+             f" ELSE m[e + 1] - m[((e // {w}) * {w} + k[1])::INT + 1] * m[(k[1] * {w} + e % {w})::INT + 1] / {pivot} END))")
+    beta = [f"m[{i * w + 2 * p + 1}]" for i in range(p)]
+    rss = f"{of('q', p, p)} - (" + " + ".join(f"{of('q', i, p)} * {b}" for i, b in enumerate(beta)) + ")"
+    lifted = " - ".join(["lifted", *(f"m[{i * w + p + j + 1}] * {of('e', i, j)}" for i in range(p) for j in range(p)), of("e", p, p)])
+    lifted += "".join(f" + 2 * {b} * {of('e', i, p)}" for i, b in enumerate(beta))
+    lifted += "".join(f" - {beta[i]} * {beta[j]} * {of('e', i, j)}" for i in range(p) for j in range(p))
+
+    def profile(candidates: str) -> str:
+        sums = ", ".join(f"sum(a{i}{j} - t / (1 + t * s) * b{i} * b{j}) AS q{i}{j}, sum(b{i} * b{j} / ((1 + t * s) * (1 + t * s))) AS e{i}{j}"
+                         for i, j in pairs)
+        return (f"(SELECT *, -0.5 * ((n - {p}) * {math.log(2 * math.pi)!r}::DOUBLE + logdet + m[{p * w + 1}] + {rss}) AS ll, -0.5 * ({lifted}) AS score"
+                f" FROM (SELECT *, {solve} AS m FROM (SELECT k, t, lo, hi, unit, sum(n) AS n, sum(logv + ln(1 + t * s)) AS logdet,"
+                f" sum(s / (1 + t * s)) AS lifted, {sums} FROM sums, {candidates} GROUP BY k, t, lo, hi, unit)))")
+
+    u = f"(lo + (hi - lo) * k / {grid - 1})"
+    steps = []
+    for k in range(rounds):
+        best, low = ("coalesce(max(k) FILTER (score > 0), 0)", "i") if k else ("arg_max(k, ll)", "greatest(i - 1, 0)")
+        at = f"(SELECT *, unit * {u} / (1 - {u}) AS t FROM (SELECT *, unnest(range(0, {grid})) AS k FROM r{k}))"
+        steps.append(f", r{k + 1} AS (SELECT lo + (hi - lo) * {low} / {grid - 1} AS lo, lo + (hi - lo) * least(i + 1, {grid - 1}) / {grid - 1} AS hi, unit"
+                     f" FROM (SELECT {best} AS i, any_value(lo) AS lo, any_value(hi) AS hi, any_value(unit) AS unit FROM {profile(at)}))")
+    names = ["(Intercept)", "lat", "depth", "lat:depth"]
+    found = " UNION ALL ".join(f"SELECT '{t}' AS term, m[{i * w + 2 * p + 1}] AS est, sqrt(m[{i * w + p + i + 1}]) AS se, t AS tau2 FROM solved"
+                               for i, t in enumerate(names))
+    return f"""
+, sums AS (SELECT study, sum(1 / v) AS s, sum(ln(v)) AS logv, count(*) AS n,
+  {", ".join(f"sum(x{i} / v) AS b{i}" for i in range(p + 1))}, {", ".join(f"sum(x{i} * x{j} / v) AS a{i}{j}" for i, j in pairs)} FROM x GROUP BY study)
+, r0 AS (SELECT 0.0::DOUBLE AS lo, {1 - 1e-9!r}::DOUBLE AS hi, var_samp(x{p}) AS unit FROM x){"".join(steps)}
+, solved AS (SELECT * FROM {profile(f"(SELECT *, 0 AS k, unit * lo / (1 - lo) AS t FROM r{rounds})")})
+, z AS (SELECT *, abs(est / se) AS a FROM ({found}))
+, t AS (SELECT *, CASE WHEN a > 6 THEN 2 * exp(-a * a / 2) / {math.sqrt(2 * math.pi)!r}::DOUBLE / a ELSE greatest(0, 1 - 2 * exp(-a * a / 2) / {math.sqrt(2 * math.pi)!r}::DOUBLE * list_sum([
+  exp((2 * k + 1) * ln(a) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())) for k in range(0, 160)])) END AS p FROM z)"""
+
+
+@query("meta_regression", with_ctes("survey prior_slopes", f"""
+, sv AS (SELECT "Site" AS "SiteName", "PROVINCE" AS study, avg(abs("Latitude")) / 10 AS lat, avg("mean_Depth") / 1e4 AS depth FROM survey GROUP BY 1, 2)
+, x AS (SELECT study, pow(se / 1e5, 2) AS v, 1.0::DOUBLE AS x0, lat AS x1, depth AS x2, lat * depth AS x3, mean / 1e5 AS x4
+  FROM prior_slopes p JOIN sv ON p."SiteName" = sv."SiteName" WHERE parameter = 'site_slope' AND se > 0){_meta_sql()}
+SELECT term, {r("est", "estimate")}, {r("se", "se")}, {r("est / se", "zval")}, {r("p", "pval")},
+ {r(f"est - {NormalDist().inv_cdf(0.975)!r}::DOUBLE * se", "ci.lb")}, {r(f"est + {NormalDist().inv_cdf(0.975)!r}::DOUBLE * se", "ci.ub")},
+ p <= 0.05 AS sig, {r("tau2", "tau2")} FROM t"""))
 def meta_regression(spark, folder):
     """Slopes of the sites, weighted by their errors, with a random intercept per nation."""
     prior = filters.where_equal(s.prior_slopes(spark, folder), **site_trends.PRIOR_SLOPES)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.semantics import MISSING_SENTINEL, missing_to_null
+from ..operators.filters import within_years
 from ..operators.reshape import positional_long
 
 # File names that carry a year and month.
@@ -84,8 +85,10 @@ def read_grid(
 def clean_grid(
     grid: DataFrame, first_year: int = 1950, last_year: int = 2015, sentinel: float = MISSING_SENTINEL
 ) -> DataFrame:
-    year = F.col("year") if "year" in grid.columns else F.year("date")
-    return missing_to_null(grid.where(year.between(first_year, last_year)), ["value"], sentinel)
+    """Rows of the years asked for, the sentinel as missing. Years and dates are compared as ranges, for scans to skip by."""
+    if "year" in grid.columns:
+        grid = grid.where(F.col("year").between(first_year, last_year))
+    return missing_to_null(within_years(grid, "date", first_year, last_year), ["value"], sentinel)
 
 
 def file_month(file_name: Column) -> Column:
