@@ -186,3 +186,26 @@ def test_years_reach_the_scan_as_dates(spark, tmp_path):
     assert all(w in plan(by_date) for w in wanted) and by_date.exceptAll(by_year).isEmpty() and by_date.count() == by_year.count()
     grid = tables.clean_grid(series.selectExpr("cell", "DateName AS date", "tempC AS value"), 1993, 1995)
     assert "GreaterThanOrEqual(DateName,1993-01-01)" in plan(grid) and grid.count() == by_year.count()
+
+
+def test_wave_tables_share_one_shuffle(spark):
+    """Six tables, one aggregate; what a table lacks is missing, and keys come from the mean energy."""
+    from tideline.operators.waves import wave_frame
+
+    def made(rows, month=False):
+        cols = "Year int, Month int, GOWLon double, GOWLat double, measurement double"
+        df = spark.createDataFrame([(y, m, a, b, v) for y, m, a, b, v in rows], cols)
+        return df if month else df.drop("Month")
+
+    year = made([(2000, 0, 1.0, 2.0, 5.0), (2001, 0, 1.0, 2.0, None)])
+    months = made([(2000, 1, 1.0, 2.0, 3.0), (2000, 2, 1.0, 2.0, 7.0), (2002, 1, 1.0, 2.0, 9.0)], True)
+    empty = made([(2000, 1, 1.0, 2.0, None)], True)
+    points = spark.createDataFrame([(10.0, 20.0, 1.0, 2.0)], "`orig Lat` double, `orig Lon` double, LonGOW double, LatGOW double")
+    out = wave_frame(year, year, year.limit(0), months, empty, months, points)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(Year") == 1 and plan.count("Join") == 1
+    rows = {r["Year"]: r for r in out.collect()}
+    assert set(rows) == {2000, 2001}
+    r = rows[2000]
+    assert (r["mean_wave_energy"], r["max_mean_wave_energy"], r["max_wave_height"], r["total_wave_energy"], r["q95_wave_height"]) == (5, 7, 7, 0, None)
+    assert rows[2001]["total_wave_energy"] is None and rows[2001]["max_wave_height"] is None

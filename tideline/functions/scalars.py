@@ -17,10 +17,6 @@ def dotted_date(text: Column) -> Column:
     return F.to_date(F.regexp_replace(text, "^X", ""), "yyyy.MM.dd")
 
 
-def month_in(date: Column, first: int, last: int) -> Column:
-    return F.month(date).between(first, last)
-
-
 def rotate_longitude(lon: Column) -> Column:
     """0..360 degrees to -180..180."""
     return F.pmod(lon + 180, F.lit(360.0)) - 180

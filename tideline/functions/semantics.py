@@ -47,10 +47,6 @@ def coord_key(coord: Column, digits: int = KEY_DIGITS) -> Column:
     return F.bround(coord * F.lit(float(10**digits)), 0).cast("long")
 
 
-def half_even(value: Column, digits: int = 0) -> Column:
-    """Round half to even."""
-    return F.bround(value, digits)
-
 
 def number(text: Column) -> Column:
     """Text to double; anything unreadable is NULL."""

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import text_key
 from .joins import keep_matching, natural_join, with_one_row
-from .materialize import cut
-from .rows import center, factor_index
+from .materialize import written
+from .rows import center, factor_levels
 
 # Default window of years, the upper end excluded.
 YEAR_LOW, YEAR_HIGH = 1900, 2015
@@ -47,17 +45,18 @@ def model_frame(
 ) -> DataFrame:
     """Site-by-study key, indices of group, site and study, centered year, group sizes.
 
-    The rows are read once per index and once per group size, so they are written
-    out before, and the indexed rows after.
+    The rows are written once. One sort numbers the levels of all three factors, and the sizes of groups and studies
+    stand beside their levels, so the rows meet each table of levels once.
     """
-    keyed = cut(df.withColumn("site_key", text_key(site, study)))
-    for column, name in (("group_name", "group_num"), (study, "study_num"), ("site_key", "site_num")):
-        keyed = factor_index(keyed, column, name)
-    keyed = cut(keyed)
-    studies = keyed.groupBy("group_num").agg(F.count_distinct("study_num").alias("N_studies"))
-    sites = keyed.groupBy("study_num").agg(F.count_distinct("site_num").alias("N_sites"))
-    keyed = natural_join(keyed, studies, ["group_num"], "left")
-    keyed = natural_join(keyed, sites, ["study_num"], "left")
+    keyed = written(df.withColumn("site_key", text_key(site, study)))
+    levels = factor_levels(keyed, {"group_name": "group_num", study: "study_num", "site_key": "site_num"})
+    sizes = {"group_name": (study, "N_studies"), study: ("site_key", "N_sites")}
+    for column, table in levels.items():
+        if column in sizes:
+            counted, name = sizes[column]
+            sized = keyed.groupBy(column).agg(F.count_distinct(counted).alias(name))
+            table = natural_join(sized, table, [column], "left")
+        keyed = natural_join(keyed, table, [column], "left")
     return center(keyed, [year], suffix="_centered")
 
 
@@ -70,7 +69,3 @@ def frame_counts(frame: DataFrame, method: str, group: str = "group_num", site:
         one = part if one is None else with_one_row(one, part)
     return with_one_row(one, frame.agg(F.count(F.lit(1)).alias("N")))
 
-
-def key_tuples(frame: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct key tuples, for naming model output."""
-    return frame.select(*cols).distinct()

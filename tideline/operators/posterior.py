@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .climate import totals
-from .joins import natural_join, with_one_row
 from .effects import counted_quantiles
+from .joins import natural_join, natural_left_join, with_one_row
 from .materialize import written
 from .quantiles import grouped_quantiles, ranked
 from .reshape import expand_axes
@@ -61,8 +62,11 @@ def hpd_interval(
     ends of an interval meet by an equi-join on unique keys: no array, window or bucket
     holds a group or a run of equal draws.
     """
-    keys = list(keys)
-    ranks = written(ranked(draws, keys, value))
+    return _shortest(written(ranked(draws, keys, value)), list(keys), prob)
+
+
+def _shortest(ranks: DataFrame, keys: list[str], prob: float) -> DataFrame:
+    """The shortest interval of ranked draws."""
     gap = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * float(prob)).cast("long")))
     lower = ranks.select("*", (F.col("_rank") + gap).alias("_end")).where("_end <= n").drop("_rank", "n")
     upper = ranks.select(F.col("_group").alias("_in"), F.col("_rank").alias("_end"), F.col("_v").alias("_upper"))
@@ -115,6 +119,31 @@ def gelman_rubin(
     return s.select(*keys, F.sqrt(correction * r2).alias("rhat"))
 
 
+def parameter_table(
+    draws: DataFrame, keys: Sequence[str], names: DataFrame | None = None, probs: Sequence[float] = (0.99, 0.95, 0.9),
+    value: str = "value", chain: str = "chain", iteration: str = "iteration",
+) -> DataFrame:
+    """One row per parameter: mean, se, p, shortest and central intervals, scale reduction, and its names.
+
+    The shortest intervals are lower_99, upper_99, ..., the central ones lower_99_q, upper_99_q, ...; ``names`` is
+    joined by the columns that it shares with the keys. The draws are ranked once for all shortest intervals.
+    """
+    keys = list(keys)
+    out = posterior_summary(draws, keys, value, probs)
+    ranks = written(ranked(draws, keys, value))
+    for p in probs:
+        ends = {"lower": prob_name("lower_", p), "upper": prob_name("upper_", p)}
+        out = natural_join(out, _shortest(ranks, keys, p).withColumnsRenamed(ends), keys, "left")
+    out = natural_join(out, gelman_rubin(draws, keys, chain, value, iteration), keys, "left")
+    return out if names is None else natural_left_join(out, names)
+
+
+def stacked_parameters(tables: Mapping[str, DataFrame], grouping: str) -> DataFrame:
+    """Tables of parameters under one another, with their parameter's name and the grouping of the model."""
+    tagged = [t.withColumns({"parameter": F.lit(name), "grouping": F.lit(grouping)}) for name, t in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+
+
 # ---------------------------------------------------------------- model comparison
 
 WAIC_COLUMNS = ["waic", "lpd", "p_waic", "elpd_waic", "p_loo", "elpd_loo"]
@@ -265,3 +294,11 @@ def residual_table(fits: DataFrame, prob: float = 0.95, fit: Column | None = Non
         {"lower": "y_hat_L", "upper": "y_hat_U"}
     )
     return natural_join(means, shortest, ["obs"], "left").withColumn("resid", F.col("y") - F.col("y_hat"))
+
+
+def fitted_table(fits: DataFrame, prob: float = 0.95) -> DataFrame:
+    """Per observation: the fitted value and the fit of its group alone, each with its shortest interval, and the residual."""
+    own = residual_table(fits, prob)
+    group = residual_table(fits, prob, F.exp("y_loc_mu")).select(
+        "obs", F.col("y_hat").alias("y_hat_mu"), F.col("y_hat_L").alias("y_hat_mu_L"), F.col("y_hat_U").alias("y_hat_mu_U"))
+    return natural_join(own, group, ["obs"], "left")

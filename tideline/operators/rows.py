@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.semantics import named
 from .joins import natural_join, with_one_row
-from .materialize import number_rows
+from .materialize import number_rows, written
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
@@ -95,11 +95,30 @@ def unscale(df: DataFrame, cols: Sequence[str], stats: DataFrame, suffix: str =
     }).drop(*stats.columns)
 
 
+def factor_levels(df: DataFrame, factors: Mapping[str, str]) -> dict[str, DataFrame]:
+    """For each column of ``factors`` (column: index name) its levels with 1-based indices in their order.
+
+    The levels of all columns are stacked and numbered by one sort. A missing level has no index.
+    """
+    columns = list(factors)
+    kinds = {c: df.schema[c].dataType for c in columns}
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_of"), *[(F.col(f"`{c}`") if c == own else F.lit(None).cast(kinds[c])).alias(f"_l{j}")
+                                          for j, c in enumerate(columns)])
+        for i, own in enumerate(columns)])).alias("_x")).select("_x.*")
+    present = stacked.where(" OR ".join(f"_l{j} IS NOT NULL" for j in range(len(columns))))
+    numbered = written(number_rows(present.distinct(), [F.col("_of"), *[F.col(f"_l{j}") for j in range(len(columns))]], "_n"))
+    out = {}
+    for j, (column, name) in enumerate(factors.items()):
+        own = numbered.where(F.col("_of") == j).select(F.col(f"_l{j}").alias(column), F.col("_n").alias(name))
+        out[column] = with_one_row(own, own.agg((F.min(name) - 1).alias("_before"))).select(
+            column, (F.col(name) - F.col("_before")).alias(name))
+    return out
+
+
 def factor_index(df: DataFrame, column: str, name: str) -> DataFrame:
     """1-based index of the sorted levels of a column; a missing level has no index."""
-    levels = df.select(column).where(F.col(column).isNotNull()).distinct()
-    index = number_rows(levels, [F.col(column)], name)
-    return natural_join(df, index, [column], "left")
+    return natural_join(df, factor_levels(df, {column: name})[column], [column], "left")
 
 
 def point_groups(df: DataFrame, keys: Sequence[str], name: str = "pointgroup") -> DataFrame:

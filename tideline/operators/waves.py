@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
 
-from .joins import natural_left_join, rounded_coord_join
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .joins import rounded_coord_join
 
 POINT_YEAR = ["Year", "GOWLon", "GOWLat"]
 # The measures kept by the deviation analysis, in table order.
@@ -42,29 +44,35 @@ def wave_frame(
     monthly_max_height: DataFrame,
     points: DataFrame,
 ) -> DataFrame:
-    """All yearly measures per grid point and year, expanded to the original points.
+    """All yearly measures per grid point and year of the mean energy sheet, expanded to the original points.
 
-    Every table is keyed by (Year, GOWLon, GOWLat), so the tree of left joins
-    keeps the partitioning of the grouped tables. The keys come from the sheet's
-    rows and the coordinate list and are never missing, hence the plain equality.
+    The six tables are stacked and one aggregate by (Year, GOWLon, GOWLat) takes every measure from its own
+    rows, so they share one shuffle, after a map-side combine, and no table is joined with another. A point
+    that a sheet names twice counts once, with its larger yearly value. What a table lacks is missing.
     """
-    def named(df: DataFrame, name: str) -> DataFrame:
-        return df.withColumnRenamed("measurement", name)
+    tables = {
+        "mean_wave_energy": mean_energy, "mean_wave_height": mean_height, "q95_wave_height": q95_height,
+        "monthly_mean_energy": monthly_mean_energy, "monthly_sum_energy": monthly_sum_energy, "monthly_max_height": monthly_max_height,
+    }
+    stacked = reduce(DataFrame.unionByName, [
+        df.select(*POINT_YEAR, F.col("measurement").cast("double").alias("measurement"), F.lit(name).alias("_of")) for name, df in tables.items()])
+
+    def of(name: str) -> Column:
+        return F.when(F.col("_of") == name, F.col("measurement"))
 
-    def join(left: DataFrame, right: DataFrame) -> DataFrame:
-        return natural_left_join(left, right, null_safe=False)
+    def extremes(table: str, name: str, max_name: str | None = None) -> list[Column]:
+        return [F.max(of(table)).alias(max_name or f"max_{name}"), F.stddev_samp(of(table)).alias(f"sd_{name}")]
 
-    means = join(named(mean_energy, "mean_wave_energy"), named(mean_height, "mean_wave_height"))
-    energy = join(
-        annual_extremes(monthly_mean_energy, "mean_wave_energy"),
-        annual_extremes(monthly_sum_energy, "sum_wave_energy", total="total_wave_energy"),
-    )
-    height = join(
-        annual_extremes(monthly_max_height, "max_wave_height", max_name="max_wave_height"),
-        named(q95_height, "q95_wave_height"),
-    )
-    by_point = join(join(means, energy), height).withColumnsRenamed(
-        {"GOWLon": "LonGOW", "GOWLat": "LatGOW"}
-    )
+    has = lambda name: F.max(F.when(F.col("_of") == name, True))
+    total = F.when(has("monthly_sum_energy"), F.coalesce(F.sum(of("monthly_sum_energy")), F.lit(0.0)))
+    by_point = stacked.groupBy(*POINT_YEAR).agg(
+        has("mean_wave_energy").alias("_has"),
+        F.max(of("mean_wave_energy")).alias("mean_wave_energy"), F.max(of("mean_wave_height")).alias("mean_wave_height"),
+        *extremes("monthly_mean_energy", "mean_wave_energy"),
+        F.max(of("monthly_sum_energy")).alias("max_sum_wave_energy"), total.alias("total_wave_energy"),
+        F.stddev_samp(of("monthly_sum_energy")).alias("sd_sum_wave_energy"),
+        *extremes("monthly_max_height", "max_wave_height", "max_wave_height"),
+        F.max(of("q95_wave_height")).alias("q95_wave_height"),
+    ).where("_has").drop("_has").withColumnsRenamed({"GOWLon": "LonGOW", "GOWLat": "LatGOW"})
     # Point list and sheet come from different files: their coordinates meet on rounded keys.
     return rounded_coord_join(points, by_point, ["LonGOW", "LatGOW"]).withColumnsRenamed({"orig Lat": "Latitude", "orig Lon": "Longitude"})

@@ -193,15 +193,16 @@ def annual_extremes(spark, folder):
     return rounded(waves.annual_extremes(monthly, "sum_wave_energy", total="total_wave_energy"), 2, GOWLon=6, GOWLat=6)
 
 
-def _sheet(lines, coords, measure, month=False):
-    return read_wave_sheet(s.wave_sheet(lines, measure, month), coords, month)
+def _sheet(lines, coords, measure, month=False, months=None):
+    return read_wave_sheet(s.wave_sheet(lines, measure, month, months), coords, month)
 
 
 def wave_table(spark, folder):
     """All wave measures at the original points."""
     lines, coords = s.wave_lines(spark, folder), s.wave_coords(spark, folder)
+    months = s.wave_months(lines)
     sheets = [
-        _sheet(lines, coords, measure, month) for measure, month in (
+        _sheet(lines, coords, measure, month, months) for measure, month in (
             ("mean_energy", False), ("mean_height", False), ("q95_height", False),
             ("mean_energy", True), ("sum_energy", True), ("max_height", True),
         )

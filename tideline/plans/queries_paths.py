@@ -81,16 +81,35 @@ def bins_of_the_data(spark, folder):
 
 
 @query("ols_with_factor", f"""
-WITH g AS (SELECT l_returnflag, avg(l_discount) AS mx, avg(l_extendedprice) AS my FROM lineitem GROUP BY 1)
-, b AS (SELECT sum((l_discount - mx) * (l_extendedprice - my)) / sum((l_discount - mx) * (l_discount - mx)) AS b
-  FROM lineitem JOIN g USING (l_returnflag))
-SELECT 'l_discount' AS term, {r("b", "estimate", 3)} FROM b
-UNION ALL SELECT 'l_returnflag_' || l_returnflag, {r("my - b * mx", "estimate", 3)} FROM g, b""")
+WITH g AS (SELECT l_returnflag, avg(l_discount) AS mx, avg(l_extendedprice) AS my, count(*) AS n FROM lineitem GROUP BY 1)
+, d AS (SELECT l_discount - mx AS dx, l_extendedprice - my AS dy FROM lineitem JOIN g USING (l_returnflag))
+, b AS (SELECT sum(dx * dy) / sum(dx * dx) AS b, sum(dx * dx) AS sxx,
+    (sum(dy * dy) - sum(dx * dy) * sum(dx * dy) / sum(dx * dx)) / (count(*) - 1 - (SELECT count(*) FROM g)) AS s2 FROM d)
+, c AS (SELECT 'l_discount' AS term, b AS est, sqrt(s2 / sxx) AS se FROM b
+  UNION ALL SELECT 'l_returnflag_' || l_returnflag, my - b * mx, sqrt(s2 * (1.0::DOUBLE / n + mx * mx / sxx)) FROM g, b)
+SELECT term, {r("est", "estimate", 3)}, {r("se", "std.error", 3)}, {r("est / se", "statistic", 5)},
+  {r("CASE WHEN abs(est / se) > 6 THEN 0 ELSE greatest(0, 1 - 2 * exp(-pow(est / se, 2) / 2) / sqrt(2 * pi()) * list_sum([exp((2 * k + 1) * ln(abs(est / se)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())) for k in range(0, 160)])) END", "p", 1)} FROM c""")
 def ols_with_factor(spark, folder):
-    """A factor beside a number, without intercept: every level has its own term."""
+    """A factor beside a number, without intercept: every level has its own term, error and p.
+
+    p is shown to one digit: with thousands of degrees of freedom the SQL takes the normal tail.
+    """
     lineitem = table(spark, folder, "lineitem").select("l_extendedprice", "l_discount", "l_returnflag")
     model = regression.multi_ols(lineitem, "l_extendedprice ~ l_discount + l_returnflag - 1")
-    return rounded(regression.coefficients(model, lineitem).select("term", "estimate"), 3)
+    terms = regression.coefficients(model, lineitem).withColumnRenamed("p.value", "p")
+    return rounded(terms.select("term", "estimate", "`std.error`", "statistic", "p"), 3, statistic=5, p=1)
+
+
+@query("wave_sheet_from_file", with_ctes("wave_lines wave_coords", f"""
+SELECT m."Year", m."Month", {rs("GOWLon GOWLat", 4)}, {r("max(height)", "measurement", 4)}
+FROM (SELECT DISTINCT "Year", "Month" FROM wave_lines) m CROSS JOIN wave_coords c
+LEFT JOIN wave_lines w ON w."Year" = m."Year" AND w."Month" = m."Month" AND w.nk = c.nk GROUP BY 1, 2, 3, 4"""))
+def wave_sheet_from_file(spark, folder):
+    """A monthly sheet written as a headerless CSV file and read from it, its columns matched by position."""
+    sheet = s.wave_sheet(s.wave_lines(spark, folder), "max_height", month=True)
+    path = shared_folder(spark)
+    sheet.write.option("header", False).option("nullValue", "NA").csv(path)
+    return rounded(tables.read_wave_file(spark, path, s.wave_coords(spark, folder), month=True), 4)
 
 
 _CUSTOMER = T.StructType([

@@ -242,3 +242,79 @@ def pointwise_log_likelihood(spark, folder):
 SELECT m.obs, {r("y", "y")}, {r("y_hat", "y_hat")}, {r("lo", "y_hat_L")}, {r("hi", "y_hat_U")}, {r("y - y_hat", "resid")} FROM m JOIN w ON m.obs = w.obs AND rn = 1""")
 def residual_table(spark, folder):
     return rounded(posterior.residual_table(_fits(spark, folder)))
+
+
+_PROBS = (0.99, 0.95, 0.9)
+
+
+def _parameter_sql(probs) -> str:
+    """SQL of a parameter table over c (parameter, site, grp, chain, iteration, value)."""
+    own = "parameter, site, grp"
+    same = "a.parameter = b.parameter AND a.site IS NOT DISTINCT FROM b.site AND a.grp = b.grp"
+    central = ", ".join(r(f"quantile_cont(value, {q})", n) for p in probs for q, n in (
+        ((1 - p) / 2, f"lower_{p * 100:g}_q"), (1 - (1 - p) / 2, f"upper_{p * 100:g}_q")))
+    shortest, joined, shown = "", "", []
+    for p in probs:
+        t = f"h{p * 100:g}"
+        shortest += f"""
+, {t} AS (SELECT * FROM (SELECT a.parameter, a.site, a.grp, a.value AS lo, b.value AS hi,
+    row_number() OVER (PARTITION BY a.parameter, a.site, a.grp ORDER BY b.value - a.value, a.rk) AS rn FROM o a JOIN o b ON {same}
+    AND b.rk = a.rk + greatest(1, least(a.n - 1, round_even(a.n * {p}::DOUBLE, 0)::BIGINT))) WHERE rn = 1)"""
+        joined += f" JOIN {t} ON {same.replace('a.', 'q.').replace('b.', t + '.')}"
+        shown += [r(f"{t}.lo", f"lower_{p * 100:g}"), r(f"{t}.hi", f"upper_{p * 100:g}")]
+    return f"""
+, o AS (SELECT *, row_number() OVER (PARTITION BY {own} ORDER BY value) AS rk, count(*) OVER (PARTITION BY {own}) AS n FROM c){shortest}
+, q AS (SELECT {own}, {r("avg(value)", "mean")}, {r("stddev_samp(value)", "se")}, {r("avg(CASE WHEN value > 0 THEN 1.0::DOUBLE ELSE 0 END)", "p")},
+  {central} FROM c GROUP BY {own})
+, hf AS (SELECT c.* FROM c, (SELECT min(iteration) AS a, max(iteration) AS b FROM c) l WHERE iteration - a >= (b - a + 1) / 2)
+, ch AS (SELECT {own}, chain, count(*)::DOUBLE AS n, avg(value) AS m, var_samp(value) AS v FROM hf GROUP BY {own}, chain)
+, g AS (SELECT {own}, count(*)::DOUBLE AS c, min(n) AS n, avg(v) AS w, avg(m) AS mu, var_samp(m) AS vm, var_samp(v) AS vv,
+   covar_samp(v, m * m) AS c2, covar_samp(v, m) AS c1 FROM ch GROUP BY {own})
+, k AS (SELECT *, n * vm AS b, (n - 1) * w / n + (1 + 1 / c) * vm AS pooled FROM g)
+, u AS (SELECT *, ((n - 1) * (n - 1) * vv / c + (1 + 1 / c) * (1 + 1 / c) * 2 * b * b / (c - 1)
+   + 2 * (n - 1) * (1 + 1 / c) * n / c * (c2 - 2 * mu * c1)) / (n * n) AS vp FROM k)
+, rh AS (SELECT *, 2 * pooled * pooled / vp AS df FROM u)
+SELECT q.parameter, 'Region' AS "grouping", n_name AS "SiteName", r_name AS group_name, q.mean, q.se, q.p,
+  q.* EXCLUDE (parameter, site, grp, mean, se, p), {", ".join(shown)},
+  {r("sqrt((df + 3) / (df + 1) * ((rh.n - 1) / rh.n + (1 + 1 / rh.c) / rh.n * rh.b / rh.w))", "rhat")}
+FROM q{joined} JOIN rh ON {same.replace('a.', 'q.').replace('b.', 'rh.')} LEFT JOIN nation ON q.site = n_nationkey JOIN region ON q.grp = r_regionkey"""
+
+
+@query("posterior_parameters", with_ctes("draws", f"""
+, c AS (SELECT 'site_' || kind AS parameter, n_nationkey AS site, n_regionkey AS grp, a.chain, a.iteration, a.value + b.value AS value
+  FROM (VALUES ('intercept', 0), ('slope', 30)) t(kind, low) CROSS JOIN nation JOIN draws a ON a.param = low + n_nationkey
+  JOIN draws b ON b.draw = a.draw AND b.param = low + 25 + n_regionkey
+  UNION ALL SELECT 'mean_' || kind, NULL, r_regionkey, a.chain, a.iteration, a.value
+  FROM (VALUES ('intercept', 0), ('slope', 30)) t(kind, low) CROSS JOIN region JOIN draws a ON a.param = low + 25 + r_regionkey){_parameter_sql(_PROBS)}"""))
+def posterior_parameters(spark, folder):
+    """The table of all parameters: slopes and intercepts of sites and groups, named and stacked.
+
+    Elements 0 to 24 and 30 to 54 of the draws are sites (nations), 25 to 29 and 55 to 59 their groups (regions).
+    """
+    d = s.draws(spark, folder)
+    nation = table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("site"), F.col("n_regionkey").alias("group"), F.col("n_name").alias("SiteName"))
+    region = table(spark, folder, "region").select(F.col("r_regionkey").alias("group"), F.col("r_name").alias("group_name"))
+    tables = {}
+    for kind, at in (("intercept", 0), ("slope", 30)):
+        part = lambda low, n, name: d.where(F.col("param").between(low, low + n - 1)).select(
+            "draw", "chain", "iteration", (F.col("param") - low).alias(name), "value")
+        groups = part(at + 25, 5, "group")
+        sites = posterior.site_coefficients(part(at, 25, "site"), groups.drop("chain", "iteration"), nation)
+        tables[f"site_{kind}"] = posterior.parameter_table(sites, ["site", "group"], nation.join(region, "group"), _PROBS)
+        tables[f"mean_{kind}"] = posterior.parameter_table(groups, ["group"], region, _PROBS)
+    return rounded(posterior.stacked_parameters(tables, "Region").drop("site", "group"))
+
+
+@query("fits_of_sites_and_groups", _FITS + f"""
+, long AS (SELECT obs, 'own' AS kind, y, exp(loc) AS fit FROM l UNION ALL SELECT obs, 'mu', y, exp(loc_mu) FROM l)
+, v AS (SELECT *, row_number() OVER (PARTITION BY obs, kind ORDER BY fit) AS rk, count(*) OVER (PARTITION BY obs, kind) AS n FROM long)
+, w AS (SELECT a.obs, a.kind, a.fit AS lo, b.fit AS hi, row_number() OVER (PARTITION BY a.obs, a.kind ORDER BY b.fit - a.fit, a.rk) AS rn FROM v a
+  JOIN v b ON a.obs = b.obs AND a.kind = b.kind AND b.rk = a.rk + greatest(1, least(a.n - 1, round_even(a.n * 0.95::DOUBLE, 0)::BIGINT)))
+, m AS (SELECT v.obs, v.kind, any_value(y) AS y, avg(fit) AS f, any_value(lo) AS lo, any_value(hi) AS hi FROM v
+  JOIN w ON v.obs = w.obs AND v.kind = w.kind AND rn = 1 GROUP BY 1, 2)
+SELECT a.obs, {r("a.y", "y")}, {r("a.f", "y_hat")}, {r("a.lo", "y_hat_L")}, {r("a.hi", "y_hat_U")}, {r("a.y - a.f", "resid")},
+ {r("b.f", "y_hat_mu")}, {r("b.lo", "y_hat_mu_L")}, {r("b.hi", "y_hat_mu_U")} FROM m a JOIN m b ON a.obs = b.obs AND a.kind = 'own' AND b.kind = 'mu'""")
+def fits_of_sites_and_groups(spark, folder):
+    """Fitted values of the observations and of their groups alone, with their intervals."""
+    return rounded(posterior.fitted_table(_fits(spark, folder)))

@@ -554,3 +554,43 @@ SELECT c_custkey, CASE lat WHEN 21 THEN 'Baja,' || chr(10) || ' Peru' WHEN 32 TH
  WHEN 66 THEN 'Norway,' || chr(10) || ' Northern Alaska' ELSE CAST(lat AS VARCHAR) END AS band FROM l"""))
 def latitude_band_names(spark, folder):
     return s.points(spark, folder).select("c_custkey", scalars.name_latitude(F.abs("Latitude")).alias("band"))
+
+
+def _raw_trend(y: str, est: str, se: str) -> str:
+    """SQL of an unrounded slope and its error."""
+    n, sxx, syy, sxy, ax, ay = (f'regr_{k}({y}, "Year")' for k in _MOMENTS)
+    return (f"CASE WHEN {sxx} > 1e-9 THEN {sxy} / {sxx} END AS {est}, CASE WHEN {n} > 2 AND {sxx} > 1e-9 THEN"
+            f" sqrt({_resid(n, sxx, syy, sxy, ax, ay)} / (({n} - 2) * {sxx})) END AS {se}")
+
+
+@query("analysis_frame", with_ctes("survey series wave_frame prior_slopes", _MERGED.replace('s."SiteName"', 's."Site" AS "SiteName"') + f"""
+, tr AS (SELECT "SiteName", {_raw_trend("max_tempC", "temp", "se_temp")} FROM merged GROUP BY 1)
+, sw AS (SELECT s."Site" AS "SiteName", s."Latitude", s."Longitude", s."Year", max_wave_height FROM survey s
+  JOIN wave_frame w ON s."Latitude" = w."Latitude" AND s."Longitude" = w."Longitude" AND s."Year" = w."Year" WHERE total_wave_energy IS NOT NULL)
+, wv AS (SELECT "SiteName", {_raw_trend("max_wave_height", "waves", "se_waves")} FROM sw GROUP BY "SiteName", "Latitude", "Longitude")
+, site AS (SELECT "Site" AS "SiteName", min("Study") AS "Study", min("Latitude") AS lat, min("Longitude") AS lon,
+  (max("Year") - min("Year") + 1)::DOUBLE AS dur FROM survey GROUP BY 1)
+, k AS (SELECT p."SiteName", p.mean AS slope, p.se AS slope_se, abs(lat) AS abs_lat, dur, waves, se_waves, temp, se_temp, "Study",
+  CASE WHEN lon > 100 AND lon < 160 AND lat > -39.3 AND lat < 50 THEN 'no canopy' WHEN lat < 0 AND lon > 0 AND lon < 40 THEN 'canopy'
+    WHEN lon > -10 AND lon < 0 AND lat > 40 AND lat < 50 THEN 'no canopy' ELSE 'canopy' END AS canopy
+  FROM prior_slopes p JOIN site ON p."SiteName" = site."SiteName" LEFT JOIN tr ON p."SiteName" = tr."SiteName"
+  LEFT JOIN wv ON p."SiteName" = wv."SiteName"
+  WHERE parameter = 'site_slope' AND waves IS NOT NULL AND se_waves IS NOT NULL AND temp IS NOT NULL)
+, z AS (SELECT *, {", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}_z" for c in ("abs_lat", "dur", "waves", "temp"))},
+  se_waves / stddev_samp(waves) OVER () AS sew, se_temp / stddev_samp(temp) OVER () AS set_,
+  dense_rank() OVER (ORDER BY canopy) - 1 AS nocanopy, dense_rank() OVER (ORDER BY "Study") AS "studyIDX" FROM k)
+SELECT "SiteName", {rs("slope slope_se abs_lat", 5)}, {r("temp_z", "temp_scale", 5)}, {r("waves_z", "waves_scale", 5)}, nocanopy,
+  {r("set_", "se_temp_scale", 5)}, {r("sew", "se_waves_scale", 5)}, "studyIDX", {r("abs_lat_z", "abs_lat_scale", 5)}, {r("dur_z", "Duration_scale", 5)}
+FROM z WHERE sew <> 0 AND set_ <> 0"""))
+def analysis_frame(spark, folder):
+    """The frame of the models: slopes, standardized waves and temperature with their errors, labels and indices."""
+    temperature = site_trends.temperature_trends(_survey_by_site(spark, folder), s.series(spark, folder), ["cell"])
+    waves = site_trends.wave_trends(_survey_waves(spark, folder), ["max_wave_height"]).drop("Latitude", "Longitude")
+    sites = s.survey(spark, folder).groupBy(F.col("Site").alias("SiteName")).agg(
+        F.min("Study").alias("Study"), F.min("Latitude").alias("Latitude"), F.min("Longitude").alias("Longitude"),
+        (F.max("Year") - F.min("Year") + 1).alias("Duration"))
+    merged = site_trends.merged_site_trends(s.prior_slopes(spark, folder), temperature, waves)
+    placed = joins.natural_join(merged, sites, ["SiteName"], "inner").withColumn(
+        "has_canopy", labels.override_in_boxes(F.lit("canopy"), F.col("Longitude"), F.col("Latitude")))
+    frame = site_trends.standardized_frame(placed, "max_wave_height_estimate", "max_temp_slope_estimate")
+    return rounded(site_trends.model_rows(frame, ["SiteName", "abs_lat_scale", "Duration_scale"]), 5)

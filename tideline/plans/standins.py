@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.materialize import written
+
 NATIONS = 25  # columns of the wide wave sheets, one per nation
 WINDOW = (1996, 2000)  # study window inside the tables' years 1995-2001
 
@@ -111,27 +113,38 @@ def region_series(spark, folder, level: str) -> DataFrame:
 def wave_lines(spark, folder) -> DataFrame:
     lineitem, supplier = table(spark, folder, "lineitem"), table(spark, folder, "supplier")
     return lineitem.join(supplier, lineitem.l_suppkey == supplier.s_suppkey).select(
-        F.year("l_shipdate").alias("Year"), F.month("l_shipdate").alias("Month"), "s_nationkey",
+        F.year("l_shipdate").alias("Year"), F.month("l_shipdate").alias("Month"),
+        F.when(F.col("s_nationkey").between(0, NATIONS - 1), F.col("s_nationkey"))
+        .otherwise(F.raise_error(F.lit(f"a sheet has {NATIONS} columns"))).cast("int").alias("s_nationkey"),
         F.col("l_extendedprice").alias("energy"), F.col("l_quantity").alias("height"),
     )
 
 
-def wave_sheet(lines: DataFrame, measure: str, month: bool = False) -> DataFrame:
+def wave_months(lines: DataFrame) -> DataFrame:
+    """Sums, numbers and largest values of the wave lines by month and nation, which the sheets share."""
+    return written(lines.groupBy("Year", "Month", "s_nationkey").agg(
+        F.sum("energy").alias("energy"), F.count("energy").alias("n_energy"), F.sum("height").alias("height"),
+        F.count("height").alias("n_height"), F.max("height").alias("top")))
+
+
+def wave_sheet(lines: DataFrame, measure: str, month: bool = False, months: DataFrame | None = None) -> DataFrame:
     """Wide sheet of the wave lines: one row per year (and month), one column per nation."""
-    agg, column = {
-        "mean_energy": ("avg(energy)", "energy"),
-        "sum_energy": ("sum(energy)", "energy"),
-        "mean_height": ("avg(height)", "height"),
-        "max_height": ("max(height)", "height"),
+    agg = {
+        "mean_energy": "sum(energy) / sum(n_energy)",
+        "sum_energy": "sum(energy)",
+        "mean_height": "sum(height) / sum(n_height)",
+        "max_height": "max(top)",
         # The heights take 50 distinct values, which bounds what the percentile holds.
-        "q95_height": ("percentile(height, 0.95)", "height"),
+        "q95_height": "percentile(height, 0.95)",
     }[measure]
     ids = "Year, Month" if month else "Year"
     nations = ", ".join(str(n) for n in range(NATIONS))
+    source = lines if measure == "q95_height" else wave_months(lines) if months is None else months
     return lines.sparkSession.sql(
-        f"SELECT * FROM (SELECT {ids}, s_nationkey, {column} FROM {{lines}}) PIVOT ({agg} FOR s_nationkey IN ({nations}))",
-        lines=lines,
-    )
+        f"""
+        SELECT * FROM (SELECT {ids}, s_nationkey, {agg} AS v FROM {{source}} GROUP BY {ids}, s_nationkey)
+        PIVOT (any_value(v) FOR s_nationkey IN ({nations}))
+        """, source=source)
 
 
 def wave_coords(spark, folder) -> DataFrame:

@@ -74,6 +74,14 @@ def read_wave_sheet(df: DataFrame, coords: DataFrame, month: bool = False) -> Da
     return long.join(F.broadcast(coords.select("pos", "GOWLon", "GOWLat")), "pos", "left").drop("pos")
 
 
+def read_wave_file(spark: SparkSession, path: str, coords: DataFrame, month: bool = False, missing: str = "NA") -> DataFrame:
+    """A headerless CSV sheet (year, [month,] one column per point) as a long table; ``coords`` as in :func:`read_wave_sheet`."""
+    ids = ["Year", "Month"] if month else ["Year"]
+    width = coords.count()  # one row per column of the sheet, which gives the file its schema
+    schema = T.StructType([T.StructField(c, T.IntegerType()) for c in ids] + [T.StructField(f"X_{i}", T.DoubleType()) for i in range(width)])
+    return read_wave_sheet(spark.read.schema(schema).option("header", False).option("nullValue", missing).csv(path), coords, month)
+
+
 def read_grid(
     spark: SparkSession, path: str, first_year: int = 1950, last_year: int = 2015,
     sentinel: float = MISSING_SENTINEL,
