@@ -221,3 +221,75 @@ def test_rule_order_follows_rejections_and_changes_no_verdict(spark):
 
 def test_schema_of_documents_is_the_tested_one(spark):
     assert spark.createDataFrame([], DOCS).dtypes == spark.read.parquet(f"{FOLDER}/documents.parquet").dtypes
+
+
+#: Names of helper columns and outputs anywhere in the operators, in several cases.
+CLASHES = ("_k1 _k2 _lines _gone _key _id _later _group sig node grams parity _row _full _short _at _part _rank _text _words "
+           "_inked _windows _doc _hash _user token n_lines n_cut_words N_Shingles class_id component_id kept host Path rule verdict "
+           "user_column_1 sequence_id offset length").split()
+
+
+def with_clashes(df, but=()):
+    from pyspark.sql import functions as F
+
+    names = [c for c in CLASHES if c not in but]
+    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in names], F.lit("own dotted").alias("a.b `c`")), [*names, "a.b `c`"]
+
+
+@pytest.mark.parametrize("name", ["lines", "substrings", "join", "one of each", "urls", "best fit", "rules"])
+def test_further_columns_of_any_name(spark, name):
+    """Helper names don't touch them; they come back as they were unless an output has their name."""
+    from tideline.llm import line_dedup, ngram_join, packing, quality_rules, substring_dedup, url_filter
+
+    full, _ = edge_tables(spark)
+    if name == "urls":
+        base = spark.createDataFrame([(i, f"https://a.org/{i}") for i in range(5)], "page_id long, url string")
+        rules = spark.createDataFrame([("org", "/", "block", 1)], "host string, path string, verdict string, _full int")
+        run = lambda d: url_filter.judge(d, rules)
+    elif name == "best fit":
+        base = spark.createDataFrame([(i, i % 7 + 1) for i in range(40)], "piece long, length long")
+        run = lambda d: packing.best_fit(d, 10)
+    else:
+        base = full.select("doc_id", "text")
+        run = {
+            "lines": lambda d: line_dedup.dedup_lines(d, counts=True, alone=3),
+            "substrings": lambda d: substring_dedup.dedup_substrings(d, counts=True),
+            "join": lambda d: ngram_join.jaccard_join(d, n=2), "one of each": lambda d: ngram_join.one_of_each_group(d, n=2),
+            "rules": quality_rules.cascade,
+        }[name]
+    plain = run(base)
+    extended, names = with_clashes(base, base.columns)
+    out = run(extended)
+    made = [c for c in plain.columns if c not in base.columns]
+    stay = [n for n in names if n.lower() not in [m.lower() for m in made]]
+    assert sorted(out.columns) == sorted([*plain.columns, *stay])
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    rows = out.select(*[quoted(c) for c in stay]).distinct().collect()
+    assert [tuple(r) for r in rows] == [tuple("own dotted" if n == "a.b `c`" else f"own {n}" for n in stay)]
+    if name != "best fit":  # places within a length are free
+        same = [quoted(c) for c in plain.columns]
+        assert sorted(map(repr, out.select(*same).collect())) == sorted(map(repr, plain.select(*same).collect()))
+
+
+def test_roles_may_have_other_names(spark):
+    from tideline.llm import line_dedup, ngram_join
+
+    docs = spark.createDataFrame([(1, "a b\nc d", "x"), (2, "a b\nc d", "y")], "_k1 long, _lines string, text string")
+    got = {r["_k1"]: (r["_lines"], r["text"]) for r in line_dedup.dedup_lines(docs, "_k1", "_lines", alone=2).collect()}
+    assert got == {1: ("a b\nc d", "x"), 2: ("", "y")}
+    rows = ngram_join.jaccard_join(docs, "_k1", "_lines", n=2).collect()
+    assert {(r["_k1"], r["text"], r["component_id"]) for r in rows} == {(1, "x", 1), (2, "y", 1)}
+
+
+def test_rules_are_ordered_alike_in_every_call(spark):
+    from tideline.llm import quality_rules
+    from tideline.llm.common import checkpointed
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("text")
+    sample = checkpointed(quality_rules.base_columns(docs, "text"))
+    from pyspark.sql import functions as F
+
+    rules = {"dear": F.length(F.regexp_replace("text", "([a-z]+)([^a-z]+)", "$2$1")) < -1, "none": F.col("n_words") < 0,
+             "many": F.col("n_words") > 0, "half": F.col("n_words") % 2 == 0}
+    orders = [quality_rules.order_rules(sample, rules) for _ in range(5)]
+    assert all(o[0] == "many" and o[-1] == "dear" for o in orders), orders

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,6 +112,42 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             start = stop
 
 
+def shielded(*roles: str):
+    """Decorator of an operator on rows whose further columns pass through, whatever their names.
+
+    ``roles`` are the operator's parameters that name columns. Inside, the columns in a role have the role's
+    name and all others a name that no helper column has; outside they have their own again. A
+    column that passes through under the name of an output is left out.
+    """
+    def wrap(operator):
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **more):
+            bound = signature.bind(docs, *args, **more)
+            bound.apply_defaults()
+            own = {bound.arguments[r]: r for r in roles}
+            inside = {c: own.get(c, f"user_column_{i}") for i, c in enumerate(docs.columns)}
+            bound.arguments |= dict(zip(own.values(), own.values())) | {next(iter(signature.parameters)): docs.toDF(*inside.values())}
+            out = operator(*bound.args, **bound.kwargs)
+            back = {v: k for k, v in inside.items()}
+            made = {c.lower() for c in out.columns if c not in back}
+            kept = [c for c in out.columns if c not in back or back[c].lower() not in made]
+            return out.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in kept])
+
+        return run
+
+    return wrap
+
+
+def free_prefix(names: list[str]) -> str:
+    """A prefix that no name starts with, in any case."""
+    prefix = "_"
+    while any(n.lower().startswith(prefix) for n in names):
+        prefix += "_"
+    return prefix
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; a missing text is an empty one."""
     return [t or "" for t in batch.column(column).to_pylist()]

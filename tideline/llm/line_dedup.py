@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.llm.common import checkpointed, query, table
+from tideline.llm.common import checkpointed, query, shielded, table
 
 #: White space as every operator here sees it: space and U+0009 to U+000D.
 INK = r"[^\x20\x09-\x0D]"
@@ -106,6 +106,7 @@ def later_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
+@shielded("doc_id", "text")
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = 2, window: int = 2,
                 counts: bool = False, alone: int | None = None) -> DataFrame:
     """``docs`` with the later repeats of runs of ``gram + window - 1`` lines cut out of the text.

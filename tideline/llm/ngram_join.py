@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tideline.llm.common import checkpointed, map_arrow, query, slices, table
+from tideline.llm.common import checkpointed, map_arrow, query, shielded, slices, table
 from tideline.llm.components import components
 from tideline.llm.word_hashes import Words, grams, mix, words_of
 
@@ -411,6 +411,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumns({f"_k{i}": F.xxhash64(F.lit(i), F.col(doc_id), F.col(text)) for i in (1, 2)})
 
 
+@shielded("doc_id", "text")
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5,
                  percent: int = 80) -> DataFrame:
     """``docs`` without the text, with n_shingles, class_id and component_id.
@@ -427,6 +428,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     return _grouped(docs, doc_id, text, n, percent).drop("_k1", "_k2", "_group")
 
 
+@shielded("doc_id", "text")
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5,
                       percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest doc_id.

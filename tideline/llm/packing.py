@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tideline.llm.chunk_table import ChunkTable, packed
-from tideline.llm.common import checkpointed, map_arrow, map_pandas, query, slices, table, texts_of
+from tideline.llm.common import checkpointed, map_arrow, map_pandas, query, shielded, slices, table, texts_of
 
 #: White space other than a space or line feed, to either library.
 _OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
@@ -203,7 +203,8 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return plan
 
 
-def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
+@shielded("length")
+def best_fit(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """``pieces`` with sequence_id and offset.
 
     Needs a column ``length`` (1 to ``capacity``); other columns pass through. Pieces of

@@ -7,11 +7,13 @@ rejects isn't looked at by the next. The order changes the work, never the verdi
 
 from __future__ import annotations
 
+import math
+import statistics
 import time
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.llm.common import checkpointed, query, table
+from tideline.llm.common import checkpointed, free_prefix, query, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 INK = r"[^\x20\x09-\x0D]"
@@ -31,37 +33,38 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     of the whole text; null and empty texts have no words. The words in repeated 3-word
     windows are counted by position, by sorting the windows' hashes within the row.
     """
-    whole = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    text_, words_, inked_, windows_, sorted_, twice_ = (free_prefix(docs.columns) + n for n in "text words inked windows sorted twice".split())
+    whole = docs.withColumn(text_, F.coalesce(F.col(text).cast("string"), F.lit("")))
     split = whole.withColumns({
-        "_words": F.filter(F.split("_text", SPACE), lambda w: w != ""),
-        "_inked": F.filter(F.split("_text", "\n", -1), lambda line: line.rlike(INK)),
+        words_: F.filter(F.split(text_, SPACE), lambda w: w != ""),
+        inked_: F.filter(F.split(text_, "\n", -1), lambda line: line.rlike(INK)),
     })
-    words = F.col("_words")
+    words = F.col(words_)
     windows = split.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "_windows": F.when(F.size("_words") >= 3, F.transform(
-            F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(1))),
+        "n_words": F.size(words_).cast("long"),
+        windows_: F.when(F.size(words_) >= 3, F.transform(
+            F.slice(words_, 1, F.greatest(F.size(words_) - 2, F.lit(1))),
             lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))),
     })
     # most texts repeat no window; only the others are sorted
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    ordered = windows.withColumn("_sorted", F.when(repeats, F.sort_array(
-        F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    beside = F.col("_sorted")
-    twice = ordered.withColumn("_twice", F.transform(
-        F.filter("_sorted", lambda s, i: (s["h"] == F.get(beside, i - 1)["h"]) | (s["h"] == F.get(beside, i + 1)["h"])),
+    repeats = F.size(F.array_distinct(windows_)) < F.size(windows_)
+    ordered = windows.withColumn(sorted_, F.when(repeats, F.sort_array(
+        F.transform(windows_, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    beside = F.col(sorted_)
+    twice = ordered.withColumn(twice_, F.transform(
+        F.filter(sorted_, lambda s, i: (s["h"] == F.get(beside, i - 1)["h"]) | (s["h"] == F.get(beside, i + 1)["h"])),
         lambda s: s["i"]))
     covered = F.size(F.array_distinct(F.concat(
-        F.col("_twice"), F.transform("_twice", lambda i: i + 1), F.transform("_twice", lambda i: i + 2))))
+        F.col(twice_), F.transform(twice_, lambda i: i + 1), F.transform(twice_, lambda i: i + 2))))
     counted = twice.withColumns({
-        "word_chars": (F.length("_text") - removed(F.col("_text"), SPACE_CHARS)).cast("long"),
-        "n_symbols": removed(F.col("_text"), SYMBOLS).cast("long"),
-        "n_dup_lines": (F.size("_inked") - F.size(F.array_distinct("_inked"))).cast("long"),
+        "word_chars": (F.length(text_) - removed(F.col(text_), SPACE_CHARS)).cast("long"),
+        "n_symbols": removed(F.col(text_), SYMBOLS).cast("long"),
+        "n_dup_lines": (F.size(inked_) - F.size(F.array_distinct(inked_))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
     })
     return counted.withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    ).drop("_text", "_words", "_inked", "_windows", "_sorted", "_twice")
+    ).drop(text_, words_, inked_, windows_, sorted_, twice_)
 
 
 def default_rules(text: str = "text") -> dict[str, Column]:
@@ -82,23 +85,30 @@ def default_rules(text: str = "text") -> dict[str, Column]:
     }
 
 
-def order_rules(sample: DataFrame, rules: dict[str, Column]) -> list[str]:
+def order_rules(sample: DataFrame, rules: dict[str, Column], repeat: int = 20, rounds: int = 3) -> list[str]:
     """Rule names by rejections per second on the sample, most first.
 
-    The sample, with all that the rules read, is bounded by the caller. Its cost is timed
-    by running each rule alone over it, less the time without a rule.
+    The sample, with all that the rules read, is bounded by the caller. Each rule is timed alone over the
+    sample ``repeat`` times over, turn and turn about with the others, less the time without a rule;
+    of ``rounds`` times the median counts, and costs within a factor of about two count alike.
     """
-    def seconds(*columns: Column) -> float:
+    many = sample.withColumn(free_prefix(sample.columns) + "again", F.explode(F.sequence(F.lit(1), F.lit(repeat))))
+
+    def seconds(column: Column) -> float:
         start = time.perf_counter()
-        sample.select(*columns).write.format("noop").mode("overwrite").save()
+        many.select(column.alias("r")).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    n = F.count(F.lit(1))
-    rates = sample.agg(n.alias("_n"), *[F.count_if(c).alias(k) for k, c in rules.items()]).first()
-    floor = seconds(F.lit(1).alias("one"))
+    rates = sample.agg(F.count(F.lit(1)), *[F.count_if(c) for c in rules.values()]).first()
+    times: dict[str, list[float]] = {name: [] for name in ["", *rules]}
+    for _ in range(rounds + 1):
+        for name in times:
+            times[name].append(seconds(rules[name] if name else F.lit(1)))
+    cost = {name: statistics.median(t[1:]) for name, t in times.items()}  # the first round compiles code
+    least = 0.05 * cost[""]  # what can't be told from the time without a rule
     score = {
-        name: (rates[name] / max(rates["_n"], 1)) / max(seconds(rule.alias("r")) - floor, 1e-4)
-        for name, rule in rules.items()
+        name: math.log2((rate + 0.5) / (rates[0] + 1)) - round(math.log2(max(cost[name] - cost[""], least)))
+        for name, rate in zip(rules, rates[1:])
     }
     return sorted(rules, key=lambda name: (-score[name], name))
 
@@ -108,14 +118,16 @@ def cascade(docs: DataFrame, text: str = "text", rules: dict[str, Column] | None
     """``docs`` with the base columns and ``kept``.
 
     ``kept`` is false if base_failed or any rule rejects; rules run in the order that
-    ``order_rules`` finds on at most ``sample_rows`` rows, within one CASE that stops at the
-    first rejection. Null and empty texts fail the base. Every row gives one row, repeated
-    ones too; columns named like an output are replaced; an empty table gives an empty table.
+    ``order_rules`` finds on about ``sample_rows`` rows drawn from all, within one CASE that stops at the
+    first rejection. Null and empty texts fail the base; a text of any length is judged whole, within its row.
+    Every row gives one row, repeated ones too; other columns pass through, whatever their names, and may be read by
+    rules; columns named like an output are replaced; an empty table gives an empty table.
     """
     rules = default_rules(text) if rules is None else rules
     outputs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    plain = docs.select(*[f"`{c}`" for c in docs.columns if c not in outputs or c == text])
-    sample = base_columns(checkpointed(plain.select(f"`{text}`").limit(sample_rows)), text)
+    plain = docs.drop(*[F.col(f"`{c}`") for c in docs.columns if c.lower() in outputs and c != text])
+    share = sample_rows / max(plain.count(), 1)
+    sample = checkpointed(base_columns(plain.where(F.rand(11) < 1.2 * share).limit(sample_rows), text))
     based = base_columns(plain, text)
     verdict = F.when(F.col("base_failed"), False)
     for name in order_rules(sample, rules):

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tideline.llm.common import checkpointed, map_arrow, query, slices, table
+from tideline.llm.common import checkpointed, map_arrow, query, shielded, slices, table
 from tideline.llm.word_hashes import BYTE_VALUES, Words, mix, words_of
 
 _GEAR = (BYTE_VALUES >> np.uint64(16)).astype(np.uint32)
@@ -124,6 +124,7 @@ def covered_words(found: Chunks, row: int, ordinals: list[int], min_run: int) ->
     return [(a, b) for a, b in runs if b - a + 1 >= min_run]
 
 
+@shielded("doc_id", "text")
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mean_words: int = 4,
                      min_words: int = 8, min_run: int = 20, counts: bool = False) -> DataFrame:
     """``docs`` with repeated passages cut out of the text, all but their first place.

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tideline.llm.common import query, table
+from tideline.llm.common import query, shielded, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,6 +32,7 @@ def _digest(expression):
     return F.sha2(expression, 256)
 
 
+@shielded("url")
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow",
           prefix_hex: int = 8) -> DataFrame:
     """``pages`` with host, path, rule (host and path of the rule that decides, or null) and verdict.
