@@ -105,7 +105,7 @@ def order_rules(sample: DataFrame, rules: dict[str, Column], repeat: int = 20, r
         for name in times:
             times[name].append(seconds(rules[name] if name else F.lit(1)))
     cost = {name: statistics.median(t[1:]) for name, t in times.items()}  # the first round compiles code
-    least = 0.05 * cost[""]  # what can't be told from the time without a rule
+    least = 0.25 * cost[""]  # what can't be told from the time without a rule
     score = {
         name: math.log2((rate + 0.5) / (rates[0] + 1)) - round(math.log2(max(cost[name] - cost[""], least)))
         for name, rate in zip(rules, rates[1:])
