@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+import xxhash
 from small import DOCS, WORD, documents, edge_tables, story
 
 import corpus_pipeline
@@ -174,7 +175,65 @@ def test_fingerprint_tree_locates_edits(spark):
     a, b, c = (r.fingerprint for r in tree.orderBy("doc_id").collect())
     assert a == c and a[:64] != b[:64] and a.split("|")[0][64:] == b.split("|")[0][64:]
     pair = spark.createDataFrame([(a, b)], "a string, b string")
-    assert pair.select(fingerprints.differing_paragraphs(pair.a, pair.b).alias("d")).first().d == [3]
+    assert [tuple(d) for d in pair.select(fingerprints.differing_paragraphs(pair.a, pair.b).alias("d")).first().d] == [(1, 1)]
+
+
+def blocks_by_hand(text):
+    """Digests of the blocks, by the rule in words."""
+    found = set()
+    for section in re.split(r"\n[\x20\x09-\x0D]*\n", text):
+        for paragraph in section.split("\n"):
+            pieces = re.findall(r"\S+\s*", paragraph, re.ASCII)
+            block, at, count = [], 0, 0
+            while at < len(pieces):
+                block.append(pieces[at])
+                count += 1
+                word = pieces[at].rstrip(" \t\n\x0b\x0c\r")
+                last = at == len(pieces) - 1
+                if last or word[-1] in "entr.,!?" or count == 8:
+                    found.add("".join(block))
+                    block, count = [], 0
+                at += 1
+            if len(paragraph) < 240:
+                found.update(pieces)
+    return {xxhash.xxh64(b.encode(), seed=42).intdigest() & 0xFFFFFF for b in found}
+
+
+def likeness_by_hand(a, b):
+    if a == b:
+        return 1.0
+    x, y = blocks_by_hand(a), blocks_by_hand(b)
+    total = len(x) + len(y)
+    return min(2 * len(x & y) / total if total else 0.0, 1 - 1 / (total + 2))
+
+
+def test_fingerprint_likeness_by_hand(spark):
+    """near_edited and near_next of the whole result, by plain Python."""
+    rows = {r.doc_id: r for r in QUERIES["op3_document_fingerprints"](spark, FOLDER).collect()}
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect())
+    assert len(rows) == len(docs)
+    for k, (i, t) in enumerate(docs):
+        after = docs[(k + 1) % len(docs)][1]
+        edited = t[:len(t) - len(t) // 4] + after[:len(t) // 4]
+        assert rows[i].near_edited == pytest.approx(likeness_by_hand(t, edited), abs=1e-12), i
+        assert rows[i].near_next == pytest.approx(likeness_by_hand(t, after), abs=1e-12), i
+
+
+def test_fingerprint_of_small_edits(spark):
+    words = story(5, 2000).split()
+    line = " ".join(words)
+    lines = ["one two three", "four five six", "seven eight nine"]
+    texts = [line, "odd " + line, " ".join([*words[:900], "odd", *words[900:]]), "\n".join(lines), "\n".join([lines[1], lines[0], lines[2]]),
+             "a\n\nb", "a\n\nb\n\nc"]
+    trees = {r.doc_id: r for r in fingerprints.with_tree(documents(spark, texts), "text").collect()}
+    pairs = spark.createDataFrame([(k, trees[a].fingerprint, trees[a].blocks, trees[b].fingerprint, trees[b].blocks)
+                                   for k, (a, b) in enumerate([(0, 1), (0, 2), (3, 4), (5, 6), (6, 5), (0, 0)])], "k int, f string, b array<int>, g string, c array<int>")
+    out = {r.k: r for r in pairs.select("k", fingerprints.likeness(pairs.f, pairs.b, pairs.g, pairs.c).alias("near"),
+                                        fingerprints.differing_paragraphs(pairs.f, pairs.g).alias("d")).collect()}
+    places = {k: [tuple(x) for x in r.d] for k, r in out.items()}
+    assert 0.9 < out[0].near < 1 and 0.9 < out[1].near < 1 and places[0] == places[1] == [(0, 0)]
+    assert 0.5 < out[2].near < 1 and places[2] == [(0, 0), (0, 1)]
+    assert places[3] == [] and places[4] == [(2, 0)] and out[5].near == 1 and places[5] == []
 
 
 def test_fingerprint_edges(spark):

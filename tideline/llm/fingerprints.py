@@ -1,10 +1,11 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs, in DataFrame operations only.
 
-Sections are parted by blank lines, paragraphs are lines, and a paragraph's blocks are up to
-four words in a row (in short paragraphs single words too). A paragraph's digest is of its text, a
+Sections are parted by blank lines, paragraphs are lines, and a paragraph's blocks are runs of up to
+eight words that end where the content says so: after a word with one of some last characters (in short
+paragraphs single words are blocks, too). A paragraph's digest is of its text, a
 section's of its paragraphs' digests, the root of the sections' digests, so equal roots
-mean equal texts and differing branches tell where two texts differ. Blocks make an edit
-within a paragraph a matter of degree.
+mean equal texts, and walking down the branches that differ tells where two texts differ. Blocks make an edit
+within a paragraph a matter of degree: those beyond the next cut stay as they are.
 """
 
 from __future__ import annotations
@@ -18,11 +19,15 @@ from tideline.operators.materialize import number_rows
 NODE_HEX, BLOCK_HEX = 16, 6
 
 
+#: A block: up to seven words that don't end in one of the characters, and the word after them.
+BLOCK = r"(?:\S*[^entr.,!?\s]\s+){0,7}\S+\s*"
+
+
 def _blocks(paragraph: Column) -> Column:
-    """The paragraph's runs of four words and, if it is short, its single words."""
-    runs = lambda words: F.regexp_extract_all(paragraph, F.lit(rf"(?:\S+\s*){{1,{words}}}"), F.lit(0))
-    short = F.when(F.length(paragraph) < 240, runs(1)).otherwise(F.array().cast("array<string>"))
-    return F.concat(runs(4), short)
+    """The paragraph's runs of words up to the next cut and, if it is short, its single words."""
+    found = lambda pattern: F.regexp_extract_all(paragraph, F.lit(pattern), F.lit(0))
+    short = F.when(F.length(paragraph) < 240, found(r"\S+\s*")).otherwise(F.array().cast("array<string>"))
+    return F.concat(found(BLOCK), short)
 
 
 def with_tree(docs: DataFrame, text: str, prefix: str = "") -> DataFrame:
@@ -55,18 +60,31 @@ def with_tree(docs: DataFrame, text: str, prefix: str = "") -> DataFrame:
 
 
 def likeness(fingerprint: Column, blocks: Column, other_fingerprint: Column, other_blocks: Column) -> Column:
-    """1 for equal fingerprints, else the Dice coefficient of their distinct blocks (0 without any)."""
+    """1 for equal fingerprints alone, else the Dice coefficient of their distinct blocks (0 without any), a little less than 1."""
     shared = F.size(F.array_intersect(blocks, other_blocks))
     total = F.size(blocks) + F.size(other_blocks)
-    return F.when(fingerprint == other_fingerprint, 1.0).otherwise(
-        F.coalesce(F.try_divide(2.0 * shared, total), F.lit(0.0)))
+    dice = F.least(F.coalesce(F.try_divide(2.0 * shared, total), F.lit(0.0)), F.lit(1.0) - F.lit(1.0) / (total + 2))
+    return F.when(fingerprint == other_fingerprint, 1.0).otherwise(dice)
 
 
 def differing_paragraphs(fingerprint: Column, other: Column) -> Column:
-    """Indexes of the paragraphs (section by section) of the first fingerprint that the other lacks."""
-    digests = lambda f: F.regexp_extract_all(f, F.lit("([0-9a-f]+)="), F.lit(1))
-    return F.filter(F.transform(digests(fingerprint), lambda d, i: F.when(
-        ~F.array_contains(digests(other), d), i)), lambda i: i.isNotNull())
+    """(section, paragraph) of each place, from 0, at which the first fingerprint's paragraph isn't the other's.
+
+    The walk goes from the root to the sections and from those that differ to their paragraphs, by position;
+    branches with equal digests aren't opened.
+    """
+    sections = lambda f: F.split(F.substring_index(f, ":", -1), r"\|", -1)
+    digest = lambda s: F.substring_index(s, "(", 1)
+    paragraphs = lambda s: F.transform(F.split(F.regexp_extract(s, r"\((.*)\)", 1), ",", -1),
+                                       lambda p: F.substring_index(p, "=", 1))
+    there = sections(other)
+    place = "struct<section:int,paragraph:int>"
+    opened = F.transform(sections(fingerprint), lambda s, i: F.when(
+        digest(s).eqNullSafe(digest(F.get(there, i))), F.array().cast(f"array<{place}>")).otherwise(F.filter(
+            F.transform(paragraphs(s), lambda p, j: F.when(
+                ~p.eqNullSafe(F.get(paragraphs(F.get(there, i)), j)), F.struct(i.alias("section"), j.alias("paragraph")))),
+            lambda x: x.isNotNull())))
+    return F.when(fingerprint == other, F.array().cast(f"array<{place}>")).otherwise(F.flatten(opened))
 
 
 def neighbors(docs: DataFrame, doc_id: str, size: str) -> DataFrame:
