@@ -42,7 +42,9 @@ def _beta_fraction(x: str, a: str, b: str) -> str:
     """The continued fraction in I_x(a, b) = x^a (1-x)^b / (a B(a, b)) / fraction, from its far end."""
     odd = f"(-({a} + k DIV 2) * ({a} + {b} + k DIV 2) * {x} / (({a} + k - 1) * ({a} + k)))"
     even = f"((k DIV 2) * ({b} - k DIV 2) * {x} / (({a} + k - 1) * ({a} + k)))"
-    return (f"aggregate(sequence({_BETA_TERMS}, 1, -1), 1D, (f, k) -> 1 + if(k % 2 = 1, {odd}, {even}) / f)")
+    # it converges in about the square root of the larger parameter
+    terms = f"CAST(least({_BETA_TERMS}, 32 + 6 * ceil(sqrt(greatest({a}, {b})))) AS INT)"
+    return (f"aggregate(sequence({terms}, 1, -1), 1D, (f, k) -> 1 + if(k % 2 = 1, {odd}, {even}) / f)")
 
 
 def _log_gamma_ratio(a: str) -> str:
