@@ -189,24 +189,17 @@ SELECT "Year", {rs("GOWLon GOWLat")}, {r("max_sum_wave_energy", "max_sum_wave_en
   {r("total_wave_energy", "total_wave_energy", 2)}, {r("sd_sum_wave_energy", "sd_sum_wave_energy", 2)}
 FROM wave_annual w JOIN wave_coords c ON w.nk = c.nk"""))
 def annual_extremes(spark, folder):
-    monthly = _sheet(s.wave_lines(spark, folder), s.wave_coords(spark, folder), "sum_energy", True)
+    facts = s.wave_facts(s.wave_lines(spark, folder), month=True)
+    monthly = read_wave_sheet(s.wave_sheet(facts, "sum_energy", True), s.wave_coords(spark, folder), True)
     return rounded(waves.annual_extremes(monthly, "sum_wave_energy", total="total_wave_energy"), 2, GOWLon=6, GOWLat=6)
 
 
-def _sheet(lines, coords, measure, month=False, months=None):
-    return read_wave_sheet(s.wave_sheet(lines, measure, month, months), coords, month)
-
-
 def wave_table(spark, folder):
     """All wave measures at the original points."""
     lines, coords = s.wave_lines(spark, folder), s.wave_coords(spark, folder)
-    months = s.wave_months(lines)
-    sheets = [
-        _sheet(lines, coords, measure, month, months) for measure, month in (
-            ("mean_energy", False), ("mean_height", False), ("q95_height", False),
-            ("mean_energy", True), ("sum_energy", True), ("max_height", True),
-        )
-    ]
+    years, months = s.wave_facts(lines), s.wave_facts(lines, month=True)
+    sheets = [read_wave_sheet(s.wave_sheet(years, m), coords) for m in ("mean_energy", "mean_height", "q95_height")]
+    sheets += [read_wave_sheet(s.wave_sheet(months, m, True), coords, True) for m in ("mean_energy", "sum_energy", "max_height")]
     return waves.wave_frame(*sheets, s.wave_points(spark, folder))
 
 

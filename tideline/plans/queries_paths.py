@@ -106,7 +106,7 @@ FROM (SELECT DISTINCT "Year", "Month" FROM wave_lines) m CROSS JOIN wave_coords
 LEFT JOIN wave_lines w ON w."Year" = m."Year" AND w."Month" = m."Month" AND w.nk = c.nk GROUP BY 1, 2, 3, 4"""))
 def wave_sheet_from_file(spark, folder):
     """A monthly sheet written as a headerless CSV file and read from it, its columns matched by position."""
-    sheet = s.wave_sheet(s.wave_lines(spark, folder), "max_height", month=True)
+    sheet = s.wave_sheet(s.wave_facts(s.wave_lines(spark, folder), month=True), "max_height", month=True)
     path = shared_folder(spark)
     sheet.write.option("header", False).option("nullValue", "NA").csv(path)
     return rounded(tables.read_wave_file(spark, path, s.wave_coords(spark, folder), month=True), 4)

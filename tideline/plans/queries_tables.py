@@ -33,7 +33,7 @@ def typed_scan(spark, folder):
 SELECT "Year", {rs("GOWLon GOWLat")}, {r("mean_wave_energy", "measurement", 4)}
 FROM wave_annual w JOIN wave_coords c ON w.nk = c.nk"""))
 def wave_sheet_yearly(spark, folder):
-    sheet = s.wave_sheet(s.wave_lines(spark, folder), "mean_energy")
+    sheet = s.wave_sheet(s.wave_facts(s.wave_lines(spark, folder)), "mean_energy")
     return rounded(tables.read_wave_sheet(sheet, s.wave_coords(spark, folder)), measurement=4)
 
 
@@ -42,7 +42,7 @@ SELECT t."Year", t."Month", {rs("GOWLon GOWLat")}, {r("sum_energy", "measurement
 FROM (SELECT DISTINCT "Year", "Month" FROM wave_lines) t CROSS JOIN wave_coords c
 LEFT JOIN wave_month m ON m."Year" = t."Year" AND m."Month" = t."Month" AND m.nk = c.nk"""))
 def wave_sheet_monthly(spark, folder):
-    sheet = s.wave_sheet(s.wave_lines(spark, folder), "sum_energy", month=True)
+    sheet = s.wave_sheet(s.wave_facts(s.wave_lines(spark, folder), month=True), "sum_energy", month=True)
     return rounded(tables.read_wave_sheet(sheet, s.wave_coords(spark, folder), month=True), measurement=2)
 
 
@@ -197,7 +197,7 @@ SELECT t."Year", t."Month", {rs("GOWLon GOWLat")}, max_height AS measurement
 FROM (SELECT DISTINCT "Year", "Month" FROM wave_lines) t CROSS JOIN wave_coords c
 LEFT JOIN wave_month m ON m."Year" = t."Year" AND m."Month" = t."Month" AND m.nk = c.nk"""))
 def wide_sheet_by_column_name(spark, folder):
-    sheet = s.wave_sheet(s.wave_lines(spark, folder), "max_height", month=True)
+    sheet = s.wave_sheet(s.wave_facts(s.wave_lines(spark, folder), month=True), "max_height", month=True)
     names = [f"X_{n * 144 / 10 - 180}_{n * 56 / 10 - 70}" for n in range(s.NATIONS)]
     long = reshape.to_long(sheet.toDF("Year", "Month", *names), ["Year", "Month"], "gow_coords", "measurement")
     return rounded(reshape.split_coord_key(long, "gow_coords").select("Year", "Month", "GOWLon", "GOWLat", "measurement"))

@@ -120,31 +120,23 @@ def wave_lines(spark, folder) -> DataFrame:
     )
 
 
-def wave_months(lines: DataFrame) -> DataFrame:
-    """Sums, numbers and largest values of the wave lines by month and nation, which the sheets share."""
-    return written(lines.groupBy("Year", "Month", "s_nationkey").agg(
-        F.sum("energy").alias("energy"), F.count("energy").alias("n_energy"), F.sum("height").alias("height"),
-        F.count("height").alias("n_height"), F.max("height").alias("top")))
-
-
-def wave_sheet(lines: DataFrame, measure: str, month: bool = False, months: DataFrame | None = None) -> DataFrame:
-    """Wide sheet of the wave lines: one row per year (and month), one column per nation."""
-    agg = {
-        "mean_energy": "sum(energy) / sum(n_energy)",
-        "sum_energy": "sum(energy)",
-        "mean_height": "sum(height) / sum(n_height)",
-        "max_height": "max(top)",
+def wave_facts(lines: DataFrame, month: bool = False) -> DataFrame:
+    """All measures of the wave lines by year (and month) and nation, which the sheets of one kind share."""
+    ids = ["Year", "Month"] if month else ["Year"]
+    return written(lines.groupBy(*ids, "s_nationkey").agg(
+        F.avg("energy").alias("mean_energy"), F.sum("energy").alias("sum_energy"), F.avg("height").alias("mean_height"),
+        F.max("height").alias("max_height"),
         # The heights take 50 distinct values, which bounds what the percentile holds.
-        "q95_height": "percentile(height, 0.95)",
-    }[measure]
+        F.expr("percentile(height, 0.95)").alias("q95_height")))
+
+
+def wave_sheet(facts: DataFrame, measure: str, month: bool = False) -> DataFrame:
+    """Wide sheet of a measure of :func:`wave_facts`: one row per year (and month), one column per nation."""
     ids = "Year, Month" if month else "Year"
     nations = ", ".join(str(n) for n in range(NATIONS))
-    source = lines if measure == "q95_height" else wave_months(lines) if months is None else months
-    return lines.sparkSession.sql(
-        f"""
-        SELECT * FROM (SELECT {ids}, s_nationkey, {agg} AS v FROM {{source}} GROUP BY {ids}, s_nationkey)
-        PIVOT (any_value(v) FOR s_nationkey IN ({nations}))
-        """, source=source)
+    return facts.sparkSession.sql(
+        f"SELECT * FROM (SELECT {ids}, s_nationkey, {measure} FROM {{facts}}) PIVOT (any_value({measure}) FOR s_nationkey IN ({nations}))",
+        facts=facts)
 
 
 def wave_coords(spark, folder) -> DataFrame:
