@@ -109,7 +109,7 @@ TERMS = dict(zip(_NAMES, _COMBOS))
 
 
 def wide_draws(spark, folder):
-    """One row per draw, one column per coefficient of the four-way interaction."""
+    """One row per draw, one column per coefficient of the four-way interaction: the first 16 elements, which are all it has."""
     return table(spark, folder, "embeddings").selectExpr(
         *[f"CAST(embedding[{i}] AS DOUBLE) AS `{n}`" for i, n in enumerate(_NAMES)])
 
@@ -190,6 +190,7 @@ def _site_group_draws(spark, folder):
   JOIN draws b ON b.draw = a.draw AND b.param = 25 + n_regionkey)
 SELECT site, grp AS "group", {r("avg(value)", "mean", 8)}, {r("quantile_cont(value, 0.05)", "lower_90_q", 8)}, {r("quantile_cont(value, 0.95)", "upper_90_q", 8)} FROM c GROUP BY 1, 2"""))
 def site_coefficients(spark, folder):
+    """Sites are as many elements as there are nations, groups as many as regions; the others are no parameters here."""
     both = posterior.site_coefficients(*_site_group_draws(spark, folder))
     summary = posterior.posterior_summary(both, ["site", "group"], probs=(0.9,))
     return rounded(summary.select("site", "group", "mean", "lower_90_q", "upper_90_q"), 8)

@@ -295,11 +295,13 @@ def _two_series(spark, folder):
 
 @query("full_join_series", _TWO_SERIES.format(how="FULL"))
 def full_join_series(spark, folder):
+    """Two halves of the series, cut so that each lacks some keys of the other."""
     return joins.full_join(*_two_series(spark, folder))
 
 
 @query("right_join_series", _TWO_SERIES.format(how="RIGHT"))
 def right_join_series(spark, folder):
+    """The same halves as in ``full_join_series``."""
     return joins.right_join(*_two_series(spark, folder))
 
 
@@ -307,6 +309,7 @@ def right_join_series(spark, folder):
 SELECT DISTINCT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey
   AND o_orderstatus = 'P' AND o_totalprice > 250000)""")
 def unmatched_keys(spark, folder):
+    """Customers without a large pending order; the filter makes keys that miss."""
     customer = table(spark, folder, "customer")
     big = table(spark, folder, "orders").where("o_orderstatus = 'P' AND o_totalprice > 250000")
     return joins.unmatched_keys(customer, big.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
