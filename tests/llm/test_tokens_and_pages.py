@@ -330,3 +330,25 @@ def test_pipeline_on_awkward_documents(spark):
         docs.count()
 
 
+
+
+def test_worker_tables_outlive_tasks(spark):
+    """One process that runs several tasks segments a word once."""
+    from tideline.llm.common import map_arrow
+    from tideline.llm.chunk_table import once_per_worker
+
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        def make():
+            made.add(1)
+            return object()
+
+        for b in batches:
+            once_per_worker("a test", make)
+            yield b
+
+    rows = spark.range(64).repartition(64)
+    assert map_arrow(rows, run, rows.schema).count() == 64
+    assert map_arrow(rows, run, rows.schema).count() == 64
+    assert 1 <= made.value <= 64

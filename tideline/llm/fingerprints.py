@@ -109,7 +109,8 @@ def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     The edited text has its last quarter (rounded down) replaced by as many first code points
     of the next document, or all it has. Null texts are empty; a document alone is its own
     next one; rows equal in doc_id and text are one document and get equal results; every
-    row gives one row; further columns are ignored; an empty table gives an empty table.
+    row gives one row; further columns are ignored; an empty table gives an empty table. A long text's sections and
+    blocks are arrays within its row: a task holds a few times the bytes of its longest text.
     """
     clean = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     keyed = clean.withColumns({f"_k{i}": F.xxhash64(F.lit(i), "doc_id", "_text") for i in (1, 2)})

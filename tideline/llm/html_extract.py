@@ -336,10 +336,11 @@ def training_pages(pages: DataFrame, sample_rows: int, longest: int, key: str =
 def extract(pages: DataFrame, sample_rows: int = 200, longest: int = 50_000, key: str = "page_id") -> DataFrame:
     """``pages`` without html, with text (the main text) and n_chars.
 
-    Trained on the driver on a bounded sample, applied to every whole page. Null and empty
-    pages have an empty text. Where few or no pages name their article, made-up pages with the
-    texts of sampled ones are learnt from. Every row gives one row, repeated ones too; other columns pass through; columns named like an output are
-    replaced; an empty table gives an empty table.
+    Trained on the driver on at most ``sample_rows`` pages of at most ``longest`` characters (by the hash of the key, so
+    ties and repeated rows don't matter), applied to every whole page; the reader takes time in proportion to a page's length, and
+    a task holds the tree of its longest page. Null and empty pages have an empty text. Where few or no pages name
+    their article, made-up pages with the texts of sampled ones are learnt from. Every row gives one row, repeated ones
+    too; other columns pass through; columns named like an output are replaced; an empty table gives an empty table.
     """
     model = pages.sparkSession.sparkContext.broadcast(pickle.dumps(fit(training_pages(pages, sample_rows, longest, key))))
     kept = [c for c in pages.columns if c not in ("html", "text", "n_chars")]

@@ -118,8 +118,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gra
     it; without it, repeats of fewer lines than a run stay, however long. Blank lines
     belong to no run and stay. A text of which nothing stays is empty; a null text stays
     null; rows equal in doc_id and text are one document and are cut alike. Null doc_ids
-    come first. Other columns pass through; with ``counts``, n_lines and n_deleted (without
-    blank lines) are added and replace columns of these names.
+    come first. Other columns pass through, whatever their names; with ``counts``, n_lines and n_deleted (without
+    blank lines) are added and replace columns of these names. A long text's lines are an array within its
+    row, so a task holds a few times the bytes of its longest text. An empty table gives an empty table.
     """
     k1, k2 = _digests(F.col(doc_id), F.col(text))
     gone = (

@@ -423,7 +423,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     reach, itself included; a document without words is in a component of its own. Null
     texts are empty; rows that repeat a doc_id take part each by its own text; a null doc_id
     is never the smallest if there is another. Every row gives one row; other columns pass
-    through; columns named like an output are replaced; an empty table gives an empty table.
+    through, whatever their names; columns named like an output are replaced; an empty table gives an empty
+    table. A text above 1 MB is hashed alone, with some tens of bytes per byte of it; its set is 8 bytes a shingle.
     """
     return _grouped(docs, doc_id, text, n, percent).drop("_k1", "_k2", "_group")
 

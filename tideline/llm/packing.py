@@ -20,14 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tideline.llm.chunk_table import ChunkTable, packed
+from tideline.llm.chunk_table import ChunkTable, once_per_worker, packed
 from tideline.llm.common import checkpointed, map_arrow, map_pandas, query, shielded, slices, table, texts_of
 
 #: White space other than a space or line feed, to either library.
 _OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
     map(chr, range(0x2000, 0x200B)))
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
-_WORKER: dict = {}
 
 
 def spaced_words(text: str) -> list[str]:
@@ -86,12 +85,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (hash(files.value), bound)
-        if _WORKER.get("key") != key:
+        def tables():
             encode = word_tokenizer(*files.value)
-            _WORKER.update(key=key, first=ChunkTable(encode, bound),
-                           later=ChunkTable(lambda parts: encode([" " + p for p in parts]), bound))
-        first, later = _WORKER["first"], _WORKER["later"]
+            return ChunkTable(encode, bound), ChunkTable(lambda parts: encode([" " + p for p in parts]), bound)
+
+        first, later = once_per_worker(("words", hash(files.value), bound), tables)
         for batch in slices(batches, text):
             parts = [spaced_words(t) for t in texts_of(batch, text)]
             first.learn([p[:1] for p in parts])
@@ -207,7 +205,7 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 def best_fit(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """``pieces`` with sequence_id and offset.
 
-    Needs a column ``length`` (1 to ``capacity``); other columns pass through. Pieces of
+    Needs a column ``length`` (1 to ``capacity``); other columns pass through, whatever their names. Pieces of
     one length are told apart by their partition and place, written with the rows,
     so a length that a third of all pieces have is ranked by many tasks.
     """
@@ -253,7 +251,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null
     and empty texts are one piece of the end id. ``ranks_path`` may name the same vocabulary as
     ranks, which is faster. Repeated rows and null doc_ids are packed
-    as any other row; further columns are ignored; an empty table gives an empty table.
+    as any other row; further columns are ignored; an empty table gives an empty table. Pieces of one length tie: which
+    takes which place hangs on the partitions. A long text's ids are held once, four bytes each, in its task.
     """
     return best_fit(token_pieces(docs, tokenizer_path, capacity, end_id, ranks_path), capacity)
 

@@ -15,12 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tideline.llm.chunk_table import ChunkTable, packed
+from tideline.llm.chunk_table import ChunkTable, once_per_worker, packed
 from tideline.llm.common import map_arrow, query, slices, table, texts_of, with_columns
 
 MARK = "▁"
 _BORDER = re.compile("(?<=[^ ]) (?=.)", re.DOTALL)
-_WORKER: dict = {}
 
 
 def marked_words(text: str) -> list[str]:
@@ -81,10 +80,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (hash(model.value), bound)
-        if _WORKER.get("key") != key:
-            _WORKER.update(key=key, table=PieceTable(model.value, bound))
-        known: PieceTable = _WORKER["table"]
+        known: PieceTable = once_per_worker(("pieces", hash(model.value), bound), lambda: PieceTable(model.value, bound))
         end = np.asarray([known.processor.eos_id()] if end_id else [], "<u4").tobytes()
         for batch in slices(batches, text):
             chunked = [marked_words(t) for t in texts_of(batch, text)]

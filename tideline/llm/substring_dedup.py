@@ -135,7 +135,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     space after them; nothing else changes. A repeated passage loses all but its words
     before its first cut and after its last, a few on average. Shorter texts and null texts
     stay as they are; a text of which nothing stays is empty. Rows equal in doc_id and
-    text are one document and cut alike; null doc_ids come first. Other columns pass through;
+    text are one document and cut alike; null doc_ids come first. A text above 1 MB is chunked alone, with some
+    tens of bytes per byte of it. An empty table gives an empty table. Other columns pass through, whatever their names;
     with ``counts``, n_cut_words is added and replaces a column of that name.
     """
     keyed = _keyed(docs, doc_id, text)

@@ -40,8 +40,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     ``rules``: host, path, verdict (allow or block). A rule fits its host and all subdomains
     where the URL's path starts with the rule's; without a fitting rule the verdict is
     ``default``. Null, empty and malformed URLs have an empty host, which fits no rule.
-    Every row of ``pages`` gives one row, repeated ones too; columns named like an output
-    are replaced. Rules that are given twice count once; rules with a null or an empty
+    Every row of ``pages`` gives one row, repeated ones too; other columns pass through, whatever their names; columns
+    named like an output are replaced. A long URL is cut at the lengths that rule paths have, so it makes no more expressions
+    than a short one with as many host labels. Ties between rules of one length go to the longer host, then to block. Rules that are given twice count once; rules with a null or an empty
     host fit nothing. No table has to fit into memory: small rules are broadcast by Spark
     on their measured size, large ones meet the expressions in a shuffle.
     """
