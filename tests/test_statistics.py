@@ -389,3 +389,60 @@ def test_waic_shuffles_the_draws_once(spark):
     assert plan.count("Exchange") == 1 and plan.count("Range") == 1
     total = posterior.waic(ll)._jdf.queryExecution().executedPlan().toString()
     assert total.count("Exchange hashpartitioning") == 1
+
+
+def _hierarchy(spark, draws=40):
+    """Observations with repeated, missing and unmatched keys, and draws with missing values."""
+    obs = spark.createDataFrame(
+        [(i, i % 3, (i % 3) % 2, i % 2, float(i % 5 - 2), 1.0 + i) for i in range(12)]
+        + [(3, 1, 1, 0, 0.5, 4.0), (None, 0, 0, 1, 1.0, 2.0), (None, 2, 0, 0, 1.0, 3.0), (90, 9, 0, 0, 1.0, 1.0),
+           (91, 1, 1, 1, None, 2.0), (92, None, 1, 1, 1.0, 2.0), (93, 2, 0, 1, 1.0, None)],
+        "obs long, site int, `group` int, study int, x double, y double")
+    draw = spark.range(draws).withColumnRenamed("id", "draw")
+    wave = lambda name, k: F.sin(F.col("draw") * k + F.col(name))
+    per = lambda name, n: draw.crossJoin(spark.range(n).select(F.col("id").cast("int").alias(name)))
+    site = per("site", 3).select("draw", "site", F.when(F.col("draw") != 5, wave("site", 1.7)).alias("beta1"), wave("site", 0.3).alias("beta2"))
+    group = per("group", 2).select("draw", "group", wave("group", 2.1).alias("mu1"), wave("group", 0.9).alias("mu2"))
+    study = per("study", 2).select("draw", "study", (F.abs(wave("study", 1.1)) + 0.5).alias("sd_e"))
+    return obs, site, group, study
+
+
+@pytest.mark.parametrize("most_draws, fits_a_part", [(1 << 16, 1 << 22), (1 << 16, 50), (10, 50), (1 << 16, 1)])
+def test_fits_by_observation_are_those_of_the_long_rows(spark, most_draws, fits_a_part):
+    model = _hierarchy(spark)
+    fits = posterior.observed_fits(*model, most_draws=most_draws, fits_a_part=fits_a_part)
+    key = lambda r: (r["obs"] is None, r["obs"] or 0)
+    for table in (posterior.residual_table, posterior.fitted_table):
+        got, want = (sorted(table(f).collect(), key=key) for f in (fits, posterior.pointwise_loglik(*model)))
+        assert len(got) == len(want) == 15
+        for a, b in zip(got, want):
+            assert a.asDict().keys() == b.asDict().keys() and a["obs"] == b["obs"]
+            for c in a.asDict():
+                if c in ("y", "resid") and a["obs"] in (None, 3):
+                    continue  # any of the repeated observation's values
+                assert a[c] == (None if b[c] is None else pytest.approx(b[c], rel=1e-12)), (a["obs"], c)
+
+
+def test_one_draw_has_no_interval(spark):
+    model = _hierarchy(spark, draws=1)
+    rows = posterior.residual_table(posterior.observed_fits(*model)).where("obs = 4").collect()
+    assert len(rows) == 1 and rows[0]["y_hat"] is not None and rows[0]["y_hat_L"] is None
+
+
+@pytest.mark.parametrize("name", ["residual_table"])
+def test_fits_of_all_draws_are_not_written(spark, monkeypatch, name):
+    from __spark_entry__ import QUERIES
+
+    rows = []
+
+    def counting(df):
+        out = written(df)
+        rows.append(out.count())
+        return out
+
+    written = quantiles.written
+    monkeypatch.setattr(quantiles, "written", counting)
+    monkeypatch.setattr(posterior, "written", counting)
+    folder = "/root/testdata/sf0.001"
+    assert QUERIES[name](spark, folder).count() == 10
+    assert sum(rows) <= 2 * 10  # a row per observation, where there are 500 draws of each

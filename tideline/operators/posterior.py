@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -23,6 +24,11 @@ from .rows import delta_to_best, sorted_by
 
 #: Points of a grid up to which effects are counted; what is known of each point's ranks goes to every task.
 MOST_POINTS = 1 << 16
+#: Draws of a place up to which they travel as one row; the fits of a place with more are sorted over all tasks.
+MOST_DRAWS = 1 << 16
+#: Fits that a task is dealt at a time: observations of a place come in parts of about so many.
+FITS_A_PART = 1 << 22
+PLACE = ["site", "group", "study"]
 
 
 def prob_name(prefix: str, prob: float) -> str:
@@ -69,7 +75,7 @@ def _shortest(ranks: DataFrame, keys: list[str], prob: float) -> DataFrame:
     """The shortest interval of ranked draws."""
     gap = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * float(prob)).cast("long")))
     lower = ranks.select("*", (F.col("_rank") + gap).alias("_end")).where("_end <= n").drop("_rank", "n")
-    upper = ranks.select(F.col("_group").alias("_in"), F.col("_rank").alias("_end"), F.col("_v").alias("_upper"))
+    upper = ranks.where(F.col("_rank") > gap).select(F.col("_group").alias("_in"), F.col("_rank").alias("_end"), F.col("_v").alias("_upper"))
     spans = lower.join(upper, (lower["_group"] == upper["_in"]) & (lower["_end"] == upper["_end"]))
     best = spans.groupBy(*[f"`{k}`" for k in keys]).agg(
         F.min(F.struct((F.col("_upper") - F.col("_v")).alias("width"), F.col("_v").alias("lower"),
@@ -260,6 +266,14 @@ def site_coefficients(
     return both.withColumn("value", F.col("value") + F.col("_group_value")).drop("_group_value")
 
 
+def _place_draws(obs: DataFrame, site_draws: DataFrame, group_draws: DataFrame, study_draws: DataFrame) -> DataFrame:
+    """The draws of each (site, group, study) that has observations."""
+    return (
+        obs.select(*PLACE).distinct().join(site_draws, "site")
+        .join(group_draws, ["group", "draw"]).join(study_draws, ["study", "draw"])
+    )
+
+
 def pointwise_loglik(
     obs: DataFrame, site_draws: DataFrame, group_draws: DataFrame, study_draws: DataFrame
 ) -> DataFrame:
@@ -270,12 +284,7 @@ def pointwise_loglik(
     each (site, group, study) are put together first; the observations, of which there
     are many more, meet them in the last join alone, whose result is what is asked for.
     """
-    places = ["site", "group", "study"]
-    draws = (
-        obs.select(*places).distinct().join(site_draws, "site")
-        .join(group_draws, ["group", "draw"]).join(study_draws, ["study", "draw"])
-    )
-    rows = obs.join(draws, places)
+    rows = obs.join(_place_draws(obs, site_draws, group_draws, study_draws), PLACE)
     loc = F.col("mu1") + F.col("beta1") + (F.col("mu2") + F.col("beta2")) * F.col("x")
     resid = (F.log("y") - F.col("y_loc")) / F.col("sd_e")
     return rows.withColumn("y_loc", loc).select(
@@ -286,9 +295,84 @@ def pointwise_loglik(
     )
 
 
-def residual_table(fits: DataFrame, prob: float = 0.95, fit: Column | None = None) -> DataFrame:
-    """Per observation: mean fitted value, shortest interval, residual."""
-    fitted = fits.select("obs", "y", (F.exp("y_loc") if fit is None else fit).alias("_fit"))
+@dataclass(frozen=True)
+class ObservedFits:
+    """Fits by observation, so that the product of observations and draws is neither shuffled nor written.
+
+    ``whole`` has one row per observation: obs, y and the arrays y_loc and y_loc_mu over its draws. ``rest`` has, one per
+    row as of :func:`pointwise_loglik`, the fits of observations that repeat an obs or have too many draws for
+    a row; None if there are none. ``long`` has those of all observations.
+    """
+
+    whole: DataFrame
+    rest: DataFrame | None
+    long: DataFrame
+
+
+def observed_fits(
+    obs: DataFrame, site_draws: DataFrame, group_draws: DataFrame, study_draws: DataFrame,
+    most_draws: int = MOST_DRAWS, fits_a_part: int = FITS_A_PART,
+) -> ObservedFits:
+    """The fits of :func:`pointwise_loglik`, by observation.
+
+    Each place's draws are packed into one row and sent to the parts of its observations, which are cut by the
+    number of their fits, so a place that most observations have is dealt to many tasks.
+    """
+    model = (site_draws, group_draws, study_draws)
+    draws = _place_draws(obs, *model)
+    counted = obs.join(draws.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_n")), PLACE)
+    alone = F.count(F.lit(1)) == 1
+    by_obs = written(counted.groupBy("obs").agg(alone.alias("_alone"), F.any_value(F.struct(*PLACE, "x", "y", "_n")).alias("_row")))
+    fitting = F.col("_alone") & (F.col("_row._n") <= most_draws)
+    others = by_obs.where(~fitting).select("obs")
+    rows = by_obs.where(fitting).select("obs", "_row.*")
+    parts = rows.groupBy(*PLACE).agg(F.ceil(F.sum("_n") / fits_a_part).alias("_parts"))
+    tasks = min(2 * (parts.agg(F.sum("_parts")).first()[0] or 1), 10_000)  # more parts than that share tasks
+    dealt = rows.join(parts, PLACE).withColumn("_part", F.pmod(F.xxhash64("obs"), F.col("_parts"))).drop("_parts", "_n")
+    packed = draws.join(parts, PLACE).groupBy(*PLACE, "_parts").agg(
+        F.collect_list(F.struct("mu1", "mu2", "beta1", "beta2")).alias("_draws"))
+    sent = packed.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    keys = [*PLACE, "_part"]
+    met = dealt.repartition(tasks, *keys).join(sent.repartition(tasks, *keys), keys)
+    x = F.col("x")
+    whole = met.select(
+        "obs", "y",
+        F.transform("_draws", lambda d: d["mu1"] + d["beta1"] + (d["mu2"] + d["beta2"]) * x).alias("y_loc"),
+        F.transform("_draws", lambda d: d["mu1"] + d["mu2"] * x).alias("y_loc_mu"))
+    rest = None if others.isEmpty() else pointwise_loglik(natural_join(obs, others, ["obs"], "left_semi"), *model)
+    return ObservedFits(whole, rest, pointwise_loglik(obs, *model))
+
+
+def _whole_residuals(whole: DataFrame, prob: float, loc: str) -> DataFrame:
+    """The residual table of rows that hold all fits of their observation."""
+    n = F.size("_v")
+    sized = whole.select("obs", "y", F.sort_array(F.array_compact(F.transform(loc, F.exp))).alias("_v")).select(
+        "*", F.greatest(F.lit(1), F.least(n - 1, F.bround(n * float(prob)).cast("int"))).alias("_gap"))
+    upper = F.sequence(F.col("_gap"), n - 1)
+    spans = F.transform(upper, lambda i: F.struct(
+        (F.col("_v")[i] - F.col("_v")[i - F.col("_gap")]).alias("width"), F.col("_v")[i - F.col("_gap")].alias("lower"),
+        F.col("_v")[i].alias("upper")))
+    best = sized.select(
+        "obs", "y", F.try_divide(F.aggregate("_v", F.lit(0.0), lambda total, v: total + v), n).alias("y_hat"),
+        F.when(n > F.col("_gap"), F.array_min(spans)).alias("_s"))
+    return best.select(
+        "obs", "y", "y_hat", F.col("_s.lower").alias("y_hat_L"), F.col("_s.upper").alias("y_hat_U"), (F.col("y") - F.col("y_hat")).alias("resid"))
+
+
+def residual_table(
+    fits: DataFrame | ObservedFits, prob: float = 0.95, fit: Column | None = None, loc: str = "y_loc",
+) -> DataFrame:
+    """Per observation: mean fitted value, shortest interval, residual.
+
+    The fitted value is exp of the column ``loc``, or the expression ``fit`` of the rows of :func:`pointwise_loglik`.
+    Fits by observation are summarized in their rows; only others are sorted over all tasks.
+    """
+    if isinstance(fits, ObservedFits):
+        if fit is not None:
+            return residual_table(fits.long, prob, fit)
+        whole = _whole_residuals(fits.whole, prob, loc)
+        return whole if fits.rest is None else whole.unionByName(residual_table(fits.rest, prob, loc=loc))
+    fitted = fits.select("obs", "y", (F.exp(loc) if fit is None else fit).alias("_fit"))
     means = fitted.groupBy("obs").agg(F.any_value("y").alias("y"), F.avg("_fit").alias("y_hat"))
     shortest = hpd_interval(fitted, ["obs"], "_fit", prob).withColumnsRenamed(
         {"lower": "y_hat_L", "upper": "y_hat_U"}
@@ -296,9 +380,9 @@ def residual_table(fits: DataFrame, prob: float = 0.95, fit: Column | None = Non
     return natural_join(means, shortest, ["obs"], "left").withColumn("resid", F.col("y") - F.col("y_hat"))
 
 
-def fitted_table(fits: DataFrame, prob: float = 0.95) -> DataFrame:
+def fitted_table(fits: DataFrame | ObservedFits, prob: float = 0.95) -> DataFrame:
     """Per observation: the fitted value and the fit of its group alone, each with its shortest interval, and the residual."""
     own = residual_table(fits, prob)
-    group = residual_table(fits, prob, F.exp("y_loc_mu")).select(
+    group = residual_table(fits, prob, loc="y_loc_mu").select(
         "obs", F.col("y_hat").alias("y_hat_mu"), F.col("y_hat_L").alias("y_hat_mu_L"), F.col("y_hat_U").alias("y_hat_mu_U"))
     return natural_join(own, group, ["obs"], "left")

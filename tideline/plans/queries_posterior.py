@@ -196,8 +196,8 @@ def site_coefficients(spark, folder):
     return rounded(summary.select("site", "group", "mean", "lower_90_q", "upper_90_q"), 8)
 
 
-def _fits(spark, folder):
-    """Log-likelihood of each supplier's balance under each draw (sites are nations)."""
+def _model(spark, folder):
+    """Each supplier's balance and the draws of sites (nations), groups and studies."""
     emb = table(spark, folder, "embeddings")
 
     def per(name, count, cols):
@@ -214,7 +214,12 @@ def _fits(spark, folder):
         F.col("s_suppkey").alias("obs"), F.col("s_nationkey").alias("site"), F.col("n_regionkey").alias("group"),
         F.pmod("s_nationkey", F.lit(4)).cast("int").alias("study"), (F.pmod("s_suppkey", F.lit(7)) - 3).alias("x"),
         (F.abs("s_acctbal") / 1000 + 0.1).alias("y"))
-    return posterior.pointwise_loglik(obs, site, group, study)
+    return obs, site, group, study
+
+
+def _fits(spark, folder):
+    """Log-likelihood of each supplier's balance under each draw."""
+    return posterior.pointwise_loglik(*_model(spark, folder))
 
 
 _FITS = """WITH o AS (SELECT s_suppkey AS obs, s_nationkey AS site, n_regionkey AS grp, s_nationkey % 4 AS study, s_suppkey % 7 - 3 AS x,
@@ -242,7 +247,7 @@ def pointwise_log_likelihood(spark, folder):
 , m AS (SELECT obs, any_value(y) AS y, avg(fit) AS y_hat FROM v GROUP BY 1)
 SELECT m.obs, {r("y", "y")}, {r("y_hat", "y_hat")}, {r("lo", "y_hat_L")}, {r("hi", "y_hat_U")}, {r("y - y_hat", "resid")} FROM m JOIN w ON m.obs = w.obs AND rn = 1""")
 def residual_table(spark, folder):
-    return rounded(posterior.residual_table(_fits(spark, folder)))
+    return rounded(posterior.residual_table(posterior.observed_fits(*_model(spark, folder))))
 
 
 _PROBS = (0.99, 0.95, 0.9)
