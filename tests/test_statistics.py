@@ -429,7 +429,7 @@ def test_one_draw_has_no_interval(spark):
     assert len(rows) == 1 and rows[0]["y_hat"] is not None and rows[0]["y_hat_L"] is None
 
 
-@pytest.mark.parametrize("name", ["residual_table"])
+@pytest.mark.parametrize("name", ["residual_table", "fits_of_sites_and_groups"])
 def test_fits_of_all_draws_are_not_written(spark, monkeypatch, name):
     from __spark_entry__ import QUERIES
 

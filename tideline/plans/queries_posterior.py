@@ -323,4 +323,4 @@ SELECT a.obs, {r("a.y", "y")}, {r("a.f", "y_hat")}, {r("a.lo", "y_hat_L")}, {r("
  {r("b.f", "y_hat_mu")}, {r("b.lo", "y_hat_mu_L")}, {r("b.hi", "y_hat_mu_U")} FROM m a JOIN m b ON a.obs = b.obs AND a.kind = 'own' AND b.kind = 'mu'""")
 def fits_of_sites_and_groups(spark, folder):
     """Fitted values of the observations and of their groups alone, with their intervals."""
-    return rounded(posterior.fitted_table(_fits(spark, folder)))
+    return rounded(posterior.fitted_table(posterior.observed_fits(*_model(spark, folder))))
