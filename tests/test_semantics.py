@@ -211,3 +211,36 @@ def test_far_points_find_their_nearest_cell(spark):
     points = spark.createDataFrame([(0.4, 0.4), (179.9, 0.0), (-100.0, -80.0), (30.0, 0.5)], "Longitude double, Latitude double")
     got = {r.Longitude: r.non_na_cell for r in nearest_valid_cell(points, cells).collect()}
     assert got == {0.4: 1, 179.9: 2, -100.0: 1, 30.0: 2}
+
+
+def test_analysis_rows_write_no_row_twice_for_a_second_wave(spark, monkeypatch):
+    from tideline.operators import waves as wave_ops
+    from tideline.plans import deviations
+
+    survey = spark.createDataFrame(
+        [(i, "s", f"site{i // 3}", "e", 2000 + i % 3, float(i // 3), 1.0) for i in range(18)]
+        + [(90, "s", "site0", "e", 1990, 0.0, 1.0), (91, "s", "far", "e", 2000, 50.0, 1.0), (92, None, None, "e", 2001, None, 1.0),
+           (93, "t", "few", "other", 2000, 0.0, 1.0)],
+        "obs_id int, Study string, Site string, ECOREGION string, Year int, Latitude double, Longitude double")
+    measures = wave_ops.WAVE_MEASURES
+    waves = spark.createDataFrame(
+        [(2000 + y, lat, 1.0, *[None if m == 0 and (k == 1 or y == 2) else float(k + y + m) for m in range(len(measures))])
+         for lat in [0.0, 0.000001, 1.0, 2.0, 3.0, 4.0, 5.0, None] for y in range(3) for k in range(5)],
+        "Year int, Latitude double, Longitude double, " + ", ".join(f"{m} double" for m in measures))
+    sizes = []
+
+    def counting(df):
+        out = written(df)
+        sizes.append(out.count())
+        return out
+
+    written = deviations.written
+    window = (1995, 2005)
+    inside = survey.where("Year BETWEEN 1995 AND 2005")
+    want = deviations.analysis_rows(deviations.with_waves(inside, waves, measures, window), min_rows=1, min_sites=4)
+    monkeypatch.setattr(deviations, "written", counting)
+    got = deviations.wave_analysis_rows(inside, waves, measures, window, min_rows=1, min_sites=4)
+    assert got.columns == [c for c in survey.columns] + ["n_per_site", "sites_per_ecoregion"] + want.columns[len(survey.columns):-2]
+    rows = lambda df: sorted(map(str, df.select(sorted(want.columns)).collect()))
+    assert rows(got) == rows(want) and len(rows(want)) > 4 * 18
+    assert sizes and sum(sizes) <= inside.count()

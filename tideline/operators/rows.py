@@ -27,9 +27,12 @@ def year_range(df: DataFrame, keys: Sequence[str] = ("SiteName",), year: str = "
     )
 
 
-def min_obs(df: DataFrame, keys: Sequence[str], more_than: int = 2, name: str = "n_per_site") -> DataFrame:
-    """Rows of groups with more than the given number of rows, and that number."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > more_than)
+def min_obs(
+    df: DataFrame, keys: Sequence[str], more_than: int = 2, name: str = "n_per_site", weight: str | None = None,
+) -> DataFrame:
+    """Rows of groups with more than the given number of rows, and that number; with ``weight`` a row counts as so many."""
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    sizes = df.groupBy(*keys).agg(size.alias(name)).where(F.col(name) > more_than)
     return natural_join(df, sizes, list(keys), "inner")
 
 

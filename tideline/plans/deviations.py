@@ -10,7 +10,7 @@ from ..functions.labels import override_in_boxes
 from ..operators.climate import anomaly, seasonal_means, site_means, stress_counts
 from ..operators.filters import complete_cases, study_window
 from ..operators.joins import natural_join, reduce_left_join, rounded_coord_join
-from ..operators.materialize import cut
+from ..operators.materialize import written
 from ..operators.rows import min_members, min_obs
 
 SITE = "site"
@@ -37,12 +37,14 @@ def with_waves(
 ) -> DataFrame:
     """Add the year's wave measures, their site means and the deviations.
 
-    Coordinates are joined on rounded integer keys.
+    Coordinates are joined on rounded integer keys. The means, one row per site, come first: the measures may be
+    several rows a site and year, so what their join gives is neither shuffled nor joined again.
     """
     inside = study_window(waves, *window).select("Year", "Latitude", "Longitude", *measures)
     means = site_means(inside, ["Latitude", "Longitude"], measures)
-    merged = rounded_coord_join(survey, inside, also=["Year"])
-    return anomaly(rounded_coord_join(merged, means), measures)
+    merged = rounded_coord_join(rounded_coord_join(survey, means), inside, also=["Year"])
+    site = [f"{m}_site" for m in measures]
+    return anomaly(merged.select(*survey.columns, *measures, *site), measures)
 
 
 def with_canopy(df: DataFrame, canopy: DataFrame) -> DataFrame:
@@ -53,10 +55,30 @@ def with_canopy(df: DataFrame, canopy: DataFrame) -> DataFrame:
     )
 
 
-def analysis_rows(df: DataFrame, needed: str = "mean_wave_energy_dev", min_rows: int = 2, min_sites: int = 5) -> DataFrame:
+def analysis_rows(
+    df: DataFrame, needed: str = "mean_wave_energy_dev", min_rows: int = 2, min_sites: int = 5, weight: str | None = None,
+) -> DataFrame:
     """Rows of sites with enough rows, then of ecoregions with enough such sites.
 
-    The table is read three times, so it is written out once first.
+    With ``weight`` a row stands for so many; those that stand for none are left out. The table is read three
+    times, so it is written out once first.
+    """
+    present = written(complete_cases(df, [needed]) if weight is None else df.where(F.col(weight) > 0))
+    return min_members(min_obs(present, ["Study", "Site"], min_rows, weight=weight), "ECOREGION", "Site", min_sites)
+
+
+def wave_analysis_rows(
+    survey: DataFrame, waves: DataFrame, measures: Sequence[str], window: tuple[int, int],
+    needed: str = "mean_wave_energy", min_rows: int = 2, min_sites: int = 5,
+) -> DataFrame:
+    """:func:`analysis_rows` of :func:`with_waves`, by the deviation of the measure ``needed``.
+
+    A survey row meets several wave rows where a site and year have several. How many of them have the deviation is
+    counted first and survey rows stand for so many, so sites are chosen on survey rows;
+    only kept ones meet their waves, last.
     """
-    present = cut(complete_cases(df, [needed]))
-    return min_members(min_obs(present, ["Study", "Site"], min_rows), "ECOREGION", "Site", min_sites)
+    place = ["Year", "Latitude", "Longitude"]
+    counts = with_waves(survey.select(*place).distinct(), waves, [needed], window).groupBy(*place).agg(F.count(f"{needed}_dev").alias("_met"))
+    met = natural_join(survey, counts, place, "inner")
+    kept = analysis_rows(met, min_rows=min_rows, min_sites=min_sites, weight="_met").drop("_met")
+    return complete_cases(with_waves(kept, waves, measures, window), [f"{needed}_dev"])

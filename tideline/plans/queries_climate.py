@@ -273,7 +273,11 @@ def wave_deviation(spark, folder):
 SELECT obs_id, n_per_site, sites_per_ecoregion, {r("mean_wave_energy_dev", "mean_wave_energy_dev", 3)}
 FROM k JOIN g ON k."ECOREGION" = g."ECOREGION" WHERE sites_per_ecoregion > 5"""))
 def analysis_rows(spark, folder):
-    kept = deviations.analysis_rows(_with_waves(spark, folder), min_rows=1)
+    from ..operators.filters import study_window
+
+    survey = study_window(s.survey(spark, folder), *s.WINDOW).select(
+        "obs_id", "Study", "Site", "ECOREGION", "Year", "Latitude", "Longitude")
+    kept = deviations.wave_analysis_rows(survey, wave_table(spark, folder), waves.WAVE_MEASURES, s.WINDOW, min_rows=1)
     return rounded(kept.select("obs_id", "n_per_site", "sites_per_ecoregion", "mean_wave_energy_dev"), 3)
 
 
