@@ -90,6 +90,22 @@ def test_packing_edges(spark, ranks):
     assert packing.pack(empty, BYTES).count() == 0
 
 
+def test_packing_encodes_texts_as_a_whole():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(BYTES, encoding="utf-8") as f, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as g:
+        spec, ranks = f.read(), g.read()
+    library, (_, whole) = Tokenizer.from_str(spec), packing.word_tokenizer(spec, ranks)
+    random_ = random.Random(3)
+    texts = ["", " ", "a  b \n c"] + ["".join(random_.choices("ab \u00e9\u4e2d\n\t\u3000\xa0.,'s19\x1c<|>", k=30)) for _ in range(500)]
+    assert all(whole(t) == packing.packed(library.encode(t, add_special_tokens=False).ids) for t in texts)
+    assert whole("a <|endoftext|> b") is None  # left to the library
+    assert packing.word_tokenizer(spec, None)[1]("a b") is None
+
+
 def test_packing_reads_its_places_from_the_written_rows(spark):
     pieces_ = spark.range(500).selectExpr("id AS doc_id", "id % 7 + 1 AS length")
     out = packing.best_fit(pieces_, 16)
