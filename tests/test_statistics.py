@@ -3,11 +3,12 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tideline.functions.distributions import normal_two_sided_p, t_two_sided_p
-from tideline.operators import climate, posterior, quantiles, regression, reshape, rows, trend
+from tideline.operators import climate, fits, posterior, quantiles, regression, reshape, rows, trend
 
 RNG = np.random.default_rng(7)
 
@@ -446,3 +447,68 @@ def test_fits_of_all_draws_are_not_written(spark, monkeypatch, name):
     folder = "/root/testdata/sf0.001"
     assert QUERIES[name](spark, folder).count() == 10
     assert sum(rows) <= 2 * 10  # a row per observation, where there are 500 draws of each
+
+
+def _tall_model(spark, draws):
+    """Five observations at two places, with draws that follow from their numbers."""
+    obs = spark.createDataFrame([(i, i % 2, 0, 0, 0.5 * i - 1, 1.0 + i) for i in range(5)],
+                                "obs long, site int, `group` int, study int, x double, y double")
+    draw = spark.range(draws).withColumnRenamed("id", "draw")
+    of = lambda name, k: F.sin((F.col("draw") * k + F.col(name)).cast("double"))
+    site = draw.crossJoin(spark.range(2).select(F.col("id").cast("int").alias("site"))).select(
+        "draw", "site", of("site", 17).alias("beta1"), of("site", 3).alias("beta2"))
+    group = draw.select("draw", F.lit(0).alias("group")).select("draw", "group", of("group", 21).alias("mu1"), of("group", 9).alias("mu2"))
+    study = draw.select("draw", F.lit(0).alias("study"), F.lit(0.5).alias("sd_e"))
+    return obs, site, group, study
+
+
+@pytest.mark.parametrize("table, locs", [("fitted_table", 2)])
+def test_fits_of_as_many_draws_as_a_large_table_has_are_not_written(spark, monkeypatch, table, locs):
+    rows, n = [], 70_000
+
+    def counting(df):
+        out = written(df)
+        rows.append(out.count())
+        return out
+
+    written = quantiles.written
+    monkeypatch.setattr(quantiles, "written", counting)
+    monkeypatch.setattr(posterior, "written", counting)
+    got = {r["obs"]: r for r in getattr(posterior, table)(posterior.observed_fits(*_tall_model(spark, n))).collect()}
+    assert len(got) == 5 and sum(rows) < 1000  # observations and packs of draws; there are 350,000 fits
+    d, gap = np.arange(n), round(n * 0.95)
+    mu = [np.sin(d * k) for k in (21, 9)]
+    for i, r in got.items():
+        own = [m + np.sin(d * k + i % 2) for m, k in zip(mu, (17, 3))]
+        for (a, b), name in zip((own, mu)[:locs], ("y_hat", "y_hat_mu")):
+            v = np.sort(np.exp(a + b * (0.5 * i - 1)))
+            at = (v[gap:] - v[:-gap]).argmin()
+            assert (r[name], r[f"{name}_L"], r[f"{name}_U"]) == pytest.approx((v.mean(), v[at], v[at + gap]), rel=1e-9)
+
+
+def test_draws_are_sent_to_a_bounded_number_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(fits, "MOST_PARTS", 1)
+    obs, *model = _tall_model(spark, 100)
+    obs = obs.crossJoin(spark.range(2000)).withColumn("obs", F.col("obs") + 5 * F.col("id")).drop("id")
+    observed = posterior.observed_fits(obs, *model, fits_a_part=1)
+
+    def received(keys, draws_first):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"n": pa.array([sum(n.as_py() or 0 for n in batch.column("_n"))], pa.int64())})
+
+        return run
+
+    sent = fits.met(observed.rows, observed.packs, posterior.PLACE, ["own"], 1, True, received, T.StructType([T.StructField("n", T.LongType())]))
+    most = 2 * spark.sparkContext.defaultParallelism + 2  # of 10,000 parts of one fit or more
+    assert 200 <= sent.agg(F.sum("n")).first()[0] <= 100 * most
+
+
+@pytest.mark.parametrize("prob", [0.0, 0.3, 0.5, 1.0])
+def test_intervals_of_fits_by_observation_at_other_shares_and_of_odd_draws(spark, prob):
+    obs, site, group, study = _hierarchy(spark)
+    odd = F.when(F.col("draw") % 9 == 4, float("nan")).when(F.col("draw") % 9 == 7, 800.0).when(F.col("draw") % 3 == 0, 0.25)
+    model = obs.where("obs < 3"), site.withColumn("beta1", odd.otherwise(F.col("beta1"))), group, study
+    got, want = (sorted(map(tuple, posterior.residual_table(f, prob).collect()), key=lambda r: r[0])
+                 for f in (posterior.observed_fits(*model), posterior.pointwise_loglik(*model)))
+    assert len(got) == 3 and all(a == pytest.approx(b, rel=1e-12, nan_ok=True) for a, b in zip(got, want))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .climate import totals
 from .effects import counted_quantiles
+from .fits import packed, summaries
 from .joins import natural_join, natural_left_join, with_one_row
 from .materialize import written
 from .quantiles import grouped_quantiles, ranked
@@ -24,9 +25,9 @@ from .rows import delta_to_best, sorted_by
 
 #: Points of a grid up to which effects are counted; what is known of each point's ranks goes to every task.
 MOST_POINTS = 1 << 16
-#: Draws of a place up to which they travel as one row; the fits of a place with more are sorted over all tasks.
-MOST_DRAWS = 1 << 16
-#: Fits that a task is dealt at a time: observations of a place come in parts of about so many.
+#: Draws of a place up to which a task holds them (32 MB a pair of columns); the fits of a place with more are sorted over all tasks.
+MOST_DRAWS = 1 << 21
+#: Fits that a task is dealt at a time at least: observations of a place come in parts of about so many.
 FITS_A_PART = 1 << 22
 PLACE = ["site", "group", "study"]
 
@@ -299,15 +300,37 @@ def pointwise_loglik(
 class ObservedFits:
     """Fits by observation, so that the product of observations and draws is neither shuffled nor written.
 
-    ``whole`` has one row per observation: obs, y and the arrays y_loc and y_loc_mu over its draws. ``rest`` has, one per
-    row as of :func:`pointwise_loglik`, the fits of observations that repeat an obs or have too many draws for
-    a row; None if there are none. ``long`` has those of all observations.
+    ``rows`` has one row per observation: obs, its place, x, y and the number of its draws, which ``packs`` has packed.
+    ``rest`` has, one per row as of :func:`pointwise_loglik`, the fits of observations that repeat an obs or have too
+    many draws for a task; None if there are none. ``long`` has those of all observations.
     """
 
-    whole: DataFrame
+    rows: DataFrame
+    packs: DataFrame
+    fits_a_part: int
     rest: DataFrame | None
     long: DataFrame
 
+    def tables(self, prob: float, prefixes: Mapping[str, str]) -> DataFrame:
+        """obs, y, and the mean (named by the prefix) and shortest interval of exp of each of y_loc and y_loc_mu that has a prefix."""
+        return summaries(self.rows, self.packs, PLACE, {_DRAWS_OF[loc]: p for loc, p in prefixes.items()}, prob, self.fits_a_part)
+
+
+#: The intercepts and slopes of each prediction.
+_DRAWS_OF = {"y_loc": "own", "y_loc_mu": "mu"}
+_INTERCEPTS_AND_SLOPES = {"own": ("_intercept", "_slope"), "mu": ("mu1", "mu2")}
+
+
+def _packed_draws(draws: DataFrame, sets: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The draws of each place in a form that observations meet in a task, written, since sizes are read from them first."""
+    lines = draws.withColumns({"_intercept": F.col("mu1") + F.col("beta1"), "_slope": F.col("mu2") + F.col("beta2")})
+    return written(packed(lines, PLACE, sets))
+
+
+def _counted(obs: DataFrame, packs: DataFrame) -> DataFrame:
+    """The observations that have draws, with their number _n."""
+    return obs.select(*PLACE, "obs", "x", "y").join(packs.groupBy(*PLACE).agg(F.sum("_n").alias("_n")), PLACE)
+
 
 def observed_fits(
     obs: DataFrame, site_draws: DataFrame, group_draws: DataFrame, study_draws: DataFrame,
@@ -315,48 +338,19 @@ def observed_fits(
 ) -> ObservedFits:
     """The fits of :func:`pointwise_loglik`, by observation.
 
-    Each place's draws are packed into one row and sent to the parts of its observations, which are cut by the
+    Each place's draws are packed and sent to the parts of its observations, which are cut by the
     number of their fits, so a place that most observations have is dealt to many tasks.
     """
     model = (site_draws, group_draws, study_draws)
-    draws = _place_draws(obs, *model)
-    counted = obs.join(draws.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_n")), PLACE)
+    packs = _packed_draws(_place_draws(obs, *model), _INTERCEPTS_AND_SLOPES)
     alone = F.count(F.lit(1)) == 1
-    by_obs = written(counted.groupBy("obs").agg(alone.alias("_alone"), F.any_value(F.struct(*PLACE, "x", "y", "_n")).alias("_row")))
+    by_obs = written(_counted(obs, packs).groupBy("obs").agg(
+        alone.alias("_alone"), F.any_value(F.struct(*PLACE, "x", "y", "_n")).alias("_row")))
     fitting = F.col("_alone") & (F.col("_row._n") <= most_draws)
     others = by_obs.where(~fitting).select("obs")
     rows = by_obs.where(fitting).select("obs", "_row.*")
-    parts = rows.groupBy(*PLACE).agg(F.ceil(F.sum("_n") / fits_a_part).alias("_parts"))
-    tasks = min(2 * (parts.agg(F.sum("_parts")).first()[0] or 1), 10_000)  # more parts than that share tasks
-    dealt = rows.join(parts, PLACE).withColumn("_part", F.pmod(F.xxhash64("obs"), F.col("_parts"))).drop("_parts", "_n")
-    packed = draws.join(parts, PLACE).groupBy(*PLACE, "_parts").agg(
-        F.collect_list(F.struct("mu1", "mu2", "beta1", "beta2")).alias("_draws"))
-    sent = packed.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
-    keys = [*PLACE, "_part"]
-    met = dealt.repartition(tasks, *keys).join(sent.repartition(tasks, *keys), keys)
-    x = F.col("x")
-    whole = met.select(
-        "obs", "y",
-        F.transform("_draws", lambda d: d["mu1"] + d["beta1"] + (d["mu2"] + d["beta2"]) * x).alias("y_loc"),
-        F.transform("_draws", lambda d: d["mu1"] + d["mu2"] * x).alias("y_loc_mu"))
     rest = None if others.isEmpty() else pointwise_loglik(natural_join(obs, others, ["obs"], "left_semi"), *model)
-    return ObservedFits(whole, rest, pointwise_loglik(obs, *model))
-
-
-def _whole_residuals(whole: DataFrame, prob: float, loc: str) -> DataFrame:
-    """The residual table of rows that hold all fits of their observation."""
-    n = F.size("_v")
-    sized = whole.select("obs", "y", F.sort_array(F.array_compact(F.transform(loc, F.exp))).alias("_v")).select(
-        "*", F.greatest(F.lit(1), F.least(n - 1, F.bround(n * float(prob)).cast("int"))).alias("_gap"))
-    upper = F.sequence(F.col("_gap"), n - 1)
-    spans = F.transform(upper, lambda i: F.struct(
-        (F.col("_v")[i] - F.col("_v")[i - F.col("_gap")]).alias("width"), F.col("_v")[i - F.col("_gap")].alias("lower"),
-        F.col("_v")[i].alias("upper")))
-    best = sized.select(
-        "obs", "y", F.try_divide(F.aggregate("_v", F.lit(0.0), lambda total, v: total + v), n).alias("y_hat"),
-        F.when(n > F.col("_gap"), F.array_min(spans)).alias("_s"))
-    return best.select(
-        "obs", "y", "y_hat", F.col("_s.lower").alias("y_hat_L"), F.col("_s.upper").alias("y_hat_U"), (F.col("y") - F.col("y_hat")).alias("resid"))
+    return ObservedFits(rows, packs, fits_a_part, rest, pointwise_loglik(obs, *model))
 
 
 def residual_table(
@@ -365,12 +359,12 @@ def residual_table(
     """Per observation: mean fitted value, shortest interval, residual.
 
     The fitted value is exp of the column ``loc``, or the expression ``fit`` of the rows of :func:`pointwise_loglik`.
-    Fits by observation are summarized in their rows; only others are sorted over all tasks.
+    Fits by observation are summarized where they are worked out; only others are sorted over all tasks.
     """
     if isinstance(fits, ObservedFits):
         if fit is not None:
             return residual_table(fits.long, prob, fit)
-        whole = _whole_residuals(fits.whole, prob, loc)
+        whole = fits.tables(prob, {loc: "y_hat"}).withColumn("resid", F.col("y") - F.col("y_hat"))
         return whole if fits.rest is None else whole.unionByName(residual_table(fits.rest, prob, loc=loc))
     fitted = fits.select("obs", "y", (F.exp(loc) if fit is None else fit).alias("_fit"))
     means = fitted.groupBy("obs").agg(F.any_value("y").alias("y"), F.avg("_fit").alias("y_hat"))
@@ -382,6 +376,10 @@ def residual_table(
 
 def fitted_table(fits: DataFrame | ObservedFits, prob: float = 0.95) -> DataFrame:
     """Per observation: the fitted value and the fit of its group alone, each with its shortest interval, and the residual."""
+    if isinstance(fits, ObservedFits):
+        whole = fits.tables(prob, {"y_loc": "y_hat", "y_loc_mu": "y_hat_mu"}).select(
+            "obs", "y", "y_hat", "y_hat_L", "y_hat_U", (F.col("y") - F.col("y_hat")).alias("resid"), "y_hat_mu", "y_hat_mu_L", "y_hat_mu_U")
+        return whole if fits.rest is None else whole.unionByName(fitted_table(fits.rest, prob))
     own = residual_table(fits, prob)
     group = residual_table(fits, prob, loc="y_loc_mu").select(
         "obs", F.col("y_hat").alias("y_hat_mu"), F.col("y_hat_L").alias("y_hat_mu_L"), F.col("y_hat_U").alias("y_hat_mu_U"))
