@@ -462,7 +462,7 @@ def _tall_model(spark, draws):
     return obs, site, group, study
 
 
-@pytest.mark.parametrize("table, locs", [("fitted_table", 2)])
+@pytest.mark.parametrize("table, locs", [("fitted_table", 2), ("residual_table", 1)])
 def test_fits_of_as_many_draws_as_a_large_table_has_are_not_written(spark, monkeypatch, table, locs):
     rows, n = [], 70_000
 
