@@ -512,3 +512,52 @@ def test_intervals_of_fits_by_observation_at_other_shares_and_of_odd_draws(spark
     got, want = (sorted(map(tuple, posterior.residual_table(f, prob).collect()), key=lambda r: r[0])
                  for f in (posterior.observed_fits(*model), posterior.pointwise_loglik(*model)))
     assert len(got) == 3 and all(a == pytest.approx(b, rel=1e-12, nan_ok=True) for a, b in zip(got, want))
+
+
+def _joined_rows(df):
+    """Rows that the joins of a frame's plan made, the most of any."""
+    df.collect()
+    found, nodes = [0], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+        if "Join" in node.nodeName():
+            found.append(node.metrics().apply("numOutputRows").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return max(found)
+
+
+def test_pointwise_log_likelihood_is_no_join_of_all_draws_with_all_observations(spark, tmp_path):
+    from __spark_entry__ import QUERIES
+
+    spark.range(400).selectExpr("id AS s_suppkey", "'x' AS s_name", "CAST(id % 2 AS INT) AS s_nationkey", "id * 7.5D AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(2).selectExpr("CAST(id AS INT) AS n_nationkey", "'n' AS n_name", "CAST(id AS INT) AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(90).selectExpr("id AS vec_id", "transform(sequence(1, 64), i -> CAST(sin(id * i) AS FLOAT)) AS embedding", "0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = QUERIES["pointwise_log_likelihood"](spark, str(tmp_path))
+    assert _joined_rows(out) <= 400  # of 36,000 pairs
+    assert out.count() == 400 and {r["n"] for r in out.collect()} == {90}
+
+
+@pytest.mark.parametrize("fits_a_part", [1 << 22, 50])
+def test_means_of_pointwise_log_likelihood_are_those_of_its_rows(spark, fits_a_part):
+    obs, site, group, study = _hierarchy(spark, 60)
+    obs = obs.unionByName(obs.selectExpr("obs + 200 AS obs", "site", "`group`", "study", "x", "-y AS y"))  # without a logarithm
+    study = study.withColumn("sd_e", F.when(F.col("draw") == 3, -0.5).when(F.col("draw") != 7, F.col("sd_e")))
+    model = obs, site, group.withColumn("mu2", F.when(F.col("draw") != 11, F.col("mu2"))), study
+    names = ["resid", "y_loc_mu", "log_lik"]
+    long = posterior.pointwise_loglik(*model).groupBy("obs").agg(*[F.avg(c).alias(c) for c in names], F.count(F.lit(1)).alias("n"))
+    whole = posterior.pointwise_loglik(*model, means=True, fits_a_part=fits_a_part)
+    assert whole.schema.simpleString() == long.schema.simpleString()
+    got, want = ({r["obs"]: tuple(r)[1:] for r in df.collect()} for df in (whole, long))
+    assert got.keys() == want.keys() and len(got) == 29
+    for k, values in want.items():
+        assert got[k] == tuple(None if v is None else pytest.approx(v, rel=1e-11, abs=1e-12) for v in values), k
+
+
+def test_an_error_of_zero_is_no_divisor(spark):
+    obs, site, group, study = _tall_model(spark, 3)
+    with pytest.raises(Exception, match="sd_e is zero"):
+        posterior.pointwise_loglik(obs, site, group, study.withColumn("sd_e", F.lit(0.0)), means=True).collect()

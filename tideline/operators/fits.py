@@ -2,7 +2,7 @@
 
 Draws are packed, those of a batch and place in one row, and each part of a place's observations gets them all.
 The parts are cut by the number of their fits and bounded in number, so what is sent grows with the draws and not with the
-product. A task goes through its parts in turn.
+product. A task goes through its parts in turn; it holds the draws of one place, or one part's observations.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ MOST_PARTS = 128
 ROWS_A_PART = 1 << 20
 #: Draws that are packed at once, over all places.
 PACKED_ROWS = 1 << 17
+#: Draws and observations of a block of fits: it stays in a core's cache.
+BLOCK = (1 << 12, 1 << 4)
 
 
 def _packer(place: Sequence[str], sets: Mapping[str, Sequence[str]]):
@@ -176,3 +178,92 @@ def summaries(rows: DataFrame, packs: DataFrame, place: Sequence[str], prefixes:
     schema = T.StructType([given.schema["obs"], given.schema["y"], *(
         T.StructField(p + end, T.DoubleType()) for p in prefixes.values() for end in ("", "_L", "_U"))])
     return met(given, packs, place, sets, fits_a_part, True, fn, schema)
+
+
+def density_means(rows: DataFrame, packs: DataFrame, place: Sequence[str], fits_a_part: int) -> DataFrame:
+    """Per obs of (place, obs, x, y, _n): the means over all draws of resid, y_loc_mu and log_lik, and the number n of draws.
+
+    Each is worked out for each draw and observation, as in posterior.pointwise_loglik, a block of both at a time, and
+    added up; missing ones don't count. ``packs`` has the sets own (intercepts, slopes, sd) and mu (intercepts, slopes). A task
+    holds the observations of a part and passes over its draws. An obs that comes repeatedly is one.
+    """
+    counted = ["resid", "y_loc_mu", "log_lik"]
+    (many, few), constant = BLOCK, 0.5 * math.log(2 * math.pi)
+
+    def fn(keys, draws_first):
+        runs = _runs(keys, draws_first)
+
+        class Part:
+            def __init__(self, rows: list[pa.RecordBatch]):
+                table = pa.Table.from_batches(rows)
+                self.obs = table["obs"].combine_chunks()
+                self.x, self.log_y = (table[c].to_numpy() for c in ("x", "log_y"))
+                placed = table["x"].is_valid().to_numpy()
+                both = placed & table["log_y"].is_valid().to_numpy()
+                self.given = {"resid": both, "y_loc_mu": placed, "log_lik": both}
+                self.sums = {c: np.zeros(len(table)) for c in counted}
+                self.n = dict.fromkeys((*counted, "n"), 0)
+
+            def add(self, own: np.ndarray, mu: np.ndarray):
+                """The fits of some draws: own has intercepts, slopes and sd, mu intercepts and slopes."""
+                if not own[2].all() and self.given["resid"].any():
+                    raise ZeroDivisionError("a draw's sd_e is zero")
+                self.n["y_loc_mu"] += mu.shape[1]
+                self.n["resid"] += own.shape[1]
+                for d, o in itertools.product(range(0, own.shape[1], many), range(0, len(self.x), few)):
+                    (a, b, sd), rows = own[:, d: d + many], slice(o, o + few)
+                    log_y = self.log_y[rows, None]
+                    resid = np.multiply.outer(self.x[rows], b)
+                    resid += a
+                    np.subtract(log_y, resid, out=resid)
+                    resid /= sd
+                    self.sums["resid"][rows] += resid.sum(axis=1)
+                    likely = ~(sd <= 0)  # the others have no logarithm
+                    if not likely.all():
+                        resid, sd = resid[:, likely], sd[likely]
+                    log_lik = np.multiply(resid, resid, out=resid)
+                    log_lik *= -0.5
+                    log_lik -= np.log(sd) + constant
+                    log_lik -= log_y
+                    self.sums["log_lik"][rows] += log_lik.sum(axis=1)
+                self.n["log_lik"] += int((~(own[2] <= 0)).sum())
+                for d, o in itertools.product(range(0, mu.shape[1], many), range(0, len(self.x), few)):
+                    (a, b), rows = mu[:, d: d + many], slice(o, o + few)
+                    loc = np.multiply.outer(self.x[rows], b)
+                    loc += a
+                    self.sums["y_loc_mu"][rows] += loc.sum(axis=1)
+
+            def result(self) -> pa.RecordBatch:
+                out = {"obs": self.obs}
+                for c in counted:
+                    out[c] = pa.array(np.where(self.given[c], self.sums[c], 0.0))
+                    out[f"_n_{c}"] = pa.array(self.given[c] * np.int64(self.n[c]))
+                return pa.RecordBatch.from_pydict(out | {"n": pa.array(np.full(len(self.x), self.n["n"], np.int64))})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, waiting, met = None, [], None
+            for batch in batches:
+                for part, are_draws, some in runs(batch):
+                    if part != now:
+                        if met is not None:
+                            yield met.result()
+                        now, waiting, met = part, [], None
+                    if not are_draws:
+                        waiting.append(some.select(["obs", "x", "log_y"]))
+                    elif waiting:  # else no observation is in this part
+                        met = met or Part(waiting)
+                        with np.errstate(all="ignore"):
+                            for i in range(some.num_rows):
+                                met.n["n"] += some.column("_n")[i].as_py()
+                                met.add(*(np.frombuffer(some.column(s)[i].as_buffer()).reshape(k, -1) for s, k in (("own", 3), ("mu", 2))))
+            if met is not None:
+                yield met.result()
+
+        return run
+
+    given = rows.select(*place, "obs", F.col("x").cast("double").alias("x"), F.log("y").alias("log_y"), "_n")
+    schema = T.StructType([given.schema["obs"], *itertools.chain.from_iterable(
+        (T.StructField(c, T.DoubleType()), T.StructField(f"_n_{c}", T.LongType())) for c in counted), T.StructField("n", T.LongType())])
+    sums = met(given, packs, place, ["own", "mu"], fits_a_part, False, fn, schema)
+    return sums.groupBy("obs").agg(
+        *[F.try_divide(F.sum(c), F.sum(f"_n_{c}")).alias(c) for c in counted], F.sum("n").alias("n"))

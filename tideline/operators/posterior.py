@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .climate import totals
 from .effects import counted_quantiles
-from .fits import packed, summaries
+from .fits import density_means, packed, summaries
 from .joins import natural_join, natural_left_join, with_one_row
 from .materialize import written
 from .quantiles import grouped_quantiles, ranked
@@ -276,7 +276,8 @@ def _place_draws(obs: DataFrame, site_draws: DataFrame, group_draws: DataFrame,
 
 
 def pointwise_loglik(
-    obs: DataFrame, site_draws: DataFrame, group_draws: DataFrame, study_draws: DataFrame
+    obs: DataFrame, site_draws: DataFrame, group_draws: DataFrame, study_draws: DataFrame,
+    means: bool = False, fits_a_part: int = FITS_A_PART,
 ) -> DataFrame:
     """Lognormal log-density, standardized residual and mean prediction per draw and observation.
 
@@ -284,7 +285,13 @@ def pointwise_loglik(
     group_draws (draw, group, mu1, mu2); study_draws (draw, study, sd_e). The draws of
     each (site, group, study) are put together first; the observations, of which there
     are many more, meet them in the last join alone, whose result is what is asked for.
+
+    With ``means``, one row per obs is: the means of resid, y_loc_mu and log_lik over its draws and their number n. Each
+    draw's values are worked out and added up in a task, in blocks, so they are no rows of a join.
     """
+    if means:
+        packs = _packed_draws(_place_draws(obs, site_draws, group_draws, study_draws), _INTERCEPTS_AND_SLOPES | {"own": (*_INTERCEPTS_AND_SLOPES["own"], "sd_e")})
+        return density_means(_counted(obs, packs), packs, PLACE, fits_a_part)
     rows = obs.join(_place_draws(obs, site_draws, group_draws, study_draws), PLACE)
     loc = F.col("mu1") + F.col("beta1") + (F.col("mu2") + F.col("beta2")) * F.col("x")
     resid = (F.log("y") - F.col("y_loc")) / F.col("sd_e")

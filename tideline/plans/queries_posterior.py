@@ -217,11 +217,6 @@ def _model(spark, folder):
     return obs, site, group, study
 
 
-def _fits(spark, folder):
-    """Log-likelihood of each supplier's balance under each draw."""
-    return posterior.pointwise_loglik(*_model(spark, folder))
-
-
 _FITS = """WITH o AS (SELECT s_suppkey AS obs, s_nationkey AS site, n_regionkey AS grp, s_nationkey % 4 AS study, s_suppkey % 7 - 3 AS x,
   abs(s_acctbal) / 1000 + 0.1::DOUBLE AS y FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 , f AS (SELECT obs, y, vec_id AS draw, embedding[51 + grp]::DOUBLE + embedding[1 + site]::DOUBLE
@@ -234,10 +229,8 @@ _FITS = """WITH o AS (SELECT s_suppkey AS obs, s_nationkey AS site, n_regionkey
 SELECT obs, {r("avg(resid)", "resid")}, {r("avg(loc_mu)", "y_loc_mu")},
  {r(f"avg(-ln(y) - ln(sd) - {0.5 * math.log(2 * math.pi)!r}::DOUBLE - resid * resid / 2)", "log_lik")}, count(*) AS n FROM l GROUP BY 1""")
 def pointwise_log_likelihood(spark, folder):
-    fits = _fits(spark, folder).groupBy("obs").agg(
-        F.avg("resid").alias("resid"), F.avg("y_loc_mu").alias("y_loc_mu"), F.avg("log_lik").alias("log_lik"),
-        F.count(F.lit(1)).alias("n"))
-    return rounded(fits)
+    """Log-likelihood of each supplier's balance under each draw, and its mean."""
+    return rounded(posterior.pointwise_loglik(*_model(spark, folder), means=True))
 
 
 @query("residual_table", _FITS + f"""
